@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id
 
 
 def queries():
     return {
+        "op2_bpe": bpe.op2_bpe,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
     }
@@ -15,5 +18,6 @@ def queries():
 def oracle_sql():
     return {
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op9_decontamination": decontaminate.OP9_SQL,
         "op10_ngram_jaccard_join": jaccard_join.OP10_SQL,
     }

@@ -36,6 +36,8 @@ _GROWTH = 1.5
 _COST_PER_CANDIDATE = 4.0
 #: Sets remembered by a task so that copies within it are indexed once; beyond this many, copies just cost rows.
 _SEEN = 200_000
+#: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def size_bands(largest: int) -> np.ndarray:
@@ -153,25 +155,43 @@ def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: np.ndarray)
     return docs.select("doc_id", "text").mapInArrow(run, "key long, vertex long")
 
 
-def _elements(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, elements): the set of each document as sorted hashes."""
+def _with_set_hash(docs: DataFrame, size: int) -> DataFrame:
+    """(vertex, text): each document's text beside the hash of its set."""
 
     def run(batches):
         for piece, values, bounds in _sets(batches, size):
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([_column(piece, "doc_id"), lists], ["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(_set_hash(values, bounds).view(np.int64)), _column(piece, "text")], ["vertex", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, elements array<long>")
+    return docs.select("text").mapInArrow(run, "vertex long, text string")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) of vertices those that link, by exact intersection."""
-    left = sets.select(F.col("vertex").alias("a"), F.col("elements").alias("ea"))
-    right = sets.select(F.col("vertex").alias("b"), F.col("elements").alias("eb"))
-    small, large = F.least(F.size("ea"), F.size("eb")), F.greatest(F.size("ea"), F.size("eb"))
-    both = pairs.join(left, "a").join(right, "b").where(small * den >= large * num)
-    common = F.size(F.array_intersect("ea", "eb"))
-    return both.where(common * den >= (F.size("ea") + F.size("eb") - common) * num).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) of vertices those that link, by exact intersection of the sets of their texts.
+
+    Texts travel to the pairs, not sets: they compress, hashes do not.
+    """
+    left = texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("vertex").alias("b"), F.col("text").alias("text"))
+
+    def run(batches):
+        for piece, values, bounds in _sets(batches, size):
+            words, rows = K.word_hashes(_column(piece, "text_a"))
+            shingles, other = K.shingle_hashes(words, rows, size)
+            linked = np.zeros(len(bounds) - 1, bool)
+            for r in range(len(linked)):
+                one, two = values[bounds[r] : bounds[r + 1]], np.unique(shingles[other[r] : other[r + 1]])
+                if min(len(one), len(two)) * den >= max(len(one), len(two)) * num:
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    linked[r] = both > 0 and both * den >= (len(one) + len(two) - both) * num
+            some = pa.array(np.flatnonzero(linked))
+            yield pa.RecordBatch.from_arrays([_column(piece, "a").take(some), _column(piece, "b").take(some)], ["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
+
+
+def _only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of docs whose key is in ids (a written table): by broadcast up to BROADCAST_IDS of them, else by a shuffle."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
 def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -194,11 +214,11 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     bucketed = staged(rows.join(shared, "key").distinct(), "jaccard-bucketed")
     hubs = staged(bucketed.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct(), "jaccard-hubs")
 
-    wanted = hubs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex").select("vertex", "rep")
-    wanted = staged(wanted, "jaccard-wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = staged(_elements(texts, size).join(wanted, F.col("doc_id") == F.col("rep")).select("vertex", "elements"), "jaccard-sets")
-    links = staged(_verified(hubs, sets, num, den), "jaccard-links")
+    ends = hubs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex")
+    wanted = staged(ends.select("vertex", F.col("rep").alias("doc_id")), "jaccard-wanted")
+    named = _with_set_hash(_only(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id"), size)
+    texts = staged(named.join(wanted.select("vertex"), "vertex", "left_semi"), "jaccard-texts")
+    links = staged(_verified(hubs, texts, size, num, den).distinct(), "jaccard-links")
     parts = connected_components(links)
 
     # Keys that hold several components: every pair across them that no hub has tested.
@@ -208,7 +228,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     one = left.select("key", F.col("vertex").alias("a"), F.col("component").alias("ca"))
     two = left.select("key", F.col("vertex").alias("b"), F.col("component").alias("cb"))
     rest = one.join(two, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    more = staged(_verified(rest, sets, num, den), "jaccard-more")
+    more = staged(_verified(rest, texts, size, num, den), "jaccard-more")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
 
@@ -216,7 +236,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     named = staged(named, "jaccard-named")
     least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "jaccard-least")
     final = staged(named.join(least, "component").select(F.col("vertex").alias("set_hash"), "component_id"), "jaccard-final")
-    discard(shared, bucketed, hubs, wanted, sets, links, left, more, named, least)
+    discard(shared, bucketed, hubs, wanted, texts, links, left, more, named, least)
     return members.join(final, "set_hash", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, toxicity
 
 
 def queries():
     return {
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality": quality.op3_quality,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op8_language_id": language_id.op8_language_id,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

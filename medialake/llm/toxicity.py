@@ -119,7 +119,7 @@ def _bags(sample: DataFrame, vocabulary: list[str]) -> DataFrame:
     return sample.mapInArrow(run, "y long, n long, sentence array<int>, feature array<int>")
 
 
-def train(bags, vocabulary: list[str], steps: int = 400, rate: float = 0.05, decay: float = 3e-5) -> Model:
+def train(bags, vocabulary: list[str], steps: int = 400, rate: float = 0.05, decay: float = 8e-5) -> Model:
     """Fit weights and bias by Adam on the noisy-or likelihood; bags is a list of (y, n, sentence, feature)."""
     y = np.array([b[0] for b in bags], float)
     if not len(y) or y.min() == y.max():

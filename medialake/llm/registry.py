@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, toxicity, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op8_language_id": language_id.op8_language_id,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -19,6 +20,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op6_url_filter": url_filter.OP6_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op9_decontamination": decontaminate.OP9_SQL,
         "op10_ngram_jaccard_join": jaccard_join.OP10_SQL,

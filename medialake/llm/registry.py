@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, quality, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, toxicity, url_filter
 
 
 def queries():
     return {
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
+        "op4_pii": pii.op4_pii,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_language_id": language_id.op8_language_id,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, pii, quality, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, toxicity, url_filter
 
 
 def queries():
     return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
         "op4_pii": pii.op4_pii,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("projections",)
+_MODULES: tuple[str, ...] = ("projections", "scans")
 
 
 def all_queries() -> dict:

@@ -1 +1 @@
-
+"""Relational operators over inventory tables: DataFrame in, DataFrame out."""

@@ -10,7 +10,8 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 * A segment of allowance 1 is indexed by its subset (the sum of its elements' hashes); one of allowance 2 also by its
   one-deletion neighbourhood. A cost model over the counts of sets in every scheme chooses how many segments get 2: these
   cost a row per element but share keys less often.
-* Sets that share a key are candidates. Each key's smallest set is its hub: first every set is verified against its hubs and
+* Sets that share a key are candidates, unless a sketch rules the pair out: the parities of the elements' counts by bin differ in
+  no more bins than the sets differ in elements, so too many odd bins prove a similarity below the threshold. Each key's smallest set is its hub: first every set is verified against its hubs and
   components are formed, then keys that still hold several components are verified pair by pair across components. A dense
   group of g near copies so costs about g verifications, and no link between components is left untested.
 
@@ -36,6 +37,8 @@ _GROWTH = 1.5
 _COST_PER_CANDIDATE = 4.0
 #: Sets remembered by a task so that copies within it are indexed once; beyond this many, copies just cost rows.
 _SEEN = 200_000
+#: Bits of the largest sketch.
+MOST_BITS = 4096
 #: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -91,16 +94,36 @@ def _column(batch, name):
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _sketches(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """Per set the parities of its elements' counts in as many bins as it has elements (a power of two, 64 to MOST_BITS)."""
+    n = np.diff(bounds)
+    words = np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), MOST_BITS // 64)
+    at = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(np.arange(len(n)), n)
+    bin_ = (K.mix(values) & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.zeros(at[-1], np.uint64)
+    np.bitwise_xor.at(bits, at[owner] + (bin_ >> 6), np.uint64(1) << (bin_ & 63).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(bits.view(np.int64)))
+
+
+def _may_link(a: str, b: str, num: int, den: int):
+    """A necessary condition on two rows with n and sketch: odd bins never outnumber the elements in which the sets differ."""
+    na, nb, sa, sb = (F.col(c) for c in (f"n_{a}", f"n_{b}", f"sketch_{a}", f"sketch_{b}"))
+    k = F.least(F.size(sa), F.size(sb))
+    folded = lambda s: F.when(F.size(s) == k, s).otherwise(F.zip_with(F.slice(s, F.lit(1), k), F.slice(s, k + 1, k), lambda x, y: x.bitwiseXOR(y)))
+    odd = F.aggregate(F.zip_with(folded(sa), folded(sb), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (odd * (den + num) <= (na + nb) * (den - num))
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) of every document."""
+    """(doc_id, n_shingles, set_hash, sketch) of every document."""
 
     def run(batches):
         for piece, values, bounds in _sets(batches, size):
-            yield pa.RecordBatch.from_arrays(
-                [_column(piece, "doc_id"), pa.array(np.diff(bounds)), pa.array(_set_hash(values, bounds).view(np.int64))], ["doc_id", "n_shingles", "set_hash"]
-            )
+            columns = [_column(piece, "doc_id"), pa.array(np.diff(bounds)), pa.array(_set_hash(values, bounds).view(np.int64)), _sketches(values, bounds)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
 def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: np.ndarray) -> DataFrame:
@@ -198,7 +221,8 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     """(doc_id, n_shingles, component_id) of every document: its shingle count and the smallest doc_id that links reach."""
     members = staged(shingle_sets(docs, size), "jaccard-members")
     filled = members.where("n_shingles > 0")
-    vertices = filled.groupBy(F.col("set_hash").alias("vertex")).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
+    vertices = staged(filled.groupBy(F.col("set_hash").alias("vertex")).agg(F.min("doc_id").alias("rep"), *firsts), "jaccard-vertices")
     largest = filled.agg(F.max("n_shingles")).first()[0] or 0
     starts = size_bands(largest)
     bands = F.lit(-1)
@@ -212,23 +236,28 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
         rows.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("far")).where("hub <> far").select("key", "hub"), "jaccard-shared"
     )
     bucketed = staged(rows.join(shared, "key").distinct(), "jaccard-bucketed")
-    hubs = staged(bucketed.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct(), "jaccard-hubs")
+    described = lambda c: vertices.select(F.col("vertex").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = bucketed.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
+    hubs = staged(pairs.join(described("a"), "a").join(described("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b"), "jaccard-hubs")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex")
+        wanted = staged(ends.select("vertex", F.col("rep").alias("doc_id")), "jaccard-wanted")
+        named = _with_set_hash(_only(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id"), size)
+        return staged(named.join(wanted.select("vertex"), "vertex", "left_semi"), "jaccard-texts")
 
-    ends = hubs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().join(vertices, "vertex")
-    wanted = staged(ends.select("vertex", F.col("rep").alias("doc_id")), "jaccard-wanted")
-    named = _with_set_hash(_only(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id"), size)
-    texts = staged(named.join(wanted.select("vertex"), "vertex", "left_semi"), "jaccard-texts")
-    links = staged(_verified(hubs, texts, size, num, den).distinct(), "jaccard-links")
+    links = staged(_verified(hubs, texts_of(hubs), size, num, den).distinct(), "jaccard-links")
     parts = connected_components(links)
 
     # Keys that hold several components: every pair across them that no hub has tested.
     placed = bucketed.join(parts.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     open_keys = placed.where("vertex <> hub").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = staged(placed.where("vertex <> hub").join(open_keys, "key", "left_semi"), "jaccard-open")
-    one = left.select("key", F.col("vertex").alias("a"), F.col("component").alias("ca"))
-    two = left.select("key", F.col("vertex").alias("b"), F.col("component").alias("cb"))
-    rest = one.join(two, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    more = staged(_verified(rest, texts, size, num, den), "jaccard-more")
+    left = left.join(vertices.select("vertex", "n_shingles", "sketch"), "vertex")
+    side = lambda c: left.select("key", F.col("vertex").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    rest = side("a").join(side("b"), "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _may_link("a", "b", num, den))
+    rest = staged(rest.select("a", "b").distinct(), "jaccard-rest")
+    more = rest if not rest.limit(1).count() else staged(_verified(rest, texts_of(rest), size, num, den).distinct(), "jaccard-more")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
 
@@ -236,8 +265,8 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     named = staged(named, "jaccard-named")
     least = staged(named.groupBy("component").agg(F.min("rep").alias("component_id")), "jaccard-least")
     final = staged(named.join(least, "component").select(F.col("vertex").alias("set_hash"), "component_id"), "jaccard-final")
-    discard(shared, bucketed, hubs, wanted, texts, links, left, more, named, least)
-    return members.join(final, "set_hash", "left").select(
+    discard(shared, bucketed, hubs, links, rest, more, named, least)
+    return members.drop("sketch").join(final, "set_hash", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,12 +120,12 @@ def key_in_name(stem: Column) -> Column:
 def role_kind(role: Column) -> Column:
     """The role that a parenthesised remark names: whole words first, then parts of words."""
     role = F.lower(F.trim(role))
-    any_of = lambda words, test: reduce(lambda a, b: a | b, (test(w) for w in words))
-    whole = lambda w: (role == w) | role.endswith(" " + w)
+    whole = lambda words: role.rlike(f"(^| )({'|'.join(words)})$")
+    part = lambda words: role.rlike("|".join(words))
     return (
         F.when(role.isin("original song", "original"), "original")
-        .when(any_of(ACAPELLA_WORDS, whole), "acapella").when(any_of(INSTRUMENTAL_WORDS, whole), "instrumental")
-        .when(any_of(ACAPELLA_WORDS, role.contains), "acapella").when(any_of(INSTRUMENTAL_WORDS, role.contains), "instrumental")
+        .when(whole(ACAPELLA_WORDS), "acapella").when(whole(INSTRUMENTAL_WORDS), "instrumental")
+        .when(part(ACAPELLA_WORDS), "acapella").when(part(INSTRUMENTAL_WORDS), "instrumental")
     )
 
 
@@ -134,7 +133,7 @@ def classify_role(stem: Column) -> Column:
     """original, acapella, instrumental or null, from a file's stem."""
     low, core = F.lower(stem), F.lower(strip_bracket_tags(stem))
     remark = F.nullif(F.regexp_extract(core, r"\(([^)]+)\)\s*$", 1), F.lit(""))
-    ends = lambda words: reduce(lambda a, b: a | b, (core.contains(f"({w})") | core.endswith(w) for w in words))
+    ends = lambda words: core.rlike(rf"\((?:{'|'.join(words)})\)|(?:{'|'.join(words)})$")
     return F.coalesce(
         F.when(low.contains("(original song)") | low.contains("(original)"), "original"),
         role_kind(remark),

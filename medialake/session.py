@@ -1,0 +1,20 @@
+"""Session helpers."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names, so that loops keep short lineages and survive lost executors.
+
+    Where the setting is unset (local runs), a folder of our own is set once.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
+    return df.checkpoint()

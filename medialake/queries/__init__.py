@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("projections", "scans", "aggregates", "balancing", "matching", "renaming", "rankings", "signals")
+_MODULES: tuple[str, ...] = ("projections", "scans", "aggregates", "balancing", "matching", "renaming", "rankings", "signals", "clustering", "integrity")
 
 
 def all_queries() -> dict:

@@ -38,7 +38,9 @@ _COST_PER_CANDIDATE = 4.0
 #: Sets remembered by a task so that copies within it are indexed once; beyond this many, copies just cost rows.
 _SEEN = 200_000
 #: Bits of the largest sketch.
-MOST_BITS = 4096
+MOST_BITS = 8192
+#: Rounds in which open keys test a star before all pairs across their components are.
+STAR_ROUNDS = 2
 #: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -95,9 +97,9 @@ def _column(batch, name):
 
 
 def _sketches(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
-    """Per set the parities of its elements' counts in as many bins as it has elements (a power of two, 64 to MOST_BITS)."""
+    """Per set the parities of its elements' counts in at least twice as many bins as it has elements (a power of two, 64 to MOST_BITS)."""
     n = np.diff(bounds)
-    words = np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), MOST_BITS // 64)
+    words = np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), MOST_BITS // 64)
     at = np.concatenate([[0], np.cumsum(words)])
     owner = np.repeat(np.arange(len(n)), n)
     bin_ = (K.mix(values) & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
@@ -249,11 +251,29 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     links = staged(_verified(hubs, texts_of(hubs), size, num, den).distinct(), "jaccard-links")
     parts = connected_components(links)
 
-    # Keys that hold several components: every pair across them that no hub has tested.
-    placed = bucketed.join(parts.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-    open_keys = placed.where("vertex <> hub").groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = staged(placed.where("vertex <> hub").join(open_keys, "key", "left_semi"), "jaccard-open")
-    left = left.join(vertices.select("vertex", "n_shingles", "sketch"), "vertex")
+    def open_rows(parts: DataFrame) -> DataFrame:
+        """The rows of the keys that hold several components beside their hub, which is tested."""
+        placed = bucketed.where("vertex <> hub").join(parts.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return staged(placed.join(several, "key", "left_semi").select("key", "vertex", "component"), "jaccard-open")
+
+    # Stars: each open key tests one member of its largest component against the members of the others.
+    for turn in range(STAR_ROUNDS):
+        left = open_rows(parts)
+        per = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("vertex", F.xxhash64("key", "vertex", F.lit(turn))).alias("a"))
+        stars = per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star"))
+        tested = left.join(stars, "key").where("component <> star.component").select("star.a", F.col("vertex").alias("b")).distinct()
+        tested = staged(tested.join(described("a"), "a").join(described("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b"), "jaccard-star")
+        discard(left)
+        if not tested.limit(1).count():
+            break
+        found = staged(_verified(tested, texts_of(tested), size, num, den), "jaccard-found")
+        if found.limit(1).count():
+            links = staged(links.union(found).distinct(), "jaccard-links")
+            parts = connected_components(links)
+
+    # What is left: every pair across the components of a key.
+    left = open_rows(parts).join(vertices.select("vertex", "n_shingles", "sketch"), "vertex")
     side = lambda c: left.select("key", F.col("vertex").alias(c), F.col("component").alias(f"c{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     rest = side("a").join(side("b"), "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _may_link("a", "b", num, den))
     rest = staged(rest.select("a", "b").distinct(), "jaccard-rest")

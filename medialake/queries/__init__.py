@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("projections", "scans", "aggregates", "balancing", "matching", "renaming", "rankings", "signals", "clustering", "integrity")
+_MODULES: tuple[str, ...] = ("projections", "scans", "aggregates", "balancing", "matching", "renaming", "rankings", "signals", "clustering", "integrity", "outputs")
 
 
 def all_queries() -> dict:
@@ -19,3 +19,11 @@ def all_sql() -> dict[str, str]:
     for name in _MODULES:
         out |= importlib.import_module(f".{name}", __name__).SQL
     return out
+
+
+def flagship(spark, sf_dir: str):
+    """Every facet of the inventory with counts, shares and peaks, from one expansion and one aggregation."""
+    from ..operators.facets import facets, with_share
+    from .fixtures import units
+
+    return with_share(facets(units(spark, sf_dir)), ["facet"])

@@ -1 +1 @@
-
+"""Incremental processing of arriving files with Structured Streaming."""

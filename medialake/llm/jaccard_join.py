@@ -8,8 +8,10 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
   segments, each with an allowance v: 1 (found when the segment is equal) or 2 (found when it differs by at most one
   element). When the allowances sum to h + 1, some segment of every linked pair keeps within its own: no link is lost.
 * A segment of allowance 1 is indexed by its subset (the sum of its elements' hashes); one of allowance 2 also by its
-  one-deletion neighbourhood. A cost model over the counts of sets in every scheme chooses how many segments get 2: these
-  cost a row per element but share keys less often.
+  one-deletion neighbourhood. A cost model over the counts of sets in every scheme chooses how many segments get 2: these cost a
+  row per element but share keys less often. At low thresholds segments become so thin that many are alike by chance; then
+  the model takes the finest partition, a segment an element, where a set of n indexes the n - ceil(n * num / den) + 1 cheapest of
+  its own and gives the others the allowance 0 (a linked set misses too few elements to miss all of these).
 * Sets that share a key are candidates, unless a sketch rules the pair out: the parities of the elements' counts by bin differ in
   no more bins than the sets differ in elements, so too many odd bins prove a similarity below the threshold. Each key's smallest set is its hub: first every set is verified against its hubs and
   components are formed, then keys that still hold several components are verified pair by pair across components. A dense
@@ -39,6 +41,10 @@ _COST_PER_CANDIDATE = 4.0
 _SEEN = 200_000
 #: Bits of the largest sketch.
 MOST_BITS = 8192
+#: How much dearer a row of the finest partition counts: single elements are shared more often than segments.
+ELEMENT_FACTOR = 2.0
+#: The share of documents from which on an element is common, and indexed last.
+COMMON = 0.001
 #: Rounds in which open keys test a star before all pairs across their components are.
 STAR_ROUNDS = 2
 #: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
@@ -79,6 +85,74 @@ def allocate(starts: np.ndarray, counts: dict[int, int], num: int, den: int) ->
     return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
+def plan_cost(starts: np.ndarray, counts: dict[int, int], plan: np.ndarray) -> float:
+    """Index rows that a plan makes, and the candidates that it expects."""
+    cost = 0.0
+    for i, (_, ones, twos) in enumerate(plan.tolist()):
+        n, mean = counts.get(i, 0) + counts.get(i + 1, 0) / 2, starts[i] * 1.2 / (ones + twos)
+        empty = np.exp(-mean) if ones + twos > 1 else 0.0
+        cost += n * (ones + twos + twos * mean) + _COST_PER_CANDIDATE * n * n / 2 * (ones * empty**2 + twos * (empty * (1 + mean)) ** 2)
+    return cost
+
+
+def common_elements(docs: DataFrame, size: int, total: int) -> DataFrame:
+    """(element): those in at least COMMON of all documents, by what repeats inside the blocks of texts.
+
+    The list only decides the order in which elements are indexed, so an element that it lacks costs time, not links. It has at most
+    1 / COMMON times the mean set size entries, however many documents there are.
+    """
+
+    def run(batches):
+        for _, values, _ in _sets(batches, size):
+            elements, counts = np.unique(values, return_counts=True)
+            many = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(elements[many].view(np.int64)), pa.array(counts[many])], ["element", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= max(20.0, total * COMMON)).select("element")
+
+
+def element_rows(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+    """(key, vertex) of the finest partition, a segment an element: a set indexes as many of its own segments as a linked set can
+    miss, and one more, the costly common ones last; the others get the allowance 0."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
+
+    def run(batches):
+        seen: set[int] = set()
+        known = shared.value
+        for _, values, bounds in _sets(batches, size):
+            vertices = _set_hash(values, bounds)
+            for r, v in enumerate(vertices.tolist()):
+                if v in seen:
+                    continue
+                if len(seen) < _SEEN:
+                    seen.add(v)
+                own = values[bounds[r] : bounds[r + 1]]
+                n = len(own)
+                if not n:
+                    continue
+                most = n - -(-n * num // den) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    costly = known[at] == own
+                    own = np.concatenate([own[~costly], own[costly]])
+                yield K.mix(own[:most] ^ np.uint64(0x5EED)), np.full(most, vertices[r])
+
+    def batched(batches):
+        keys, owners, held = [], [], 0
+        for k, o in run(batches):
+            keys.append(k)
+            owners.append(o)
+            held += len(k)
+            if held > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], ["key", "vertex"])
+                keys, owners, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], ["key", "vertex"])
+
+    return docs.select("doc_id", "text").mapInArrow(batched, "key long, vertex long")
+
+
 def _sets(batches, size: int):
     """(batch, distinct shingle hashes, bounds) of pieces of the batches."""
     for piece in K.blocks(batches, "text"):
@@ -233,7 +307,12 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     counts = {r[0]: r[1] for r in filled.groupBy(bands.alias("band")).count().collect()}  # a row a band
     plan = allocate(starts, counts, num, den)
 
-    rows = index_rows(docs, size, starts, plan)
+    elements = sum(n * ((den - num) / den * starts[b] * 1.2 + 1) for b, n in counts.items())
+    if plan_cost(starts, counts, plan) <= ELEMENT_FACTOR * elements:
+        rows = index_rows(docs, size, starts, plan)
+    else:
+        common = common_elements(docs, size, sum(counts.values()))
+        rows = element_rows(docs, size, num, den, np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
     shared = staged(
         rows.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("far")).where("hub <> far").select("key", "hub"), "jaccard-shared"
     )

@@ -50,6 +50,19 @@ def test_random_edits_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_low_thresholds_equal_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rng = random.Random(8)
+    for i, t in rows[:60]:
+        words = (t or "").split(" ")
+        for _ in range(max(1, len(words) // 60)):
+            words[rng.randrange(len(words))] = "edited"
+        rows.append((10_000 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size, num in ((5, 80), (2, 50)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard_components(docs, size, num, 100).collect()} == brute(rows, size, num)
+
+
 def test_chain_inside_a_bucket(spark):
     """Neighbours link, ends do not: the hub alone would not find every link."""
     base = [f"t{i}" for i in range(120)]

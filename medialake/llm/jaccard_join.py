@@ -43,8 +43,8 @@ _SEEN = 200_000
 MOST_BITS = 8192
 #: How much dearer a row of the finest partition counts: single elements are shared more often than segments.
 ELEMENT_FACTOR = 2.0
-#: The share of documents from which on an element is common, and indexed last.
-COMMON = 0.001
+#: The most common elements that are told to the workers (8 bytes each), to be indexed last.
+COMMON = 1_000_000
 #: Rounds in which open keys test a star before all pairs across their components are.
 STAR_ROUNDS = 2
 #: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
@@ -96,10 +96,9 @@ def plan_cost(starts: np.ndarray, counts: dict[int, int], plan: np.ndarray) -> f
 
 
 def common_elements(docs: DataFrame, size: int, total: int) -> DataFrame:
-    """(element): those in at least COMMON of all documents, by what repeats inside the blocks of texts.
+    """(element): those that stand out in the documents' count, by what repeats inside the blocks of texts; the COMMON most common.
 
-    The list only decides the order in which elements are indexed, so an element that it lacks costs time, not links. It has at most
-    1 / COMMON times the mean set size entries, however many documents there are.
+    The list only decides the order in which elements are indexed: an element that it lacks costs time, never a link.
     """
 
     def run(batches):
@@ -109,7 +108,7 @@ def common_elements(docs: DataFrame, size: int, total: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(elements[many].view(np.int64)), pa.array(counts[many])], ["element", "n"])
 
     counts = docs.select("text").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= max(20.0, total * COMMON)).select("element")
+    return counts.where(F.col("n") >= max(20.0, total**0.5 / 4)).orderBy(F.desc("n"), "element").limit(COMMON).select("element")
 
 
 def element_rows(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:

@@ -31,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_SUPPORT = 5
 MIN_SCORE = 0.6
 ROUNDS = 3
+LISTED_CONTEXTS = 5_000
 BROADCAST_CONTEXTS = 50_000
 
 # Each pattern finds what the contract's pattern finds, leftmost and non-overlapping, without its backtracking: a match can
@@ -133,13 +134,17 @@ def find_spans(docs: DataFrame) -> DataFrame:
 def context_uses(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """(context, uses): how often each of the contexts (a written table) stands in the whole corpus, whatever follows it.
 
-    Up to BROADCAST_CONTEXTS contexts are broadcast; more are joined by a shuffle of counts made on the map side.
+    Up to LISTED_CONTEXTS contexts are a predicate beside the scan, up to BROADCAST_CONTEXTS are broadcast; more are joined by a
+    shuffle of counts made on the map side.
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     pairs = docs.select(words.alias("w")).select(
         F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))).alias("context")
     )
-    if contexts.count() <= BROADCAST_CONTEXTS:
+    few = [r[0] for r in contexts.limit(LISTED_CONTEXTS + 1).collect()]
+    if len(few) <= LISTED_CONTEXTS:
+        pairs = pairs.where(F.col("context").isin(*few) if few else F.lit(False))
+    elif contexts.count() <= BROADCAST_CONTEXTS:
         pairs = pairs.join(F.broadcast(contexts), "context", "left_semi")
     counts = pairs.groupBy("context").agg(F.count(F.lit(1)).alias("uses"))
     return counts.join(contexts, "context", "left_semi")

@@ -30,7 +30,7 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD = 256
 #: Entries of a worker's cache of encoded chunks: a bound on memory, not on what is encoded.
-CACHED = 600_000
+CACHED = 450_000
 #: How the byte-level scheme cuts a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = (1 << 60, -1)

@@ -30,7 +30,7 @@ FIT_ROWS = 3_000
 MIN_SHARE = 0.01
 SLOTS = 1 << 20
 HASHES = 3
-CACHED = 400_000
+CACHED = 300_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 

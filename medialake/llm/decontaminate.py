@@ -5,9 +5,10 @@ A test item is found in a document when the document holds at least THRESHOLD of
 signature of a partition is a one-permutation MinHash whose number of bins is BINS_PER_ELEMENT times the partition's upper
 size. Containment of a short item in a long document is a tiny Jaccard similarity, which a signature of fixed length would
 miss; with bins in proportion to the document, each of its elements is the minimum of its bin with probability of about 0.88
-or more, so an item with several shared shingles is missed with a probability that vanishes as a power of their number. An
-item has one signature per partition. A document is a candidate for every item with an equal minimum in a bin, and
-candidates are verified against their exact sets (64-bit hashes of shingles).
+or more, so an item with several shared shingles is missed with a probability that vanishes as a power of their number: from
+FEW shingles on at least 7 are shared, and 0.12 to the power of 7 is 4e-7. An item has one signature per partition. A document
+is a candidate for every item with an equal minimum in a bin, and for every item of fewer than FEW shingles of which it holds
+any at all, minimum or not. Candidates are verified against their exact sets (64-bit hashes of shingles).
 
 Items are a query set: they go to the workers in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words each, so what is
 broadcast is bounded however many there are, and each block is searched over all documents. Documents are neither shuffled nor
@@ -32,6 +33,7 @@ from .common import table
 SIZE = 5
 THRESHOLD = 0.8
 BINS_PER_ELEMENT = 4
+FEW = 8
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 2_000_000
 
@@ -71,6 +73,7 @@ class ItemBlock:
         order = np.argsort(flat, kind="stable")
         self.elements, self.owners = flat[order], owner[order]
         self.universe = np.unique(flat)
+        self.has_few = bool((self.sizes < FEW).any())
         self.flat, self.owner = flat, owner
         self._signatures: dict[int, np.ndarray] = {}
 
@@ -98,10 +101,10 @@ class ItemBlock:
             p = int(part[r])
             lowest = own[minima(own, np.zeros(len(own), np.int64), np.full(len(own), p))]
             equal = np.intersect1d(lowest, self.signature(p), assume_unique=True)
-            if not len(equal):
+            if not len(equal) and not self.has_few:
                 continue
-            candidates = np.unique(self._owners_of(equal))
             shared = np.bincount(self._owners_of(np.intersect1d(own, self.universe, assume_unique=True)), minlength=len(self.sizes))
+            candidates = np.union1d(self._owners_of(equal), np.flatnonzero((shared > 0) & (self.sizes < FEW)))
             for i in candidates[shared[candidates] >= threshold * self.sizes[candidates] - 1e-9].tolist():
                 out.append((r, int(self.ids[i]), int(shared[i]), int(self.sizes[i])))
         return out

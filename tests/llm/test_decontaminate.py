@@ -1,3 +1,5 @@
+import random
+
 from medialake.llm.decontaminate import contaminated, op9_decontamination
 
 
@@ -28,3 +30,17 @@ def test_item_in_a_very_long_document(spark):
     docs = spark.createDataFrame([(1, noise), (2, noise[:200_000] + " " + item + " " + noise[200_000:])], "doc_id long, text string")
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert [(r.doc_id, r.containment) for r in contaminated(docs, items).collect()] == [(2, 1.0)]
+
+
+def test_items_of_one_or_two_shingles_in_every_document(spark):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(3 + k % 4))) for k in range(8)]
+    rows, want = [], set()
+    for d in range(2_000):
+        words = [f"n{rng.randrange(500)}" for _ in range(rng.randint(20, 300))]
+        k = d % 8
+        at = rng.randrange(len(words))
+        rows.append((d, " ".join(words[:at] + [items[k][1]] + words[at:])))
+        want.add((d, k))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..components import contracted
+
 _own_folders: dict[str, str] = {}
 
 
@@ -50,28 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: (node, component), the component named by its smallest node.
-
-    edges has two long columns a and b. Each round every node takes the smallest label among its own, its
-    neighbours' and its label's own label (pointer jumping), so stars end in two rounds and a path of n nodes in
-    about log n. Messages are combined on the map side before the shuffle, so a hub costs no more than another node.
-    The state of a round is a written table; nothing but the count of changed labels comes to the driver.
-    """
-    both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "cc-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "cc-labels")
-    for _ in range(rounds):
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jumped"))
-        after = staged(
-            labels.join(jump, "component", "left").join(heard, "node", "left")
-            .select("node", F.least("component", "jumped", "heard").alias("component"), (F.least("jumped", "heard") < F.col("component")).alias("changed")),
-            "cc-labels",
-        )
-        moved = after.where("changed").limit(1).count()
-        discard(labels)
-        labels = after
-        if not moved:
-            discard(both)
-            return labels.select("node", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the undirected graph of two long columns a and b; tables of a round are written and then deleted."""
+    return contracted(edges, lambda df: staged(df, "cc"), discard)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import peak, residual
-from ..session import cut
+from ..llm.common import connected_components
 
 
 def residual_edges(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.05) -> DataFrame:
@@ -20,18 +20,11 @@ def residual_edges(df: DataFrame, group: str, key: str, vector: str, threshold:
     return a.join(b, "g").where((F.col("a") < F.col("b")) & (residual(F.col("va"), F.col("vb")) < threshold)).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): connected components, named by their smallest node, by label propagation with pointer jumping."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(rounds):
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("jumped"))
-        after = labels.join(jump, "component", "left").join(heard, "node").select("node", F.least("component", "jumped", "heard").alias("component"), (F.least("jumped", "heard") < F.col("component")).alias("moved"))
-        labels = cut(after)
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "component")
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): connected components, named by their smallest node, by contraction; a node linked only to itself is its own."""
+    parts = connected_components(edges)
+    alone = edges.where("a = b").select(F.col("a").alias("node")).distinct().join(parts, "node", "left_anti")
+    return parts.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
 def keep_one(df: DataFrame, edges: DataFrame, key: str, vector: str) -> DataFrame:

@@ -151,3 +151,17 @@ def test_streaming_takes_files_once(spark, sf, tmp_path):
     facet_updates(spark, folder, schema, out, mark)
     key = lambda df: sorted((r.facet, r.value, r.n, r.bytes) for r in df.collect())
     assert key(facet_totals(spark, out)) == key(count(u))
+
+
+def test_components_of_a_long_chain_with_shuffled_ids(spark):
+    from medialake.llm.common import connected_components
+
+    rng = random.Random(3)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(1_000)]
+    chain = list(zip(ids, ids[1:]))
+    star = [(2**62 + 10 + i, 2**62 + 500) for i in range(300)]
+    edges = spark.createDataFrame(chain + star + [(b, a) for a, b in chain[:50]] + [(7, 7)], "a long, b long").persist()
+    want = {(i, min(ids)) for i in ids} | {(i, 2**62 + 10) for e in star for i in e}
+    assert {(r.node, r.component) for r in connected_components(edges).collect()} == want
+    assert {(r.node, r.component) for r in clusters.components(edges).collect()} == want | {(7, 7)}
+    assert connected_components(edges.limit(0)).count() == 0

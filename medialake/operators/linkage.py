@@ -2,12 +2,14 @@
 
 Tracks have id, artist and title in normal form. Candidates are a union of equi-joins on blocking keys, made as one join on
 exploded (kind, key) entries; scores are computed once for every distinct pair of names; the one-to-one assignment takes, in
-rounds, every pair that is the best of both its ends, which equals taking pairs one by one from the best down.
+rounds, every pair that is the best of both its ends, and whole blocks of equal scores by rank, which equals taking pairs one by
+one from the best down.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,11 +17,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..llm.common import staged
 
 NEAR_EXACT = 0.995
 
 
+def stored(df: DataFrame) -> DataFrame:
+    return staged(df, "linkage")
+
+
 def block_keys(fuzzy: bool) -> Column:
     """Array of kind:key entries of a track."""
     keys = [F.concat(F.lit("x:"), "artist", F.lit("\t"), "title"), F.concat(F.lit("t:"), "title"), F.when(F.col("artist") != "", F.concat(F.lit("a:"), "artist"))]
@@ -58,20 +64,38 @@ def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return both.select("ref", "partner", F.least("sa", "st").alias("score"))
 
 
-def assign_greedily(scored: DataFrame, rounds: int = 100) -> DataFrame:
-    """The one-to-one pairs that greedy assignment by (score desc, ref, partner) takes."""
+def _tied_blocks(left: DataFrame) -> DataFrame:
+    """(ref, partner, score) that greedy assignment takes in blocks of equal best scores: where every reference of a block has
+    the same best partners and each of these the same best references, the n-th reference takes the n-th partner."""
+    alike = lambda end: F.sum(F.xxhash64(end).cast("decimal(38,0)"))  # noqa: E731  of a set of ids, in any order
+    tops = left.join(left.groupBy("ref").agg(F.max("score").alias("sr")), "ref").join(left.groupBy("partner").agg(F.max("score").alias("sp")), "partner")
+    tops = stored(tops.where("score = sr or score = sp"))
+    refs = tops.where("score = sr").groupBy("ref").agg(alike("partner").alias("hr"), F.count(F.lit(1)).alias("nr"), F.min(F.col("sr") == F.col("sp")).alias("okr"))
+    partners = tops.where("score = sp").groupBy("partner").agg(alike("ref").alias("hp"), F.count(F.lit(1)).alias("np"), F.min(F.col("sr") == F.col("sp")).alias("okp"))
+    both = stored(tops.where("sr = sp").join(refs.where("okr"), "ref").join(partners.where("okp"), "partner"))
+    same = lambda end, *other: both.groupBy(end).agg(*[F.min(c).alias(c) for c in other], F.count(F.lit(1)).alias("n"), F.max("score").alias("score"), (F.min(other[0]) == F.max(other[0])).alias("same"))
+    # A block is named by the two sets; all edges of its nodes must be whole, so the counts are held against the sets' sizes.
+    r = same("ref", "hp", "np", "hr", "nr").where("same and n = nr")
+    p = same("partner", "hr", "nr", "hp", "np").where("same and n = np")
+    nth = lambda df, end: df.select(end, "score", "hr", "hp", F.row_number().over(W.partitionBy("score", "hr", "hp").orderBy(end)).alias("nth"), F.count(F.lit(1)).over(W.partitionBy("score", "hr", "hp")).alias("k"), "nr", "np")
+    # Whole blocks only: as many references as a partner of it has, and as many partners as a reference has.
+    a, b = nth(r, "ref").where("k = np"), nth(p, "partner").where("k = nr").drop("k", "nr", "np")
+    return stored(a.join(b, ["score", "hr", "hp", "nth"]).select("ref", "partner", "score"))
+
+
+def assign_greedily(scored: DataFrame) -> DataFrame:
+    """The one-to-one pairs that greedy assignment by (score desc, ref, partner) takes; rounds go on until no edge is left."""
     order = F.struct((-F.col("score")).alias("worse"), "ref", "partner")
-    left, taken = cut(scored.withColumn("o", order)), None
-    for _ in range(rounds):
+    left, taken = stored(scored.select("ref", "partner", "score").dropna().distinct()), []
+    while left.limit(1).count():
         # Aggregations, not windows: the best edge of a node is combined on the map side.
-        best_ref = left.groupBy("ref").agg(F.min("o").alias("r"))
-        best_partner = left.groupBy("partner").agg(F.min("o").alias("p"))
-        won = cut(best_ref.join(best_partner, F.col("r") == F.col("p")).select("ref", "partner", (-F.col("r.worse")).alias("score")))
-        taken = won if taken is None else cut(taken.unionByName(won))
-        left = cut(left.join(won.select("ref"), "ref", "left_anti").join(won.select("partner"), "partner", "left_anti"))
-        if left.isEmpty():
-            break
-    return taken
+        best_ref = left.groupBy("ref").agg(F.min(order).alias("r"))
+        best_partner = left.groupBy("partner").agg(F.min(order).alias("p"))
+        won = best_ref.join(best_partner, F.col("r") == F.col("p")).select("ref", "partner", (-F.col("r.worse")).alias("score"))
+        won = stored(won.unionByName(_tied_blocks(left)).distinct())
+        taken.append(won)
+        left = stored(left.join(won.select("ref"), "ref", "left_anti").join(won.select("partner"), "partner", "left_anti"))
+    return reduce(DataFrame.unionByName, taken) if taken else left
 
 
 def assign_exact(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -165,3 +165,12 @@ def test_components_of_a_long_chain_with_shuffled_ids(spark):
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == want
     assert {(r.node, r.component) for r in clusters.components(edges).collect()} == want | {(7, 7)}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_equal_scores_are_all_assigned(spark):
+    from medialake.operators.linkage import assign_greedily
+
+    left = spark.range(500).select(F.col("id").alias("ref"))
+    right = spark.range(1_000, 1_500).select(F.col("id").alias("partner"))
+    scored = left.join(right, F.lit(True)).select("ref", "partner", F.lit(1.0).alias("score"))
+    assert {tuple(r) for r in assign_greedily(scored).collect()} == {(i, 1_000 + i, 1.0) for i in range(500)}

@@ -79,7 +79,7 @@ def sig11_shift_and_fit(spark, sf):
 
 def sig12_alignment(spark, sf):
     """Each pair's later signal moved by its delay and cut to the reference's length."""
-    lagged = _pairs(spark, sf).withColumn("lag", G.delay(F.slice("v", 1, 12), F.slice("w", 1, 12)))
+    lagged = _pairs(spark, sf).withColumn("lag", G.delay("v", "w"))
     aligned = G.fitted(G.shifted(F.col("w"), -F.col("lag")), F.size("v"))
     return lagged.select("vec_id", "lag", F.round(G.rms(aligned), 6).alias("rms"))
 

@@ -174,3 +174,14 @@ def test_equal_scores_are_all_assigned(spark):
     right = spark.range(1_000, 1_500).select(F.col("id").alias("partner"))
     scored = left.join(right, F.lit(True)).select("ref", "partner", F.lit(1.0).alias("score"))
     assert {tuple(r) for r in assign_greedily(scored).collect()} == {(i, 1_000 + i, 1.0) for i in range(500)}
+
+
+def test_alignment_takes_the_delay_of_whole_signals(spark, sf):
+    import numpy as np
+
+    from medialake.queries import signals
+
+    pairs = {r.vec_id: np.correlate(np.array(r.w), np.array(r.v), "full") for r in signals._pairs(spark, sf).collect()}
+    got = {r.vec_id: r.lag for r in signals.sig12_alignment(spark, sf).collect()}
+    assert set(got) == set(pairs) and any(abs(lag) > 11 for lag in got.values())
+    assert all(pairs[i][63 + lag] >= pairs[i].max() - 1e-9 for i, lag in got.items())

@@ -4,7 +4,8 @@ DataFrame functions only. Base spans are the matches of four patterns with their
 bootstrapping: a pattern is a kind with the two words before an entity, and an instance is an identifier-like token (a
 token with a digit) by its value. Patterns and instances form a bipartite graph, scored by rounds of aggregation:
 
-* an instance that a base match of a kind covers, or equals in value, is a seed with score 1 for the kind;
+* a base span of a kind, and a token that equals one in value, is a seed with score 1 for the kind; its context is the two words
+  before the span, however the span is written; tokens that overlap no base span are the unseen instances;
 * a pattern's score is the mean score over all uses of its two words in the corpus, whatever follows them: a seed's use counts
   1, an unseen instance's use its score (0 at first), any other word 0;
 * an unseen instance's score is the noisy-or of the scores of its patterns; a pattern needs MIN_SUPPORT distinct seeds.
@@ -102,12 +103,26 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(tagged(found, kind) for kind, found in enumerate(by_kind))))
 
 
+def context(text: Column, at: Column) -> Column:
+    """The two words before the white-space token that holds place `at`, lower-cased, one space between them; a missing word is empty."""
+
+    def words(piece: Column) -> Column:  # the last is the token's own part before `at`, or empty
+        return F.split(piece, r"[\x20\x09-\x0D]+", -1)
+
+    def two(pieces: Column) -> Column:
+        padded = F.concat(F.array(F.lit(""), F.lit("")), pieces)
+        return F.lower(F.concat_ws(" ", F.element_at(padded, -3), F.element_at(padded, -2)))
+
+    near = words(F.substring(text, F.greatest(at - 59, F.lit(1)), F.least(at, F.lit(60))))
+    # A window that cuts neither of the two words holds a piece before them, or the text's start.
+    return F.when((at <= 60) | (F.size(near) >= 4), two(near)).otherwise(two(words(F.substring(text, F.lit(1), at))))
+
+
 def tokens(text: Column) -> Column:
     """array<struct<at, to, value, context>>: tokens with a digit, without punctuation around them, and the two words before.
 
     Only looked for in texts with a digit.
     """
-    left = lambda at: F.lower(F.regexp_extract(F.substring(text, F.greatest(at - 59, F.lit(1)), F.least(at, F.lit(60))), r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1))
     bare = lambda v: F.regexp_replace(v, r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
     lead = lambda v: F.length(v) - F.length(F.regexp_replace(v, r"^[^A-Za-z0-9+]+", ""))
     return F.filter(
@@ -117,18 +132,19 @@ def tokens(text: Column) -> Column:
                 (m["at"] + lead(m["value"])).alias("at"),
                 (m["at"] + lead(m["value"]) + F.length(bare(m["value"]))).alias("to"),
                 bare(m["value"]).alias("value"),
-                left(m["at"]).alias("context"),
+                context(text, m["at"]).alias("context"),
             ),
         ),
-        lambda t: (F.length(t["value"]) >= 5) & (t["context"] != ""),
+        lambda t: F.length(t["value"]) >= 5,
     )
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, tokens) of every document, as a written table."""
+    """(doc_id, base, seeds, tokens) of every document, as a written table; seeds has the kind, value and context of each base span."""
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = text.select("doc_id", base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike("[0-9]"), tokens(F.col("text"))).alias("tokens"))
-    return staged(found, "pii-found")
+    found = text.select("doc_id", "text", base_spans(F.col("text")).alias("base"), F.when(F.col("text").rlike("[0-9]"), tokens(F.col("text"))).alias("tokens"))
+    seed = lambda b: F.struct(b["kind"].alias("kind"), b["value"].alias("value"), context(F.col("text"), b["at"]).alias("context"))
+    return staged(found.select("doc_id", "base", F.transform("base", seed).alias("seeds"), "tokens"), "pii-found")
 
 
 def context_uses(docs: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -138,7 +154,8 @@ def context_uses(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     shuffle of counts made on the map side.
     """
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pairs = docs.select(words.alias("w")).select(
+    # Two empty words in front: a text's first two contexts have fewer than two words.
+    pairs = docs.select(F.concat(F.array(F.lit(""), F.lit("")), words).alias("w")).select(
         F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))).alias("context")
     )
     few = [r[0] for r in contexts.limit(LISTED_CONTEXTS + 1).collect()]
@@ -152,9 +169,9 @@ def context_uses(docs: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def context_patterns(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, least: float = MIN_SCORE) -> DataFrame:
     """(context, kind, score) of the patterns trusted after the rounds."""
-    seen = found.select("base", F.explode("tokens").alias("t"))
-    covering = F.filter("base", lambda b: (b["at"] < F.col("t.to")) & (F.col("t.at") < b["to"]))
-    marked = seen.select("t.context", "t.value", F.when(F.size(covering) > 0, covering[0]["kind"]).alias("kind"))
+    outside = ~F.exists("base", lambda b: (b["at"] < F.col("t.to")) & (F.col("t.at") < b["to"]))
+    unseen = found.select("base", F.explode("tokens").alias("t")).where(outside).select("t.context", "t.value", F.lit(None).cast("int").alias("kind"))
+    marked = found.select(F.explode("seeds").alias("s")).select("s.context", "s.value", "s.kind").unionByName(unseen)
     # The graph: an edge for each context and value, with its uses; a value is a seed of the kind that a base match gives it anywhere.
     edges = staged(marked.groupBy("context", "value").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("uses")), "pii-edges")
     seeds = edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("seed"))

@@ -57,3 +57,22 @@ def test_context_finds_unseen_identifiers(spark):
 def test_edges(edge_docs, no_docs):
     assert personal_data(edge_docs).count() == edge_docs.count()
     assert personal_data(no_docs).count() == 0
+
+
+def test_spans_of_every_form_seed_their_contexts(spark):
+    names = [a + b for a in ("ann", "bob", "cleo") for b in ("x", "y", "z", "w")]
+    rows = [f"Sales  desk\tdial +1 (743) 555-38{i:02d} now" for i in range(12)] + [f"we write to {n}@example.com now" for n in names]
+    rows += ["please charge card 4041 8949 7460 8795" + " " * i + f" then {i}" for i in range(2)]
+    rows += ["sales desk dial ext#77123 now", "we write to user77#corp now", "an ordinary walk of 12345 steps"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    added = {r.doc_id: [(rows[r.doc_id][s.at : s.to], s.kind) for s in r.added] for r in personal_data(docs).collect() if r.added}
+    assert added == {26: [("ext#77123", 3)], 27: [("user77#corp", 0)]}
+
+
+def test_grouped_cards_seed_their_context(spark):
+    cards = [f"4041 8949 74{i:02d} {j:04d}" for i in range(12) for j in range(1000, 1010)]
+    cards = [c for c in cards if luhn(c.replace(" ", ""))][:8]
+    rows = [f"{c} was charged" for c in cards] + [f"charge my card {c} today" for c in cards] + ["charge my card A99-1234 today"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    added = {r.doc_id: [(s.at, s.to, s.kind) for s in r.added] for r in personal_data(docs).collect() if r.added}
+    assert len(cards) == 8 and added == {16: [(15, 23, 2)]}

@@ -26,6 +26,7 @@ CASES = [
     None, "", "a@b.c", "x a@b.c_d@e.f y", "é 😀 a.b+c@d-e.fg.hi, z", "1.2.3.4.5.6.7.8", "0001.002.0300.255", "256.1.1.1 1.1.1.1", "4041 8949-7460 8795", "4041894974608795 4041894974608795",
     "404189497460879512345678901234", "1 2  3 4", "call +1 (456) 555-2186 or +49 30 1234567.", "+12-", "++1 234 567 8901", "4111 1111 1111 1111-", "x" * 70_000 + "@" + "y" * 10 + ".z",
     "9" * 60_000, "1 " * 30_000, "a@" * 2_000, "+1" + " 2" * 3_000, "12.34." * 5_000,
+    "a@b" + ".c" * 200_000, "7x " * 3_000 + "a@b.c", "w" * 4_000 + " 1.2.3.4",
 ]
 
 
@@ -76,3 +77,15 @@ def test_grouped_cards_seed_their_context(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     added = {r.doc_id: [(s.at, s.to, s.kind) for s in r.added] for r in personal_data(docs).collect() if r.added}
     assert len(cards) == 8 and added == {16: [(15, 23, 2)]}
+
+
+def test_bootstrapping_reaches_what_no_seed_stands_beside(spark):
+    """Identifiers after common words lead to the words before keys, and these to keys among rare words; numbers are left alone."""
+    rows = [f"ask the 10.0.0.{i} for more" for i in range(30)] + [f"ask the AKIA{i:02d}XK99 for key word {i}" for i in range(6)]
+    rows += [f"rare{'abcdefghij'[i]} AKIA7{i}QQ8 word{'abcdefghij'[i]}" for i in range(4)]
+    rows += [f"ask the secret={i:02d}f9a8b for more" for i in range(6)] + ["lone secret = 'ff00aa11' again"]
+    rows += [f"there were {n} people in {1900 + n} rooms" for n in range(10_000, 10_200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    added = {r.doc_id: [rows[r.doc_id][s.at : s.to] for s in r.added] for r in personal_data(docs).collect() if r.added}
+    keys = {i: [rows[i].split()[2].split("=")[-1]] for i in [*range(30, 36), *range(40, 46)]}
+    assert added == keys | {36 + i: [f"AKIA7{i}QQ8"] for i in range(4)} | {46: ["ff00aa11"]}

@@ -5,16 +5,17 @@ Two documents link when their sets of word shingles have a Jaccard similarity of
 * Set sizes fall into bands that grow by half. A band is one scheme; a set takes part in its own band's scheme and in the
   lower ones where it can still be the larger partner.
 * In a scheme, linked sets differ in at most h = (s + l) * (den - num) // (den + num) elements. The universe is hashed into
-  segments, each with an allowance v: 1 (found when the segment is equal) or 2 (found when it differs by at most one
-  element). When the allowances sum to h + 1, some segment of every linked pair keeps within its own: no link is lost.
-* A segment of allowance 1 is indexed by its subset (the sum of its elements' hashes); one of allowance 2 also by its
-  one-deletion neighbourhood. A cost model over the counts of sets in every scheme chooses how many segments get 2: these cost a
-  row per element but share keys less often. At low thresholds segments become so thin that many are alike by chance; then
-  the model takes the finest partition, a segment an element, where a set of n indexes the n - ceil(n * num / den) + 1 cheapest of
-  its own and gives the others the allowance 0 (a linked set misses too few elements to miss all of these).
+  segments of two kinds. T segments have the allowance 2: they are indexed by their subset (the sum of its elements' hashes)
+  and its one-deletion neighbourhood, so a pair is found when one of them differs by at most one element. If none does, they
+  hold 2T of the differences, and of the M other segments at most h - 2T differ. Of these a set indexes the subsets of the
+  h - 2T + 1 that stand first in an order all sets share, fullest first, with the allowance 1, and skips the rest (allowance 0):
+  among M segments of which M - (h - 2T) are equal, the first equal one is among the indexed of both sets. No link is lost,
+  and segments that are alike by chance because they are nearly empty are skipped.
+* A cost model over the counts of sets in every scheme chooses T (1 at least wherever sets may differ), how much fuller
+  these segments are, and M. It weighs index rows against chance candidates; the method is one and the same at every size.
 * Sets that share a key are candidates, unless a sketch rules the pair out: the parities of the elements' counts by bin differ in
-  no more bins than the sets differ in elements, so too many odd bins prove a similarity below the threshold. Each key's smallest set is its hub: first every set is verified against its hubs and
-  components are formed, then keys that still hold several components are verified pair by pair across components. A dense
+  no more bins than the sets differ in elements, so too many odd bins prove a similarity below the threshold. Each key's
+  smallest set is its hub: first every set is verified against its hubs and components are formed, then keys that still hold several components are verified pair by pair across components. A dense
   group of g near copies so costs about g verifications, and no link between components is left untested.
 
 Keys are 64-bit hashes: an accidental collision only adds a candidate, which the exact verification rejects. Shingles are
@@ -27,6 +28,9 @@ the whole sequence; rows that repeat a doc_id each come back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import ceil, exp
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,10 +45,8 @@ _COST_PER_CANDIDATE = 4.0
 _SEEN = 200_000
 #: Bits of the largest sketch.
 MOST_BITS = 8192
-#: How much dearer a row of the finest partition counts: single elements are shared more often than segments.
-ELEMENT_FACTOR = 2.0
-#: The most common elements that are told to the workers (8 bytes each), to be indexed last.
-COMMON = 1_000_000
+#: How often two unrelated sets share a segment's only element, as the cost model reckons.
+_SINGLE_ALIKE = 1e-3
 #: Rounds in which open keys test a star before all pairs across their components are.
 STAR_ROUNDS = 2
 #: Ids of verified documents that are broadcast (8 bytes each); more are joined by a shuffle.
@@ -59,97 +61,54 @@ def size_bands(largest: int) -> np.ndarray:
     return np.array(starts)
 
 
-def allocate(starts: np.ndarray, counts: dict[int, int], num: int, den: int) -> np.ndarray:
-    """Per scheme (largest member, segments of allowance 1, segments of allowance 2), the cheapest by the cost model.
-
-    counts has the number of sets by band. A scheme of n sets of about z elements in m segments costs n rows a segment, z/m
-    more for each of allowance 2, and candidates: pairs whose elements leave the same segment (nearly) empty.
-    """
-    out = []
-    for i, low in enumerate(starts[:-1]):
-        high = starts[i + 1] - 1
-        largest = high * den // num
-        h = int((high + largest) * (den - num) // (den + num))
-        n = counts.get(i, 0) + counts.get(i + 1, 0)
-        best = None
-        for twos in range((h + 1) // 2 + 1):
-            ones = h + 1 - 2 * twos
-            m = ones + twos
-            mean = low / m
-            empty = np.exp(-mean) if m > 1 else 0.0
-            alike1, alike2 = empty**2, (empty * (1 + mean)) ** 2
-            cost = n * (m + twos * mean) + _COST_PER_CANDIDATE * n * n / 2 * (ones * alike1 + twos * alike2)
-            if best is None or cost < best[0]:
-                best = (cost, ones, twos)
-        out.append((largest, best[1], best[2]))
-    return np.array(out, dtype=np.int64).reshape(-1, 3)
-
-
-def plan_cost(starts: np.ndarray, counts: dict[int, int], plan: np.ndarray) -> float:
-    """Index rows that a plan makes, and the candidates that it expects."""
-    cost = 0.0
-    for i, (_, ones, twos) in enumerate(plan.tolist()):
-        n, mean = counts.get(i, 0) + counts.get(i + 1, 0) / 2, starts[i] * 1.2 / (ones + twos)
-        empty = np.exp(-mean) if ones + twos > 1 else 0.0
-        cost += n * (ones + twos + twos * mean) + _COST_PER_CANDIDATE * n * n / 2 * (ones * empty**2 + twos * (empty * (1 + mean)) ** 2)
-    return cost
-
-
-def common_elements(docs: DataFrame, size: int, total: int) -> DataFrame:
-    """(element): those that stand out in the documents' count, by what repeats inside the blocks of texts; the COMMON most common.
-
-    The list only decides the order in which elements are indexed: an element that it lacks costs time, never a link.
-    """
+@dataclass(frozen=True)
+class Scheme:
+    """How the sets of a band and their larger partners are cut and indexed."""
 
-    def run(batches):
-        for _, values, _ in _sets(batches, size):
-            elements, counts = np.unique(values, return_counts=True)
-            many = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(elements[many].view(np.int64)), pa.array(counts[many])], ["element", "n"])
+    largest: int  #: the largest set that takes part
+    twos: int  #: segments of allowance 2
+    weight: int  #: how many times fuller these are than the others
+    others: int  #: segments of allowance 1 or 0
+    indexed: int  #: how many of the others a set indexes
 
-    counts = docs.select("text").mapInArrow(run, "element long, n long").groupBy("element").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= max(20.0, total**0.5 / 4)).orderBy(F.desc("n"), "element").limit(COMMON).select("element")
 
+def _cost(n: float, size: float, twos: int, weight: int, others: int, indexed: int) -> float:
+    """Index rows of n sets of about size elements, and chance candidates: pairs whose indexed segments are (nearly) empty alike."""
+    mean = size / (twos * weight + others)
+    rows = indexed + twos * (1 + weight * mean)
+    alike = 0.0
+    if others > 1:
+        skipped, empty = 1 - indexed / others, exp(-mean)
+        none = max(0.0, empty - skipped)
+        single = max(0.0, min(empty * mean, empty * (1 + mean) - skipped))
+        alike += others * (none**2 + _SINGLE_ALIKE * single**2)
+    if twos * weight + others > weight:
+        alike += twos * (exp(-mean * weight) * (1 + mean * weight)) ** 2
+    return n * rows + _COST_PER_CANDIDATE * n * n / 2 * alike
 
-def element_rows(docs: DataFrame, size: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(key, vertex) of the finest partition, a segment an element: a set indexes as many of its own segments as a linked set can
-    miss, and one more, the costly common ones last; the others get the allowance 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(common))
 
-    def run(batches):
-        seen: set[int] = set()
-        known = shared.value
-        for _, values, bounds in _sets(batches, size):
-            vertices = _set_hash(values, bounds)
-            for r, v in enumerate(vertices.tolist()):
-                if v in seen:
-                    continue
-                if len(seen) < _SEEN:
-                    seen.add(v)
-                own = values[bounds[r] : bounds[r + 1]]
-                n = len(own)
-                if not n:
-                    continue
-                most = n - -(-n * num // den) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    costly = known[at] == own
-                    own = np.concatenate([own[~costly], own[costly]])
-                yield K.mix(own[:most] ^ np.uint64(0x5EED)), np.full(most, vertices[r])
-
-    def batched(batches):
-        keys, owners, held = [], [], 0
-        for k, o in run(batches):
-            keys.append(k)
-            owners.append(o)
-            held += len(k)
-            if held > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], ["key", "vertex"])
-                keys, owners, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).view(np.int64))], ["key", "vertex"])
-
-    return docs.select("doc_id", "text").mapInArrow(batched, "key long, vertex long")
+def allocate(starts: np.ndarray, counts: dict[int, int], num: int, den: int) -> list[Scheme]:
+    """Per band the cheapest scheme; counts has the number of sets by band."""
+    out = []
+    for i, low in enumerate(starts[:-1].tolist()):
+        high = int(starts[i + 1]) - 1
+        largest = high * den // num
+        h = (high + largest) * (den - num) // (den + num)
+        n = counts.get(i, 0) + counts.get(i + 1, 0)
+        if h == 0:
+            out.append(Scheme(largest, 0, 1, 1, 1))
+            continue
+        most = (h + 1) // 2
+        best = None
+        for twos in sorted({min(most, 1 << k) for k in range(most.bit_length() + 1)}):
+            indexed = h + 1 - 2 * twos
+            for others in sorted({ceil(indexed * slack) for slack in (1, 1.15, 1.3, 1.6, 2, 3)}):
+                for weight in (1, 2, 4, 8) if others else (1,):
+                    cost = _cost(n, low * 1.2, twos, weight, others, indexed)
+                    if best is None or cost < best[0]:
+                        best = (cost, Scheme(largest, twos, weight, others, indexed))
+        out.append(best[1])
+    return out
 
 
 def _sets(batches, size: int):
@@ -201,39 +160,45 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
-def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: np.ndarray) -> DataFrame:
-    """(key, set_hash): the index entries of every non-empty set."""
-    largest, ones, twos = plan[:, 0], plan[:, 1], plan[:, 2]
+def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme]) -> DataFrame:
+    """(key, vertex): the index entries of every non-empty set."""
+    largest, twos, weight, others, indexed = np.array([(p.largest, p.twos, p.weight, p.others, p.indexed) for p in plan], np.int64).reshape(-1, 5).T
+    # A set belongs to its own band and to as many lower ones as still let it in.
+    reach = max((int(np.searchsorted(starts, p.largest, "right")) - 1 - i for i, p in enumerate(plan)), default=0)
 
     def entries(values, bounds, vertices):
         n = np.diff(bounds)
         band = np.searchsorted(starts, n, "right") - 1
-        for back in range(len(starts)):
+        for back in range(reach + 1):
             scheme = band - back
             some = np.flatnonzero((scheme >= 0) & (n > 0) & (n <= largest[np.maximum(scheme, 0)]))
             if not len(some):
-                if not np.any((scheme >= 0) & (n > 0)):
-                    return
-                if back > 3:
-                    return
                 continue
-            m = (ones + twos)[scheme[some]]
+            of = scheme[some]
+            t, w, m = twos[of], weight[of], twos[of] + others[of]
             base = np.concatenate([[0], np.cumsum(m)])
             owner = np.repeat(np.arange(len(some)), n[some])
             pick = np.arange(len(owner)) + np.repeat(bounds[:-1][some] - np.concatenate([[0], np.cumsum(n[some])])[:-1], n[some])
             element = K.mix(values[pick] ^ np.uint64(0xA5A5A5A5))
-            segment = ((element >> np.uint64(32)) * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            cell = ((element >> np.uint64(32)) * (t * w + others[of]).astype(np.uint64)[owner] >> np.uint64(32)).astype(np.int64)
+            heavy = (t * w)[owner]
+            in_two = cell < heavy
+            segment = base[owner] + np.where(in_two, cell // w[owner], cell - heavy + t[owner])
             element = K.mix(element)
             sums = np.zeros(base[-1], np.uint64)
-            np.add.at(sums, base[owner] + segment, element)
-            of = np.repeat(np.arange(len(some)), m)
-            within = np.arange(base[-1]) - base[of]
-            tag = K.mix(scheme[some][of].astype(np.uint64) * np.uint64(1 << 32) + within.astype(np.uint64))
-            yield K.mix(sums ^ tag), vertices[some][of]
-            near = segment < twos[scheme[some]][owner]
-            if near.any():
-                at = (base[owner] + segment)[near]
-                yield K.mix((sums[at] - element[near]) ^ tag[at]), vertices[some][owner[near]]
+            np.add.at(sums, segment, element)
+            whose = np.repeat(np.arange(len(some)), m)
+            within = np.arange(base[-1]) - base[whose]
+            tag = K.mix(of[whose].astype(np.uint64) * np.uint64(1 << 32) + within.astype(np.uint64))
+            keys, filled = K.mix(sums ^ tag), np.bincount(segment, minlength=base[-1])
+            # Segments of allowance 2 come first, then the fullest; a set indexes all of the former and `indexed` of the latter.
+            order = np.lexsort((keys, -filled, within >= t[whose], whose))
+            rank = np.arange(base[-1]) - base[whose]
+            kept = order[rank < (t + indexed[of])[whose]]
+            yield keys[kept], vertices[some][whose[kept]]
+            if in_two.any():
+                at = segment[in_two]
+                yield K.mix((sums[at] - element[in_two]) ^ tag[at]), vertices[some][owner[in_two]]
 
     def run(batches):
         seen: set[int] = set()
@@ -306,16 +271,12 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     counts = {r[0]: r[1] for r in filled.groupBy(bands.alias("band")).count().collect()}  # a row a band
     plan = allocate(starts, counts, num, den)
 
-    elements = sum(n * ((den - num) / den * starts[b] * 1.2 + 1) for b, n in counts.items())
-    if plan_cost(starts, counts, plan) <= ELEMENT_FACTOR * elements:
-        rows = index_rows(docs, size, starts, plan)
-    else:
-        common = common_elements(docs, size, sum(counts.values()))
-        rows = element_rows(docs, size, num, den, np.array([r[0] for r in common.toLocalIterator()], np.int64).view(np.uint64))
+    rows = index_rows(docs, size, starts, plan)
     shared = staged(
         rows.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("far")).where("hub <> far").select("key", "hub"), "jaccard-shared"
     )
-    bucketed = staged(rows.join(shared, "key").distinct(), "jaccard-bucketed")
+    # Dealt by both columns, so that the rows of a common key do not meet in one task.
+    bucketed = staged(rows.join(shared, "key").repartition("key", "vertex").distinct(), "jaccard-bucketed")
     described = lambda c: vertices.select(F.col("vertex").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = bucketed.where("vertex <> hub").select(F.col("hub").alias("a"), F.col("vertex").alias("b")).distinct()
     hubs = staged(pairs.join(described("a"), "a").join(described("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b"), "jaccard-hubs")

@@ -1,9 +1,7 @@
 import random
 from collections import Counter
 
-import numpy as np
-
-from medialake.llm.jaccard_join import _may_link, allocate, ngram_jaccard_components, op10_ngram_jaccard_join, size_bands
+from medialake.llm.jaccard_join import _may_link, allocate, index_rows, ngram_jaccard_components, op10_ngram_jaccard_join, shingle_sets, size_bands
 
 
 def brute(rows, size=3, num=90, den=100):
@@ -76,19 +74,38 @@ def test_whole_table_equals_brute_force(spark, sf):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in op10_ngram_jaccard_join(spark, sf).collect()} == brute(rows)
 
 
-def test_allowances_cover_the_largest_difference():
+def test_allowances_cover_the_largest_difference_at_every_size():
     starts = size_bands(5_000)
-    plan = allocate(starts, {i: 10**9 for i in range(len(starts))}, 90, 100)
-    for i, (largest, ones, twos) in enumerate(plan.tolist()):
-        high = int(starts[i + 1]) - 1
-        h = (high + largest) * 10 // 190
-        assert ones + 2 * twos == h + 1 and largest >= high
-    assert np.any(plan[:, 2] > 0)  # crowded small bands are worth the neighbourhoods
+    for num in (90, 80):
+        for n in (10**2, 10**4, 10**6, 10**9):
+            for i, p in enumerate(allocate(starts, {i: n for i in range(len(starts))}, num, 100)):
+                high = int(starts[i + 1]) - 1
+                h = (high + p.largest) * (100 - num) // (100 + num)
+                assert 2 * p.twos + p.indexed == h + 1 and p.others >= p.indexed and p.largest >= high
+                assert p.twos >= 1 or h == 0  # subsets with their one-deletion neighbourhoods, whatever the size
+
+
+def test_index_keeps_subsets_skips_and_deletions(spark):
+    """A pair that differs in h elements shares a key however its differences fall, and a set makes the rows the scheme says."""
+    rng, starts = random.Random(2), size_bands(400)
+    plan = allocate(starts, {i: 10**5 for i in range(40)}, 80, 100)
+    rows = [(0, " ".join(f"w{i}" for i in range(300)))]
+    for k in range(1, 120):
+        words = [f"w{i}" for i in range(300)]
+        for _ in range(k % 12):
+            words[rng.randrange(300)] = f"x{rng.random()}"
+        rows.append((k, " ".join(words)))
+    keys = {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in index_rows(docs, 5, starts, plan).collect():
+        keys.setdefault(r.vertex, set()).add(r.key)
+    names = {r.doc_id: r.set_hash for r in shingle_sets(docs, 5).collect()}
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    linked = [k for k in range(1, 120) if len(shingles[0] & shingles[k]) * 100 >= 80 * len(shingles[0] | shingles[k])]
+    assert len(linked) > 30 and all(keys[names[0]] & keys[names[k]] for k in linked)
 
 
 def test_sketch_never_rules_out_a_link(spark):
-    from medialake.llm.jaccard_join import shingle_sets
-
     rng = random.Random(5)
     base = [f"q{i}" for i in range(700)]
     rows = []

@@ -1,13 +1,16 @@
 """Exact dedup by progressive refinement: length, then a hash of a prefix, then a hash of the whole text.
 
 Built from DataFrame functions alone. Texts are equal when identical after each run of the white space 0x20, 0x09-0x0D
-becomes one space. Null text counts as empty. A document whose length, or whose prefix among texts of that length, occurs
-once is settled without a hash of its content; only rows of the surviving groups are hashed in full, and only ids and
-hashes, never texts, are shuffled. Groups are counted with map-side combination, and the join that hands each member its
-group reads both sides from tables, so Spark can split a group that holds a large share of all rows.
-
-Defined cases: rows that repeat a doc_id are one document stated several times: each row comes back, counts in
-group_size, and all share one decision. A null doc_id never stays in place of a known one. An empty table gives no rows.
+becomes one space. Null text counts as empty. First lengths are counted; only rows of a length that occurs twice have their
+prefix hashed, and only rows of a length and prefix that occur twice are hashed in full. The groups of a step go to the scan of
+the next by broadcast up to BROADCAST_GROUPS of them, and the hash is taken behind that join; beyond, hashes are
+taken in the scan and joined by a shuffle. Only ids and hashes, never texts, are shuffled. Groups are counted with map-side
+combination, and the join that hands each member its group reads both sides from tables, so Spark can split a group that
+holds a large share of all rows.
+
+Defined cases: rows that repeat a doc_id are decided each by its own text: equal texts share one decision, other texts of that
+doc_id another. same_rows counts the rows of that doc_id and text. A null doc_id never stays in place of a known one. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, staged, table
 
 PREFIX_CHARS = 200
+BROADCAST_GROUPS = 500_000
+_ADDED = ("keep_id", "group_size", "kept", "same_rows")
 #: Every run of white space but a single space; what it leaves alone is already in normal form.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -26,43 +31,51 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " ")
 
 
-def duplicate_members(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """(doc_id, keep_id, group_size) of every document whose text occurs at least twice."""
-    normal = docs.select("doc_id", normal_text(F.col("text")).alias("t"))
-    keyed = normal.select("doc_id", F.length("t").alias("len"), F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix"), "t")
-
-    by_prefix = keyed.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n"))
-    by_prefix = staged(by_prefix, "dedup-prefix")
-    lengths = by_prefix.groupBy("len").agg(F.sum("n").alias("of_length")).where("of_length > 1")
-    surviving = by_prefix.where("n > 1").join(lengths, "len", "left_semi").select("len", "prefix")
-
-    # The hash is a column of the scan, so a text is never shuffled; Spark evaluates it after the join where it broadcasts the groups.
-    full = keyed.select("doc_id", "len", "prefix", F.sha2("t", 256).alias("full"))
-    survivors = staged(full.join(surviving, ["len", "prefix"], "left_semi").select("doc_id", F.unhex("full").alias("full")), "dedup-survivors")
-    groups = staged(
-        survivors.groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"),
-        "dedup-groups",
-    )
-    return survivors.join(groups, "full").select("doc_id", "keep_id", "group_size")
+def _of_groups(normal: DataFrame, groups: DataFrame, on: list[str], name: str, value: Column) -> DataFrame:
+    """(doc_id, t or not, on, name) of the rows of normal whose columns on are in groups (a written table), with value as name."""
+    if groups.count() <= BROADCAST_GROUPS:  # 16 bytes each
+        return normal.join(F.broadcast(groups), on, "left_semi").select("doc_id", *on, value.alias(name))
+    return normal.select("doc_id", *on, value.alias(name)).join(groups, on, "left_semi")
 
 
-def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """docs with keep_id, group_size and kept added (columns of these names are replaced)."""
-    # A doc_id stands for one row here: rows that repeat it share the decision of the group of their smallest keep_id.
-    members = duplicate_members(docs, prefix_chars).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
-    rest = docs.drop("keep_id", "group_size", "kept")
-    out = rest.join(members, "doc_id", "left")
+def duplicate_members(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """(doc_id, full, keep_id, group_size, same_rows) of every document and text that occurs at least twice."""
+    prefix, full = F.xxhash64(F.substring("t", 1, prefix_chars)), F.sha2("t", 256)
+    several = lambda df, *by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
+    normal = docs.select("doc_id", normal_text(F.col("text")).alias("t"))
+    sized = normal.select("doc_id", "t", F.length("t").alias("len"))
+    lengths = staged(several(sized, "len"), "dedup-lengths")
+    prefixes = staged(several(_of_groups(sized, lengths, ["len"], "prefix", prefix), "len", "prefix"), "dedup-prefixes")
+    survivors = _of_groups(sized.withColumn("prefix", prefix), prefixes, ["len", "prefix"], "full", full)
+    survivors = survivors.groupBy("doc_id", "full").agg(F.count(F.lit(1)).alias("same_rows"))
+    survivors = staged(survivors.withColumn("full", F.unhex("full")), "dedup-survivors")
+    groups = survivors.groupBy("full").agg(F.min("doc_id").alias("keep_id"), F.sum("same_rows").alias("group_size")).where("group_size > 1")
+    groups = staged(groups, "dedup-groups")
+    discard(lengths, prefixes)
+    return survivors.join(groups, "full").select("doc_id", F.lower(F.hex("full")).alias("full"), "keep_id", "group_size", "same_rows")
+
+
+def exact_dedup(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, hashed: str | None = None) -> DataFrame:
+    """docs with keep_id, group_size, kept and same_rows added (columns of these names are replaced).
+
+    hashed names a column with the SHA-256 of the normal text, if docs has one; else only rows that may be members are hashed.
+    """
+    rest = docs.drop(*_ADDED)
+    members = duplicate_members(docs, prefix_chars).select(F.col("doc_id").alias("_id"), F.col("full").alias("_full"), *[F.col(c).alias(f"_{c}") for c in ("keep_id", "group_size", "same_rows")])
+    own = F.col(hashed) if hashed else F.when(F.col("_full").isNotNull(), F.sha2(normal_text(F.col("text")), 256))
+    out = rest.join(members, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_full")), "left")
     return out.select(
         *[F.col(c) for c in rest.columns],
-        F.coalesce("keep_id", "doc_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("keep_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.when(F.col("_full").isNull(), F.col("doc_id")).otherwise(F.col("_keep_id")).alias("keep_id"),
+        F.coalesce("_group_size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("_full").isNull() | F.col("_keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+        F.coalesce("_same_rows", F.lit(1).cast("long")).alias("same_rows"),
     )
 
 
 def op7_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(normal_text(F.col("text")), 256).alias("text_sha256"))
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, hashed="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP7_SQL = r"""

@@ -34,3 +34,17 @@ def test_equals_brute_force(spark, sf):
     for r in op7_exact_dedup(spark, sf).collect():
         assert r.keep_id == first[norm[r.doc_id]] and r.kept == (r.keep_id == r.doc_id)
         assert r.text_sha256 == hashlib.sha256(norm[r.doc_id].encode()).hexdigest()
+
+
+def test_rows_that_repeat_an_id_are_decided_by_their_texts(spark):
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (2, "unique text"), (3, "same"), (3, "same"), (None, "same"), (None, "alone")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text, r.keep_id, r.group_size, r.kept, r.same_rows) for r in exact_dedup(docs).collect())
+    assert got == [(0, "alone", None, 1, True, 1), (0, "same", 1, 5, False, 1), (1, "same", 1, 5, True, 1), (2, "same", 1, 5, False, 1),
+                   (2, "unique text", 2, 1, True, 1), (3, "same", 1, 5, False, 2), (3, "same", 1, 5, False, 2)]
+
+
+def test_shuffled_groups_give_the_same_decisions(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    few = {tuple(r) for r in exact_dedup(docs).drop("text").collect()}
+    monkeypatch.setattr("medialake.llm.exact_dedup.BROADCAST_GROUPS", 0)
+    assert few == {tuple(r) for r in exact_dedup(docs).drop("text").collect()}

@@ -10,8 +10,10 @@ Fit: labelled documents of the learning split, at most FIT_ROWS a language, chos
 counted by Spark, and an n-gram enters a language's slice when at least MIN_SHARE of that language's sample has it.
 n-grams are the 3- and 4-character windows of lower-cased words, with a mark at each end of a word.
 
-Defined cases: null text, or text without a letter, gives "und" and score 0; so does text whose n-grams are in no slice.
-Ties go to the alphabetically first language. Without labelled rows everything is "und". Texts are taken whole.
+Defined cases: null text, or text without a letter (Unicode category L), gives "und" and score 0. Ties go to the alphabetically
+first language; so, with score 0, does text with letters whose n-grams are in no slice, since there all languages tie.
+Without labelled rows everything is "und". Rows that repeat a doc_id each come back; other columns are carried or not read.
+Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -131,9 +133,9 @@ class Detector:
         best = true.argmax(axis=1)
         top, total = true[np.arange(len(some)), best], true.sum(axis=1)
         for k, doc in enumerate(some.tolist()):
-            if top[k] > 0:
+            if any(c.isalpha() for w in words[doc] for c in w):  # ends at the first letter
                 langs[doc] = filt.langs[best[k]]
-                scores[doc] = float(min(1.0, top[k] / total[k]))
+                scores[doc] = float(min(1.0, top[k] / total[k])) if top[k] > 0 else 0.0
         return langs, scores
 
     def counts_of(self, words: list[str]) -> np.ndarray:

@@ -180,12 +180,15 @@ WITH w AS (
   SELECT kind, id, list_filter(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM w
+), z AS (SELECT DISTINCT least(5, len(ws)) AS n FROM t WHERE kind = 1 AND len(ws) > 0
+), k AS (
+  SELECT kind, id, ws, least(5, len(ws)) AS n FROM t WHERE kind = 1 UNION ALL SELECT kind, id, ws, z.n FROM t CROSS JOIN z WHERE kind = 0
 ), s AS (
-  SELECT kind, id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')))) AS g FROM t
+  SELECT kind, id, n, unnest(list_distinct(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i+n-1], ' ')))) AS g FROM k
 ), n AS (SELECT id, count(*) AS n_item FROM s WHERE kind = 1 GROUP BY id
 ), p AS (
   SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
-  FROM s d JOIN s b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2
+  FROM s d JOIN s b ON d.n = b.n AND d.g = b.g AND d.kind = 0 AND b.kind = 1 GROUP BY 1, 2
 )
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM p JOIN n ON n.id = p.item_id WHERE 10 * n_shared >= 8 * n_item

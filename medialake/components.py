@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import discard, staged
+
 
 def contracted(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], drop: Callable[..., None]) -> DataFrame:
     """(node, component): the components of an undirected graph with edges (a, b), a component named by its smallest node.
@@ -49,3 +51,8 @@ def contracted(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], drop: C
     out = keep(marks.join(names, "root").select("node", "component"))
     drop(live, marks, names)
     return out
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the undirected graph of two long columns a and b; tables of a round are written and then deleted."""
+    return contracted(edges, lambda df: staged(df, "cc"), discard)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names that the formats and the tagging convention define.
 KEYS = ("C", "Am", "Db / C#", "Bbm / A#m", "D", "Bm", "Eb / D#", "Cm", "E", "Dbm / C#m", "F", "Dm", "Gb / F#", "Ebm / D#m", "G", "Em",
@@ -75,18 +78,25 @@ def treated_as_vocal(stem: Column) -> Column:
 def ignore(c: Column, parentheses: bool = True, brackets: bool = True, spaces: bool = True, keywords: tuple[str, ...] = ()) -> Column:
     """Drop what the rules ignore: (...), [...], keywords in any case; then collapse spaces."""
     if parentheses:
-        c = F.regexp_replace(c, r"\([^)]*\)", "")
+        c = F.regexp_replace(c, r"\([^)]*\)", " ")
     if brackets:
-        c = F.regexp_replace(c, r"\[[^\]]*\]", "")
+        c = F.regexp_replace(c, r"\[[^\]]*\]", " ")
     for k in keywords:
-        c = F.regexp_replace(c, "(?i)" + re.escape(k), "")
+        c = F.regexp_replace(c, "(?i)" + re.escape(k), " ")
     return F.trim(F.regexp_replace(c, r"\s+", " ")) if spaces else c
 
 
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    """Compatibility decomposition and case folding, which Spark has no function for."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).casefold())
+
+
 def normalize_tag(c: Column, **rules) -> Column:
-    """Comparable form of an ASCII tag: ignored parts gone, lower case, & spelled out, other marks to single spaces."""
-    c = F.replace(F.lower(ignore(c, **rules)), F.lit("&"), F.lit(" and "))
-    return F.trim(F.regexp_replace(c, r"[^a-z0-9_]+", " "))
+    """Comparable form of a tag in any script: ignored parts gone, decomposed, case folded, & spelled out, all but letters, digits
+    and _ to single spaces (so accents go and their letters stay)."""
+    c = F.replace(_folded(ignore(c, **rules)), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
 
 
 _ROLE_TAIL = r"(?i)(\s*\((?:[^)]*\b)?(?:original song|original|acapella|vocals?|lead|bgv|instrumental|inst|karaoke)(?: [^)]*)?\))+\s*$"

@@ -2,8 +2,8 @@
 
 A stratum is the list of feature values that apply to a unit's role. Every stratum gives as many units as the smallest one
 that counts; which ones is decided by the order of md5(seed|id), so the choice does not depend on partitioning. Stratum sizes are
-counted with map-side combination; the smallest size is one row. The choice within a stratum is a ranked window, whose rank
-filter Spark pushes below the shuffle (each task sends at most `target` rows of a stratum).
+counted with map-side combination; the smallest size is one row. The place of a unit within its stratum is its rank in a slice
+of the draw plus the sizes of the slices before, so no task sorts a whole stratum, however large.
 """
 
 from __future__ import annotations
@@ -98,23 +98,27 @@ def select_balanced(units: DataFrame, features, seed: int = 42) -> DataFrame:
     if fill:
         takes = takes.where("not only_vocal")
     keyed = units.withColumn("stratum", stratum(feats)).withColumn("draw", draw_order(seed))
-    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("stratum").orderBy("draw", "id")))
-    chosen = ranked.join(takes.drop("only_vocal"), "stratum").where(F.col("rank") <= F.col("take")).drop("draw", "rank", "take")
+    chosen = drawn(keyed, ["stratum"]).join(takes.drop("only_vocal"), "stratum").where(F.col("place") <= F.col("take")).drop("draw", "place", "take")
     if not fill:
         return chosen
     need = chosen.agg(F.count_if(F.col("role") == "instrumental").alias("need"), F.coalesce(F.max("target"), F.lit(0)).alias("target"))
     return chosen.unionByName(vocal_fill(units, need, seed).withColumn("stratum", F.lit("vocal")).select(chosen.columns))
 
 
+def drawn(units: DataFrame, by: list[str]) -> DataFrame:
+    """units (with draw) with place, the 1-based position in draw order among the units that are equal in `by`."""
+    sliced = units.withColumn("slice", F.substring("draw", 1, 2))  # 256 slices of about the same size
+    within = sliced.withColumn("at", F.row_number().over(W.partitionBy(*by, "slice").orderBy("draw", "id")))
+    sizes = sliced.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    before = sizes.select(*by, "slice", F.coalesce(earlier, F.lit(0)).alias("before"))
+    return within.join(before, [*by, "slice"]).withColumn("place", F.col("at") + F.col("before")).drop("slice", "at", "before")
+
+
 def vocal_fill(units: DataFrame, need: DataFrame, seed: int) -> DataFrame:
-    """Loose vocals in draw order up to `need` (one row). A vocal is chosen when fewer than `need` stand before it: the
-    position is the rank in its slice of the draw plus the sizes of the slices before, so no task sorts all vocals."""
-    vocals = units.where("role = 'vocal'").withColumn("draw", draw_order(seed)).withColumn("slice", F.substring("draw", 1, 2))
-    within = vocals.withColumn("at", F.row_number().over(W.partitionBy("slice").orderBy("draw", "id")))
-    sizes = vocals.groupBy("slice").count()  # 256 rows at most
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("slice", "before")
-    placed = within.join(F.broadcast(before), "slice").crossJoin(F.broadcast(need))
-    return placed.where(F.col("at") + F.col("before") <= F.col("need")).drop("draw", "slice", "at", "before", "need")
+    """Loose vocals in draw order up to `need` (one row)."""
+    vocals = units.where("role = 'vocal'").withColumn("draw", draw_order(seed))
+    return drawn(vocals, ["role"]).crossJoin(F.broadcast(need)).where("place <= need").drop("draw", "place", "need").select(*units.columns, *[c for c in need.columns if c != "need"])
 
 
 def destinations(chosen: DataFrame, dest: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.signal import peak, residual
-from ..llm.common import connected_components
+from ..components import connected_components
 
 
 def residual_edges(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.05) -> DataFrame:
@@ -40,7 +40,7 @@ def keep_one(df: DataFrame, edges: DataFrame, key: str, vector: str) -> DataFram
 def leader_groups(tracks: DataFrame, threshold: float) -> DataFrame:
     """(id, leader): in order, a track joins the first leader whose artist and title are similar enough, else it leads itself.
 
-    A track with a leader of its own title prefers those. Leaders are compared within blocks of the first three letters of the title; equal
+    A track with a leader of its own title prefers those; one without artist or title has only those. Leaders are compared within blocks of the first three letters of the title; equal
     titles share a block, so blocks are independent of each other. A block is the tracks of one title head.
     """
 
@@ -53,7 +53,8 @@ def leader_groups(tracks: DataFrame, threshold: float) -> DataFrame:
         out = []
         for i, artist, title in rows.sort_values("id")[["id", "artist", "title"]].itertuples(index=False):
             same = [x for x in leaders if x[2] == title]
-            found = next((x[0] for x in [*same, *leaders] if score((artist, title), (x[1], x[2])) >= threshold), None)
+            others = leaders if artist and title else []  # empty names join leaders of their own title only
+            found = next((x[0] for x in [*same, *others] if score((artist, title), (x[1], x[2])) >= threshold), None)
             if found is None:
                 leaders.append((i, artist, title))
             out.append((i, i if found is None else found))

@@ -113,3 +113,15 @@ def mix_down(df: DataFrame, group: str, vector: str) -> DataFrame:
     shortest = df.groupBy(group).agg(F.min(F.size(vector)).alias("shortest"))
     parts = df.join(shortest, group).select(group, F.posexplode(F.slice(vector, F.lit(1), F.col("shortest"))).alias("idx", "x"))
     return parts.groupBy(group, "idx").agg(F.sum("x").alias("total"))
+
+
+def phase_seconds(log: DataFrame, phase: str, seconds: str) -> DataFrame:
+    """(phase, seconds, steps): the time of each phase of a run's log."""
+    return log.groupBy(F.col(phase).alias("phase")).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("steps"))
+
+
+def run_summary(log: DataFrame, run: str, item: str, seconds: str) -> DataFrame:
+    """(run, items, elapsed, seconds_per_item, items_per_minute) of each run of a log."""
+    out = log.groupBy(F.col(run).alias("run")).agg(F.countDistinct(item).alias("items"), F.sum(seconds).alias("elapsed"))
+    per_minute = F.when(F.col("elapsed") > 0, 60.0 * F.col("items") / F.col("elapsed")).otherwise(0.0)
+    return out.withColumns({"seconds_per_item": F.col("elapsed") / F.col("items"), "items_per_minute": per_minute})

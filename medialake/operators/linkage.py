@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..llm.common import staged
+from ..tables import staged
 
 NEAR_EXACT = 0.995
 

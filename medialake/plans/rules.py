@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 # What the rule language calls things and its defaults.
 TOKENS = ("original", "name", "bpm", "key", "group", "instrument", "category")
 ACRONYMS = ("BPM", "DJ", "FX", "EQ", "MIDI", "TR", "VEC", "EDM")
@@ -235,8 +237,9 @@ def apply_rules(df: DataFrame, rules: list[dict], variables: dict[str, str] | No
 
 
 def preview(tracks: DataFrame, rules: list[dict], folder: str = "group", variables: dict[str, str] | None = None) -> DataFrame:
-    """tracks (id, name and the tokens) with index, new_name, changed and matched_keyword; the index counts within the folder."""
-    rows = tracks.withColumn("index", F.row_number().over(W.partitionBy(folder).orderBy("name", "id")))
+    """tracks (id, name and the tokens) with index, new_name, changed and matched_keyword; the index counts 1, 2, ... over the
+    whole list, in the order of folder, name and id."""
+    rows = numbered(tracks, [folder, "name", "id"], "index").withColumn("index", F.col("index").cast("int"))
     rows = rows.withColumns({"original": F.col("name"), "current": F.col("name"), "matched_keyword": F.lit("")})
     out = apply_rules(rows, rules, variables)
     return out.select("id", "index", F.col("name").alias("original_name"), F.col("current").alias("new_name"), (F.col("current") != F.col("name")).alias("changed"), "matched_keyword")
@@ -252,21 +255,18 @@ def resolve_collisions(plan: DataFrame, folder: str = "folder") -> DataFrame:
     base = F.regexp_extract(F.lower("target"), r"^(.*)_(\d+)$", 1)
     taken = wanted.where(base != "").groupBy(folder, base.alias("base"), "ext").agg(F.collect_set(F.regexp_extract("target", r"_(\d+)$", 1).try_cast("int")).alias("taken"))
     joined = first.withColumn("base", F.lower("target")).join(taken, [folder, "base", "ext"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    free = F.filter(F.sequence(F.lit(1), F.col("n") + F.size("taken")), lambda k: ~F.array_contains("taken", k))
-    final = F.when(F.col("n") == 0, F.col("target")).otherwise(F.concat("target", F.lit("_"), F.element_at(free, F.greatest(F.col("n"), F.lit(1))).cast("string")))
+    # The n-th number that is not taken: every taken number up to it, in order, moves it on by one.
+    free = F.aggregate(F.array_sort("taken"), F.col("n"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    final = F.when(F.col("n") == 0, F.col("target")).otherwise(F.concat("target", F.lit("_"), free.cast("string")))
     return joined.select("id", folder, "source", "target", final.alias("final"))
 
 
 def sequence_names(df: DataFrame, key: str, taken: DataFrame, prefix: str = "song_") -> DataFrame:
-    """(key, name): song_0001, ... in key order after the largest number in taken (name); ranges are numbered part by part, so
-    no task orders all rows."""
+    """(key, name): song_0001, ... in key order after the largest number in taken (name)."""
     last = taken.select(F.coalesce(F.max(F.regexp_extract("name", rf"^{prefix}(\d+)$", 1).try_cast("long")), F.lit(0)).alias("last"))
-    parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
-    sizes = parts.groupBy("part").count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    numbered = parts.join(F.broadcast(before), "part").crossJoin(F.broadcast(last))
-    number = F.col("last") + F.col("before") + F.col("at") + 1
-    return numbered.select(key, F.concat(F.lit(prefix), F.when(number >= 10_000, number.cast("string")).otherwise(F.lpad(number.cast("string"), 4, "0"))).alias("name"))
+    number = F.col("last") + F.col("_position")
+    digits = F.when(number >= 10_000, number.cast("string")).otherwise(F.lpad(number.cast("string"), 4, "0"))
+    return numbered(df.select(key), [key], "_position").crossJoin(F.broadcast(last)).select(key, F.concat(F.lit(prefix), digits).alias("name"))
 
 
 def label_category(label: Column, categories: list[dict]) -> Column:

@@ -70,6 +70,15 @@ def agg14_outcomes(spark, sf):
     return A.outcome_counts(u, "outcome", _OUTCOMES)
 
 
+def agg15_phase_seconds(spark, sf):
+    return A.phase_seconds(load(spark, sf, "events"), "event_type", "value").withColumn("seconds", F.round("seconds", 2))
+
+
+def agg16_run_summary(spark, sf):
+    out = A.run_summary(load(spark, sf, "events"), "user_id", "event_id", "value")
+    return out.select("run", "items", *[F.round(c, 4).alias(c) for c in ("elapsed", "seconds_per_item", "items_per_minute")])
+
+
 def agg17_energy_shares(spark, sf):
     return A.energy_shares(load(spark, sf, "events"), ["user_id"], "event_type", "value")
 
@@ -140,6 +149,9 @@ SQL = {
       FROM part GROUP BY 1, 2) WHERE k = 1""",
     "agg14_outcomes": f"""SELECT o.outcome, count(u.id) AS n, o.ord FROM (VALUES ('ok', 0), ('minor', 1), ('suspect', 2), ('failed', 3), ('missing', 4)) o(outcome, ord)
       LEFT JOIN (SELECT id, CASE id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'minor' WHEN 2 THEN 'suspect' ELSE 'ok' END AS outcome FROM ({UNITS})) u USING (outcome) GROUP BY 1, 3""",
+    "agg15_phase_seconds": "SELECT event_type AS phase, round(sum(value), 2) AS seconds, count(*) AS steps FROM events GROUP BY 1",
+    "agg16_run_summary": """SELECT user_id AS run, count(DISTINCT event_id) AS items, round(sum(value), 4) AS elapsed, round(sum(value) / count(DISTINCT event_id), 4) AS seconds_per_item,
+      round(CASE WHEN sum(value) > 0 THEN 60.0 * count(DISTINCT event_id) / sum(value) ELSE 0 END, 4) AS items_per_minute FROM events GROUP BY 1""",
     "agg17_energy_shares": """WITH r AS (SELECT user_id, event_type, sqrt(avg(value * value) + 1e-12) AS rms FROM events GROUP BY 1, 2)
       SELECT user_id, event_type, round(rms, 6) AS rms, round(rms / (sum(rms) OVER (PARTITION BY user_id) + 1e-12), 6) AS share FROM r""",
     "agg18_weighted_mean": f"""WITH v AS ({_VECTORS}), x AS (SELECT label, rms, unnest(p) AS p, unnest(range(0, 11)) AS idx FROM v)

@@ -71,6 +71,20 @@ def int03_mp3_walk(spark, sf):
     return load(spark, sf, "part").select("p_partkey", I.mp3_walk(data).alias("w")).select("p_partkey", "w.frames", "w.problem")
 
 
+def int02_fast_check(spark, sf):
+    f = files(spark, sf).withColumns({"problem": F.expr("CASE WHEN size % 3 = 0 THEN 'LOST SYNC' END"), "bits": F.expr("CASE size % 4 WHEN 0 THEN 32 WHEN 1 THEN 24 WHEN 2 THEN 16 END")})
+    ok, detail = I.fast_check(F.col("ext"), F.col("problem"), F.col("bits"))
+    return f.select("id", ok.alias("ok"), detail.alias("detail"))
+
+
+def int04_frame_audit(spark, sf):
+    """Byte strings of each part's number of silent frames; the first states a count that is right, one less, or absent."""
+    head = "concat('FFFB9000', repeat('00', 32), CASE WHEN p_size % 3 = 0 THEN repeat('00', 12) ELSE concat('496E666F', '00000001', lpad(hex(p_size % 5 + p_size % 2), 8, '0')) END, repeat('00', 369))"
+    data = F.unhex(F.expr(f"concat({head}, repeat(concat('FFFB9000', repeat('00', 413)), p_size % 5))"))
+    walked = load(spark, sf, "part").select("p_partkey", I.mp3_walk(data).alias("w"))
+    return walked.select("p_partkey", F.col("w.stated").alias("expected"), (F.col("w.frames") - 1).alias("counted"), I.frame_audit(F.col("w.stated"), F.col("w.frames") - 1).alias("verdict"))
+
+
 def int06_sniff(spark, sf):
     head = F.unhex(F.expr("CASE id % 5 WHEN 0 THEN '524946460000000057415645' WHEN 1 THEN '664C614300000022' WHEN 2 THEN '4944330400' WHEN 3 THEN 'FFFB9000' ELSE '00FF' END"))
     f = files(spark, sf).select("id", I.sniffed(head).alias("found"), F.regexp_replace("ext", r"^\.", "").alias("named"))
@@ -109,6 +123,10 @@ SQL = {
     "int05_slack": f"SELECT id, abs(duration - (floor(duration) + 0.75)) <= 0.5 AS within FROM ({UNITS})",
     "int03_mp3_walk": """SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN greatest(p_size % 5 - 1, 0) ELSE p_size % 5 END AS INT) AS frames,
       CASE WHEN p_size % 5 = 0 THEN 'NO FRAMES' WHEN p_size % 2 = 0 THEN 'TRUNCATED' ELSE '' END AS problem FROM part""",
+    "int02_fast_check": f"""SELECT id, NOT (ext = 'mp3' AND size % 3 = 0 OR ext = 'flac' AND size % 4 = 0) AS ok,
+      CASE WHEN ext NOT IN ('mp3', 'flac') THEN 'n/a' WHEN ext = 'mp3' AND size % 3 = 0 THEN 'LOST SYNC' WHEN ext = 'flac' AND size % 4 = 0 THEN 'FLAC bit depth 32 unsupported (max 24)' ELSE '' END AS detail FROM ({_F})""",
+    "int04_frame_audit": """SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size % 5 + p_size % 2 END AS expected, p_size % 5 AS counted,
+      CASE WHEN p_size % 3 = 0 THEN 'no count stated' WHEN p_size % 2 = 0 THEN 'ok' ELSE 'one frame short' END AS verdict FROM part""",
     "int06_sniff": f"""WITH x AS (SELECT id, CASE id % 5 WHEN 0 THEN 'wav' WHEN 1 THEN 'flac' WHEN 2 THEN 'id3' WHEN 3 THEN 'mp3' ELSE 'unknown' END AS found, ext AS named FROM ({_F}))
       SELECT *, CASE WHEN found IN ('wav', 'flac') AND found <> named THEN 'wrong extension' END AS note FROM x""",
     "int07_fix_outcomes": f"""WITH s AS (SELECT id, {_BOTH} AS s FROM ({_C})), o AS (SELECT CASE WHEN s = 'ok' THEN 'leave' WHEN id % 3 = 0 AND id % 2 = 0 THEN 'fixed' WHEN s = 'failed' THEN 'quarantine' ELSE 'leave' END AS outcome FROM s)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import balance as B
 from ..operators.integrity import merge_status
 from ..sources import sinks as K
+from ..tables import shared_folder
 from .fixtures import FILES, UNITS, files, load, units
 
 
@@ -18,6 +22,45 @@ def snk02_result_rows(spark, sf):
     return K.result_rows([p.where("id % 2 = 0").select("id", "p_name"), p.where("id % 2 = 1").select("id", "p_size")])
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def snk03_report_csv(spark, sf):
+    """The report as it reads back from the written CSV."""
+    report = files(spark, sf).select("id", "stem", "bytes", F.expr("CASE WHEN size % 2 = 0 THEN 'converted' ELSE 'skipped, kept' END").alias("action"))
+    K.write_csv(report, path := _folder(spark, "report"))
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+def snk04_json_lines(spark, sf):
+    """Result or error objects, one a line, as they read back."""
+    rows = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_size % 5 <> 0 THEN p_name END").alias("label"), F.expr("CASE WHEN p_size % 5 = 0 THEN 'silent' END").alias("error"))
+    K.write_json_lines(rows, path := _folder(spark, "results"))
+    return spark.read.schema(rows.schema).json(path)
+
+
+def snk05_song_list(spark, sf):
+    """Lines of the list of folders, as they read back."""
+    K.write_list(files(spark, sf).select("folder").distinct(), "folder", path := _folder(spark, "songs"))
+    return spark.read.text(path)
+
+
+def snk06_overview(spark, sf):
+    """Found, chosen and target counts of a balanced selection, one row a role."""
+    every, chosen = units(spark, sf), B.select_balanced(units(spark, sf), ("genre",))
+    found, taken = every.groupBy("role").agg(F.count(F.lit(1)).alias("found")), chosen.groupBy("role").agg(F.count(F.lit(1)).alias("chosen"), F.max("target").alias("target"))
+    return found.join(taken, "role", "left").select("role", "found", F.coalesce("chosen", F.lit(0)).alias("chosen"), F.coalesce("target", F.lit(0)).alias("target"))
+
+
+def snk07_manifest(spark, sf):
+    """A manifest that is written again: readers see the last version whole."""
+    rows = files(spark, sf).select("id", "stem", "bytes")
+    K.write_manifest(rows.where("id % 2 = 0"), path := _folder(spark, "manifest"))
+    K.write_manifest(rows, path)
+    return spark.read.parquet(path)
+
+
 def snk08_copy_plan(spark, sf):
     items = files(spark, sf).select(F.col("stem").alias("src"), F.concat("category", F.lit("/"), F.col("id").cast("string")).alias("dst"))
     return K.copy_plan(items, items.where(F.col("dst").endswith("7")))
@@ -48,6 +91,10 @@ def snk14_quarantine(spark, sf):
 QUERIES = {k: v for k, v in globals().items() if k.startswith("snk")}
 
 SQL = {
+    "snk03_report_csv": f"SELECT id, stem, bytes, CASE WHEN size % 2 = 0 THEN 'converted' ELSE 'skipped, kept' END AS action FROM ({FILES})",
+    "snk04_json_lines": "SELECT p_partkey AS id, CASE WHEN p_size % 5 <> 0 THEN p_name END AS label, CASE WHEN p_size % 5 = 0 THEN 'silent' END AS error FROM part",
+    "snk05_song_list": f"SELECT DISTINCT folder AS value FROM ({FILES})",
+    "snk07_manifest": f"SELECT id, stem, bytes FROM ({FILES})",
     "snk01_balanced_rows": f"""SELECT role, id, coalesce(genre, '') AS genre, coalesce(style, '') AS style, coalesce(gender, '') AS gender, coalesce(reverb, '') AS reverb, coalesce(vocal_type, '') AS vocal_type,
       coalesce(music_key, '') AS music_key, coalesce(compression, '') AS compression, CASE WHEN sdr IS NULL THEN '' ELSE printf('%.3f', CAST(sdr AS DOUBLE)) END AS sdr, bytes,
       printf('%.3f', CAST(duration AS DOUBLE)) AS duration FROM ({UNITS})""",

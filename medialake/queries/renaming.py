@@ -166,7 +166,7 @@ SQL = {
       n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(target) ORDER BY id) - 1 AS n FROM p WHERE target <> '')
       SELECT id, CASE WHEN n = 0 THEN target ELSE target || '_' || n END AS final FROM n""",
     "rnm13_rule_tree": f"""WITH s AS (SELECT id, {_STEP3} AS c FROM ({_N})) SELECT id, c || CASE WHEN contains(lower(c), 'ring') THEN ' (r)' WHEN prefix(lower(c), 'small') THEN ' (s)' ELSE ' (-)' END AS current FROM s""",
-    "rnm14_preview": f"""SELECT id, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY name, id) AS INT) AS index, name AS original_name, {_STEP3} AS new_name, {_STEP3} <> name AS changed FROM ({_N})""",
+    "rnm14_preview": f"""SELECT id, CAST(row_number() OVER (ORDER BY p_brand, name, id) AS INT) AS index, name AS original_name, {_STEP3} AS new_name, {_STEP3} <> name AS changed FROM ({_N})""",
     "rnm15_unique_folders": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)
       SELECT p_partkey AS id, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS folder FROM n""",
     "rnm16_sequence": """WITH n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) + (SELECT max(c_custkey) FROM customer WHERE c_custkey % 10 = 7) AS n FROM part)

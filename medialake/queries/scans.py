@@ -58,6 +58,25 @@ def src08_listed_paths(spark, sf):
     return L.listed_paths(lines).select("id", "path")
 
 
+_TAGS = """map('TCON', CASE WHEN ext = '.mp3' THEN folder ELSE '' END, 'genre', category, 'GENRE', CASE WHEN size % 2 = 0 THEN lower(folder) ELSE ' ' END,
+  'TXXX:genre', CASE WHEN size % 3 = 0 THEN 'own' END)"""
+
+
+def src09_tag_value(spark, sf):
+    return files(spark, sf).select("id", L.tag_value(F.expr(_TAGS), F.col("ext"), "genre").alias("genre"))
+
+
+def src11_tag_fields(spark, sf):
+    tags = F.expr("map('TXXX:GENDER', CASE WHEN size % 2 = 0 THEN ' female ' END, 'gender', CASE WHEN size % 3 = 0 THEN 'male' ELSE '' END, 'COMM', stem)")
+    return files(spark, sf).select("id", *[L.tag_value(tags, F.col("ext"), c).alias(c) for c in ("gender", "comment")])
+
+
+def src13_sizes(spark, sf):
+    """Bytes and probed seconds of each file; unreadable lengths count 0."""
+    frames = F.expr("CASE WHEN size % 9 = 0 THEN NULL ELSE bytes END")
+    return files(spark, sf).select("id", "bytes", F.round(F.coalesce(L.probed_duration(frames, F.lit(44_100)), F.lit(0.0)), 4).alias("seconds"))
+
+
 def src10_key_tag(spark, sf):
     tags = F.expr("map('INITIALKEY', CASE WHEN size % 3 = 0 THEN 'Am' ELSE ' ' END, 'KEY', CASE WHEN size % 2 = 0 THEN 'C' ELSE '' END)")
     return files(spark, sf).select("id", L.first_tag(tags, ("INITIALKEY", "KEY")).alias("music_key"))
@@ -102,6 +121,11 @@ SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY root, path) AS k FROM g) SELECT path, id, root FROM r WHERE k = 1""",
     "src07_distinct_paths": f"SELECT DISTINCT concat(folder, '/', CASE WHEN id % 2 = 0 THEN category ELSE lower(category) END, ext) AS path, CAST(1 AS BIGINT) AS n FROM ({FILES})",
     "src08_listed_paths": f"SELECT id, trim(stem) || ext AS path FROM ({FILES}) WHERE size % 4 <> 2 AND ext <> '.txt'",
+    "src09_tag_value": f"""SELECT id, CASE WHEN ext = '.mp3' THEN folder WHEN ext IN ('.wav', '.aiff') THEN CASE WHEN size % 3 = 0 THEN 'own' ELSE '' END
+      WHEN size % 2 = 0 THEN lower(folder) ELSE category END AS genre FROM ({FILES})""",
+    "src11_tag_fields": f"""SELECT id, CASE WHEN ext IN ('.mp3', '.wav', '.aiff') THEN CASE WHEN size % 2 = 0 THEN 'female' ELSE '' END WHEN size % 3 = 0 THEN 'male' ELSE '' END AS gender,
+      CASE WHEN ext IN ('.mp3', '.wav', '.aiff') THEN stem ELSE '' END AS comment FROM ({FILES})""",
+    "src13_sizes": f"SELECT id, bytes, round(CASE WHEN size % 9 = 0 THEN 0 ELSE bytes / 44100.0 END, 4) AS seconds FROM ({FILES})",
     "src10_key_tag": f"SELECT id, CASE WHEN size % 3 = 0 THEN 'Am' WHEN size % 2 = 0 THEN 'C' END AS music_key FROM ({FILES})",
     "src12_artist_title": f"SELECT id, CASE WHEN size % 3 = 1 THEN lower(folder) ELSE folder END AS artist FROM ({FILES})",
     "src14_probe": """SELECT l_returnflag, round(sum(CASE WHEN l_linenumber > 1 AND l_orderkey * 100000 <= 345600000 THEN l_orderkey * 100000 / 44100.0 ELSE 0 END), 2) AS seconds

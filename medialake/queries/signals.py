@@ -64,7 +64,7 @@ def sig08_overlap_add(spark, sf):
 
 
 def sig09_delay(spark, sf):
-    return _pairs(spark, sf).select("vec_id", G.delay(F.slice("v", 1, 12), F.slice("w", 1, 12)).alias("lag"))
+    return _pairs(spark, sf).select("vec_id", G.delay("v", "w").alias("lag"))
 
 
 def sig10_onset(spark, sf):
@@ -138,8 +138,8 @@ SQL = {
     "sig06_linspace_starts": f"SELECT doc_id, CAST(i AS INT) AS k, CAST(floor(i * greatest(n - 300, 0) / 3.0) AS INT) AS start FROM ({_L}), (SELECT unnest(range(0, 4)) AS i)",
     "sig07_whole_chunks": f"SELECT doc_id, CAST(i AS INT) AS k, CAST(i * 350 AS INT) AS start FROM (SELECT doc_id, unnest(range(0, n // 350)) AS i FROM ({_L}))",
     "sig08_overlap_add": f"""WITH x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM ({_S})) SELECT vec_id, CAST(i AS INT) AS idx, round(x, 4) AS y FROM x""",
-    "sig09_delay": f"""WITH p AS (SELECT vec_id, v[1:12] AS v, w[1:12] AS w FROM ({_P})), l AS (SELECT vec_id, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(12, 12 - lag) + 1), lambda i: v[i] * w[i + lag])) AS c
-      FROM p, (SELECT unnest(range(-11, 12)) AS lag)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS k FROM l) SELECT vec_id, CAST(lag AS INT) AS lag FROM r WHERE k = 1""",
+    "sig09_delay": f"""WITH p AS (SELECT vec_id, v, w FROM ({_P})), l AS (SELECT vec_id, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(64, 64 - lag) + 1), lambda i: v[i] * w[i + lag])) AS c
+      FROM p, (SELECT unnest(range(-63, 64)) AS lag)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS k FROM l) SELECT vec_id, CAST(lag AS INT) AS lag FROM r WHERE k = 1""",
     "sig10_onset": f"""WITH x AS (SELECT vec_id, i // 8 AS f, CASE WHEN i < vec_id % 40 THEN 0.0 ELSE x END AS x FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM ({_S}))),
       r AS (SELECT vec_id, f, sqrt(avg(x * x)) AS l FROM x GROUP BY 1, 2), b AS (SELECT vec_id, greatest(0.18 * max(l), 0.35 * quantile_cont(l, 0.85)) AS bar FROM r GROUP BY 1)
       SELECT vec_id, CAST(min(f) AS INT) AS frame FROM r JOIN b USING (vec_id) WHERE l >= bar AND bar > 0 GROUP BY 1""",

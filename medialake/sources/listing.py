@@ -86,6 +86,24 @@ def first_tag(tags: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.try_element_at(tags, F.lit(n))), F.lit("")) for n in names])
 
 
+# What containers call genre and comment, and how they name tags of one's own.
+ID3_ENDINGS = ("mp3", "wav", "wave", "aif", "aiff")
+MP4_ENDINGS = ("m4a", "mp4", "aac")
+ID3_FRAMES = {"GENRE": "TCON", "COMMENT": "COMM"}
+MP4_ATOMS = {"GENRE": "\xa9gen", "COMMENT": "\xa9cmt"}
+ID3_OWN, MP4_OWN = "TXXX:", "----:com.apple.iTunes:"
+
+
+def tag_value(tags: Column, ext: Column, field: str) -> Column:
+    """A field's text in a file's tag map, by its container's names: the standard name first, then the field in upper case, in
+    lower case and as it is; empty where there is none."""
+    spellings = tuple(dict.fromkeys((field.upper(), field.lower(), field)))
+    named = lambda standard, own: first_tag(tags, (*([standard[field.upper()]] if field.upper() in standard else []), *(own + x for x in spellings)))
+    ext = F.lower(F.regexp_replace(ext, r"^\.", ""))
+    value = F.when(ext.isin(*ID3_ENDINGS), named(ID3_FRAMES, ID3_OWN)).when(ext.isin(*MP4_ENDINGS), named(MP4_ATOMS, MP4_OWN)).otherwise(named({}, ""))
+    return F.coalesce(value, F.lit(""))
+
+
 def probed_duration(frames: Column, rate: Column) -> Column:
     """Seconds of a stream; counts beyond two hours at 48 kHz are not believed."""
     return F.when((rate > 0) & (frames >= 0) & (frames <= 48_000 * 7_200), frames / rate).otherwise(F.lit(0.0))

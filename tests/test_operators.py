@@ -121,9 +121,42 @@ def test_signals(spark):
 
 def test_mp3_walk():
     frame = bytes.fromhex("fffb9000") + bytes(413)
-    assert integrity.mp3_frames(frame * 3) == (3, "") and integrity.mp3_frames(frame * 2 + frame[:100]) == (2, "TRUNCATED")
-    assert integrity.mp3_frames(frame + b"\0\0\0\0\0") == (1, "LOST SYNC") and integrity.mp3_frames(b"") == (0, "NO FRAMES")
-    assert integrity.mp3_frames(b"ID3\x03\x00\x00\x00\x00\x00\x02xx" + frame + b"TAG" + bytes(125)) == (1, "")
+    assert integrity.mp3_frames(frame * 3) == (3, "", None) and integrity.mp3_frames(frame * 2 + frame[:100]) == (2, "TRUNCATED", None)
+    assert integrity.mp3_frames(frame + b"\0\0\0\0\0") == (1, "LOST SYNC", None) and integrity.mp3_frames(b"") == (0, "NO FRAMES", None)
+    assert integrity.mp3_frames(b"ID3\x03\x00\x00\x00\x00\x00\x02xx" + frame + b"TAG" + bytes(125)) == (1, "", None)
+    one, two = bytes.fromhex("ffff9000") + bytes(308), bytes.fromhex("fffd9000") + bytes(518)  # layers I (288 kbit/s) and II (160 kbit/s)
+    assert integrity.mp3_frames(one * 2) == (2, "", None) and integrity.mp3_frames(two * 3) == (3, "", None)
+    info = frame[:36] + b"Info" + bytes([0, 0, 0, 1, 0, 0, 0, 2]) + frame[48:]
+    assert integrity.mp3_frames(info + frame * 2) == (3, "", 2)
+
+
+def test_tags_of_any_script(spark):
+    given = ["Beyoncé", "Привет", "日本語", "Straße & Co.", "ﬁne (Live) [HD]", "Ａ１", "a(b)c", ""]
+    want = ["beyonce", "привет", "日本語", "strasse and co", "fine", "a1", "a c", ""]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", names.normalize_tag(F.col("t")).alias("n")).collect()
+    assert [r.n for r in sorted(rows)] == want
+
+
+def test_parts_linked_by_orders(spark, sf):
+    from medialake.queries.clustering import clu02_components
+
+    ends = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        lo, hi = ends.get(r[0], (r[1], r[1]))
+        ends[r[0]] = min(lo, r[1]), max(hi, r[1])
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in ends.values():
+        if a != b:
+            p, q = sorted((find(a), find(b)))
+            parent[q] = p
+    assert {r.node: r.component for r in clu02_components(spark, sf).collect()} == {x: find(x) for x in parent}
+
+
+def test_leaders_without_names_join_their_own_title_only(spark):
+    rows = [(1, "ann", "song one"), (2, "", "song onf"), (3, "", "song onf"), (4, "ann", "song onf")]
+    got = {r.id: r.leader for r in clusters.leader_groups(spark.createDataFrame(rows, "id long, artist string, title string"), 0.0).collect()}
+    assert got[2] == 2 and got[3] == 2 and got[1] == 1
 
 
 def test_listing_and_sinks(spark, tmp_path):
@@ -154,7 +187,7 @@ def test_streaming_takes_files_once(spark, sf, tmp_path):
 
 
 def test_components_of_a_long_chain_with_shuffled_ids(spark):
-    from medialake.llm.common import connected_components
+    from medialake.components import connected_components
 
     rng = random.Random(3)
     ids = [rng.randrange(-(2**62), 2**62) for _ in range(1_000)]

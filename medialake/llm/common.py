@@ -2,45 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..components import contracted
-
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where that is unset (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-    return _own_folders[app]
-
+from ..components import connected_components
+from ..tables import discard, staged
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, every executor sees it,
-    and Spark knows its size when it plans the joins that follow."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in frames:
-        if path := getattr(df, "staged_path", None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+__all__ = ["connected_components", "discard", "split_of", "staged", "table"]
 
 
 def split_of(doc_id: str, folds: int) -> Column:
@@ -50,8 +18,3 @@ def split_of(doc_id: str, folds: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the undirected graph of two long columns a and b; tables of a round are written and then deleted."""
-    return contracted(edges, lambda df: staged(df, "cc"), discard)

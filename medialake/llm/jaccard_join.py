@@ -2,14 +2,16 @@
 
 Two documents link when their sets of word shingles have a Jaccard similarity of at least num/den. How it works:
 
-* Set sizes fall into bands that grow by half. A band is one scheme; a set takes part in its own band's scheme and in the
-  lower ones where it can still be the larger partner.
-* In a scheme, linked sets differ in at most h = (s + l) * (den - num) // (den + num) elements. The universe is hashed into
+* Set sizes fall into bands that double. A band is one scheme; a set takes part in its own band's scheme and in the lower ones
+  where it can still be the larger partner.
+* A set of s elements differs from its partners of a scheme, l elements at most, in at most h = (s + l) * (den - num) // (den + num)
+  elements. The universe is hashed into
   segments of two kinds. T segments have the allowance 2: they are indexed by their subset (the sum of its elements' hashes)
   and its one-deletion neighbourhood, so a pair is found when one of them differs by at most one element. If none does, they
   hold 2T of the differences, and of the M other segments at most h - 2T differ. Of these a set indexes the subsets of the
   h - 2T + 1 that stand first in an order all sets share, fullest first, with the allowance 1, and skips the rest (allowance 0):
-  among M segments of which M - (h - 2T) are equal, the first equal one is among the indexed of both sets. No link is lost,
+  among M segments of which M - (h - 2T) are equal, the first equal one is among the indexed of both sets, by the h of each,
+  since the pair's own bound is no larger than either. No link is lost,
   and segments that are alike by chance because they are nearly empty are skipped.
 * A cost model over the counts of sets in every scheme chooses T (1 at least wherever sets may differ), how much fuller
   these segments are, and M. It weighs index rows against chance candidates; the method is one and the same at every size.
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import connected_components, discard, staged, table
 
-_GROWTH = 1.5
+_GROWTH = 2
 _COST_PER_CANDIDATE = 4.0
 #: Sets remembered by a task so that copies within it are indexed once; beyond this many, copies just cost rows.
 _SEEN = 200_000
@@ -54,7 +56,7 @@ BROADCAST_IDS = 500_000
 
 
 def size_bands(largest: int) -> np.ndarray:
-    """The smallest size of each band: 1, 2, 3, 4, 6, 9, ... beyond largest."""
+    """The smallest size of each band: 1, 2, 4, 8, ... beyond largest."""
     starts = [1]
     while starts[-1] <= largest:
         starts.append(max(starts[-1] + 1, int(starts[-1] * _GROWTH)))
@@ -65,14 +67,21 @@ def size_bands(largest: int) -> np.ndarray:
 class Scheme:
     """How the sets of a band and their larger partners are cut and indexed."""
 
+    high: int  #: the largest set of the band
     largest: int  #: the largest set that takes part
     twos: int  #: segments of allowance 2
     weight: int  #: how many times fuller these are than the others
     others: int  #: segments of allowance 1 or 0
-    indexed: int  #: how many of the others a set indexes
 
 
-def _cost(n: float, size: float, twos: int, weight: int, others: int, indexed: int) -> float:
+def indexed_segments(n, scheme: Scheme | np.ndarray, num: int, den: int):
+    """How many of the other segments sets of n elements index; scheme is one, or its high, largest and twos by set."""
+    high, largest, twos = (scheme.high, scheme.largest, scheme.twos) if isinstance(scheme, Scheme) else scheme
+    partner = np.where(n <= high, np.minimum(n * den // num, largest), high)
+    return np.maximum((n + partner) * (den - num) // (den + num) + 1 - 2 * twos, 0)
+
+
+def _cost(n: float, size: float, twos: int, weight: int, others: int, indexed: float) -> float:
     """Index rows of n sets of about size elements, and chance candidates: pairs whose indexed segments are (nearly) empty alike."""
     mean = size / (twos * weight + others)
     rows = indexed + twos * (1 + weight * mean)
@@ -96,24 +105,25 @@ def allocate(starts: np.ndarray, counts: dict[int, int], num: int, den: int) ->
         h = (high + largest) * (den - num) // (den + num)
         n = counts.get(i, 0) + counts.get(i + 1, 0)
         if h == 0:
-            out.append(Scheme(largest, 0, 1, 1, 1))
+            out.append(Scheme(high, largest, 0, 1, 1))
             continue
         most = (h + 1) // 2
         best = None
         for twos in sorted({min(most, 1 << k) for k in range(most.bit_length() + 1)}):
-            indexed = h + 1 - 2 * twos
-            for others in sorted({ceil(indexed * slack) for slack in (1, 1.15, 1.3, 1.6, 2, 3)}):
+            needed, size = h + 1 - 2 * twos, int(low * 1.3)
+            for others in sorted({ceil(needed * slack) for slack in (1, 1.15, 1.3, 1.6, 2, 3)}):
                 for weight in (1, 2, 4, 8) if others else (1,):
-                    cost = _cost(n, low * 1.2, twos, weight, others, indexed)
+                    scheme = Scheme(high, largest, twos, weight, others)
+                    cost = _cost(n, size, twos, weight, others, float(indexed_segments(size, scheme, num, den)))
                     if best is None or cost < best[0]:
-                        best = (cost, Scheme(largest, twos, weight, others, indexed))
+                        best = (cost, scheme)
         out.append(best[1])
     return out
 
 
 def _sets(batches, size: int):
     """(batch, distinct shingle hashes, bounds) of pieces of the batches."""
-    for piece in K.blocks(batches, "text"):
+    for piece in K.blocks(batches, "text", 1 << 20):
         words, rows = K.word_hashes(piece.column(piece.schema.get_field_index("text")))
         shingles, bounds = K.shingle_hashes(words, rows, size)
         yield piece, *K.distinct_per_row(shingles, bounds)
@@ -160,9 +170,9 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
-def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme]) -> DataFrame:
+def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme], num: int, den: int) -> DataFrame:
     """(key, vertex): the index entries of every non-empty set."""
-    largest, twos, weight, others, indexed = np.array([(p.largest, p.twos, p.weight, p.others, p.indexed) for p in plan], np.int64).reshape(-1, 5).T
+    high, largest, twos, weight, others = np.array([(p.high, p.largest, p.twos, p.weight, p.others) for p in plan], np.int64).reshape(-1, 5).T
     # A set belongs to its own band and to as many lower ones as still let it in.
     reach = max((int(np.searchsorted(starts, p.largest, "right")) - 1 - i for i, p in enumerate(plan)), default=0)
 
@@ -191,10 +201,11 @@ def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme
             within = np.arange(base[-1]) - base[whose]
             tag = K.mix(of[whose].astype(np.uint64) * np.uint64(1 << 32) + within.astype(np.uint64))
             keys, filled = K.mix(sums ^ tag), np.bincount(segment, minlength=base[-1])
-            # Segments of allowance 2 come first, then the fullest; a set indexes all of the former and `indexed` of the latter.
+            # Segments of allowance 2 come first, then the fullest; a set indexes all of the former and as many of the latter as it needs.
+            wanted = t + indexed_segments(n[some], (high[of], largest[of], t), num, den)
             order = np.lexsort((keys, -filled, within >= t[whose], whose))
             rank = np.arange(base[-1]) - base[whose]
-            kept = order[rank < (t + indexed[of])[whose]]
+            kept = order[rank < wanted[whose]]
             yield keys[kept], vertices[some][whose[kept]]
             if in_two.any():
                 at = segment[in_two]
@@ -271,7 +282,7 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     counts = {r[0]: r[1] for r in filled.groupBy(bands.alias("band")).count().collect()}  # a row a band
     plan = allocate(starts, counts, num, den)
 
-    rows = index_rows(docs, size, starts, plan)
+    rows = index_rows(docs, size, starts, plan, num, den)
     shared = staged(
         rows.groupBy("key").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("far")).where("hub <> far").select("key", "hub"), "jaccard-shared"
     )

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from medialake.llm.jaccard_join import _may_link, allocate, index_rows, ngram_jaccard_components, op10_ngram_jaccard_join, shingle_sets, size_bands
+from medialake.llm.jaccard_join import _may_link, allocate, index_rows, indexed_segments, ngram_jaccard_components, op10_ngram_jaccard_join, shingle_sets, size_bands
 
 
 def brute(rows, size=3, num=90, den=100):
@@ -81,7 +81,11 @@ def test_allowances_cover_the_largest_difference_at_every_size():
             for i, p in enumerate(allocate(starts, {i: n for i in range(len(starts))}, num, 100)):
                 high = int(starts[i + 1]) - 1
                 h = (high + p.largest) * (100 - num) // (100 + num)
-                assert 2 * p.twos + p.indexed == h + 1 and p.others >= p.indexed and p.largest >= high
+                for s in {int(starts[i]), high, p.largest}:
+                    partner = min(s * 100 // num, p.largest) if s <= high else high
+                    differ = (s + partner) * (100 - num) // (100 + num)
+                    taken = int(indexed_segments(s, p, num, 100))
+                    assert 2 * p.twos + taken >= differ + 1 and p.others >= taken and p.largest >= high
                 assert p.twos >= 1 or h == 0  # subsets with their one-deletion neighbourhoods, whatever the size
 
 
@@ -97,7 +101,7 @@ def test_index_keeps_subsets_skips_and_deletions(spark):
         rows.append((k, " ".join(words)))
     keys = {}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for r in index_rows(docs, 5, starts, plan).collect():
+    for r in index_rows(docs, 5, starts, plan, 80, 100).collect():
         keys.setdefault(r.vertex, set()).add(r.key)
     names = {r.doc_id: r.set_hash for r in shingle_sets(docs, 5).collect()}
     shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}

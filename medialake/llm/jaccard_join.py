@@ -304,17 +304,21 @@ def ngram_jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den:
     def open_rows(parts: DataFrame) -> DataFrame:
         """The rows of the keys that hold several components beside their hub, which is tested."""
         placed = bucketed.where("vertex <> hub").join(parts.withColumnRenamed("node", "vertex"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
-        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return staged(placed.join(several, "key", "left_semi").select("key", "vertex", "component"), "jaccard-open")
+        placed = staged(placed, "jaccard-placed")
+        # Written before the join, so that Spark can split the rows of a common key there.
+        several = staged(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "jaccard-several")
+        out = staged(placed.join(several, "key", "left_semi").select("key", "vertex", "component"), "jaccard-open")
+        discard(placed, several)
+        return out
 
     # Stars: each open key tests one member of its largest component against the members of the others.
     for turn in range(STAR_ROUNDS):
         left = open_rows(parts)
         per = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("vertex", F.xxhash64("key", "vertex", F.lit(turn))).alias("a"))
-        stars = per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star"))
+        stars = staged(per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star")), "jaccard-stars")
         tested = left.join(stars, "key").where("component <> star.component").select("star.a", F.col("vertex").alias("b")).distinct()
         tested = staged(tested.join(described("a"), "a").join(described("b"), "b").where(_may_link("a", "b", num, den)).select("a", "b"), "jaccard-star")
-        discard(left)
+        discard(left, stars)
         if not tested.limit(1).count():
             break
         found = staged(_verified(tested, texts_of(tested), size, num, den), "jaccard-found")

@@ -31,8 +31,18 @@ VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD = 256
 #: Entries of a worker's cache of encoded chunks: a bound on memory, not on what is encoded.
 CACHED = 450_000
-#: How the byte-level scheme cuts a text into words.
+#: Letters and numbers that regex knows from a newer Unicode version than the tokenizers library does, which
+#: takes them for neither.
+NEWER = """
+0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+#: How the byte-level scheme cuts a text into words; PINNED with the library's letters and numbers.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_NEW = "[" + "".join("-".join(f"\\U{end:0>8}" for end in span.split("-")) for span in NEWER.split()) + "]"
+PINNED = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}--NEW]+| ?[\p{N}--NEW]+| ?[[^\s\p{L}\p{N}]||NEW]+|\s+(?!\S)|\s+".replace("NEW", _NEW)
 _NONE = (1 << 60, -1)
 
 
@@ -102,7 +112,7 @@ class Codec:
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.digits = {i: str(i) for i in self.bytes}
         self.singles = [self.ids[bytes([b])] for b in range(256)]
-        self.words = regex.compile(WORDS)
+        self.words, self.pinned, self.newer = regex.compile(WORDS), regex.compile(PINNED, regex.V1), regex.compile(_NEW)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.chunks: dict[str, tuple[int, ...]] = {}  # by what follows the one space that starts the chunk
 
@@ -112,7 +122,7 @@ class Codec:
 
     def stretch(self, text: str) -> tuple[int, ...]:
         """The ids of a text that starts and ends where a word does."""
-        words = self.words.findall(text)
+        words = (self.pinned if not text.isascii() and self.newer.search(text) else self.words).findall(text)
         if len(words) == 1:
             return tuple(self.word(words[0]))
         known = self.chunks.get

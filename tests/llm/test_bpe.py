@@ -7,6 +7,7 @@ import pytest
 from medialake.llm import bpe
 
 ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "日本", "😀", "1", "23", "<|endoftext|>", "!", "zzzzz", "²", "<|", "\r\n", "\x00"]
+ALPHABET += ["\x1c", "\x1f", "\x85", "\u3000", "\ua7f1", "\U000323b0", "\U00016ff4", "\U0001e6c0", "\u0301", "\u00a0"]
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,14 @@ def test_equals_the_library(library, spark, sf):
         assert codec.encode(t) == ids and codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_character_is_cut_as_the_library_does(library):
+    codec = bpe.Codec(json.loads(bpe.read_vocabulary()))
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(every), 5_000):
+        text = "".join(f"a{c}1{c}!{c} {c}" for c in every[at : at + 5_000])
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_edge_rows(edge_docs, no_docs):
     rows = bpe.round_trip(edge_docs).collect()
     assert len(rows) == edge_docs.count()

@@ -13,7 +13,8 @@ learning split; only their features (a dozen numbers a row) reach the driver. Fe
 lang, source and doc_id are not among them.
 
 Defined cases: null and empty texts get the features of an empty text and a score; labels that are null or belong to no
-document are ignored; a document with several labels counts as positive if any is; without positives every score is 0.5.
+document are ignored; a document with several labels counts as positive if any is; without positives every score is 0.5; rows that repeat a doc_id
+are each scored, and equal texts get equal scores; a score equal to the threshold counts as good; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,25 +111,30 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def _descend(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: float = 0.05, decay: float = 5e-4) -> Model:
-    """Minimise the non-negative risk (with a prior) or the plain positive-against-unlabelled risk (without)."""
+def risk_gradient(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[np.ndarray, bool]:
+    """The gradient by weights and bias, and whether the correction fired: the part of the negatives was below 0 and is climbed."""
     k = len(model.cuts)
     cells = np.arange(k) * model.weights.shape[1]
-    first, second = np.zeros(model.weights.size + 1), np.zeros(model.weights.size + 1)
 
     def gradient(bins: np.ndarray, per_row: np.ndarray) -> np.ndarray:
         out = np.bincount((bins + cells).ravel(), np.repeat(per_row, k), model.weights.size)
         return np.append(out, per_row.sum())
 
+    zp, zu = model.margin(p), model.margin(u)
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    if prior is None:
+        return gradient(p, (sp - 1) / len(p)) + gradient(u, su / len(u)), False
+    bracket = gradient(u, su / len(u)) - prior * gradient(p, sp / len(p))
+    if _softplus(zu).mean() - prior * _softplus(zp).mean() < 0:
+        return -bracket, True
+    return prior * gradient(p, (sp - 1) / len(p)) + bracket, False
+
+
+def _descend(model: Model, p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, rate: float = 0.05, decay: float = 5e-4) -> Model:
+    """Minimise the non-negative risk (with a prior) or the plain positive-against-unlabelled risk (without)."""
+    first, second = np.zeros(model.weights.size + 1), np.zeros(model.weights.size + 1)
     for step in range(1, steps + 1):
-        zp, zu = model.margin(p), model.margin(u)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        if prior is None:
-            g = gradient(p, (sp - 1) / len(p)) + gradient(u, su / len(u))
-        else:
-            negative = _softplus(zu).mean() - prior * _softplus(zp).mean()
-            bracket = gradient(u, su / len(u)) - prior * gradient(p, sp / len(p))
-            g = -bracket if negative < 0 else prior * gradient(p, (sp - 1) / len(p)) + bracket
+        g, _ = risk_gradient(model, p, u, prior)
         g[:-1] += decay * model.weights.ravel()
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)

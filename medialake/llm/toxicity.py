@@ -11,7 +11,9 @@ VOCABULARY features with the strongest association with toxic documents, seen in
 only their places in the sample reach the driver.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels are ignored; a document with several labels
-counts as toxic if any is; without toxic or without clean examples every score is 0. Texts are taken whole.
+counts as toxic if any is; without toxic or without clean examples every score is 0; rows that repeat a doc_id are each scored,
+and equal texts get equal scores; of features with an equal association the alphabetically first is kept; a score equal to the
+threshold counts as toxic; an empty table gives no rows. Texts are taken whole.
 """
 
 from __future__ import annotations
@@ -119,6 +121,20 @@ def _bags(sample: DataFrame, vocabulary: list[str]) -> DataFrame:
     return sample.mapInArrow(run, "y long, n long, sentence array<int>, feature array<int>")
 
 
+def likelihood_gradient(w: np.ndarray, bias: float, y, plain, doc, feat, sent, decay: float) -> np.ndarray:
+    """The gradient, by weights and bias, of the mean negative log likelihood of the noisy-or plus decay / 2 * |w|^2.
+
+    doc is the document of each sentence that has features, plain the count of each document's other sentences; feature feat[i]
+    occurs in sentence sent[i].
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    z = bias + np.bincount(sent, w[feat], len(doc))
+    u = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias) + 1e-9
+    du = np.where(y == 1, -np.exp(-u) / -np.expm1(-u), 1.0) / len(y)
+    dz = du[doc] * sigmoid(z)
+    return np.append(np.bincount(feat, dz[sent], len(w)) + decay * w, dz.sum() + (du * plain).sum() * sigmoid(bias))
+
+
 def train(bags, vocabulary: list[str], steps: int = 400, rate: float = 0.05, decay: float = 8e-5) -> Model:
     """Fit weights and bias by Adam on the noisy-or likelihood; bags is a list of (y, n, sentence, feature)."""
     y = np.array([b[0] for b in bags], float)
@@ -137,13 +153,8 @@ def train(bags, vocabulary: list[str], steps: int = 400, rate: float = 0.05, dec
     plain = total - np.bincount(doc, minlength=len(y))  # sentences without a feature
     w, bias = np.zeros(len(vocabulary)), -4.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sent, w[feat], at)
-        u = np.bincount(doc, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias) + 1e-9
-        du = np.where(y == 1, -np.exp(-u) / -np.expm1(-u), 1.0) / len(y)
-        dz = du[doc] * sigmoid(z)
-        g = np.append(np.bincount(feat, dz[sent], len(w)) + decay * w, dz.sum() + (du * plain).sum() * sigmoid(bias))
+        g = likelihood_gradient(w, bias, y, plain, doc, feat, sent, decay)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]

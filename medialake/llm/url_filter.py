@@ -9,7 +9,9 @@ DataFrame functions only. The intervals are a written table, so that both sides
 split a host that holds a large share of all captures; a URL contributes as many keys as it has labels and directories.
 
 Defined cases: a null or unparsable URL has no key and is not blocked; a null fetch time matches no interval; repeated
-statements of the same kind extend one interval; an addition and a removal at the same time leave the entry removed.
+statements of the same kind extend one interval; an addition and a removal at the same time leave the entry removed. Rows that
+repeat a capture_id each come back, with what was found for any of them. A URL is read whole, however long; without captures
+there are no rows, without a list nothing is blocked.
 """
 
 from __future__ import annotations

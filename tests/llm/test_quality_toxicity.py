@@ -36,6 +36,68 @@ def test_prior_is_found():
     assert 0.5 < prior < 0.68
 
 
+def test_risk_gradient_equals_differences_of_the_risk():
+    rng = np.random.default_rng(1)
+    cuts = [np.array([0.0]), np.array([-1.0, 1.0])]
+    p, u, prior = rng.integers(0, 2, (30, 2)), rng.integers(0, 2, (50, 2)), 0.4
+
+    def parts(weights, bias):
+        loss = lambda rows, sign: sum(np.log1p(np.exp(-sign * (bias + weights[0, r[0]] + weights[1, r[1]]))) for r in rows) / len(rows)
+        return prior * loss(p, 1), loss(u, -1) - prior * loss(p, -1)
+
+    fired = set()
+    for bias in (0.0, 1.0):
+        for lift in (0.0, 3.0):
+            weights = rng.normal(size=(2, 3)) * 0.3
+            weights[0, 0] -= lift * 4 * bias
+            q = p if not lift else np.column_stack([np.ones(30, int), p[:, 1]])
+            v = u if not lift else np.column_stack([np.zeros(50, int), u[:, 1]])
+            p_old, u_old = p, u
+            p, u = q, v
+            got, corrected = quality.risk_gradient(quality.Model(cuts, weights, bias), p, u, prior)
+            fired.add(corrected)
+            assert corrected == (parts(weights, bias)[1] < 0)
+            goal = lambda w, b: -parts(w, b)[1] if corrected else sum(parts(w, b))  # noqa: B023, E731
+            want, step = [], 1e-5
+            for i in range(6):
+                d = np.zeros(6)
+                d[i] = step
+                d = d.reshape(2, 3)
+                want.append((goal(weights + d, bias) - goal(weights - d, bias)) / (2 * step))
+            want.append((goal(weights, bias + step) - goal(weights, bias - step)) / (2 * step))
+            assert np.allclose(got, want, atol=1e-6)
+            p, u = p_old, u_old
+    assert fired == {False, True}
+
+
+def test_toxicity_gradient_equals_differences_of_the_noisy_or():
+    rng = np.random.default_rng(2)
+    docs = [[[0, 1], [2]], [[1], [], [3, 0]], [[2, 3]], [[], []]]  # features by sentence
+    y = np.array([1.0, 0.0, 1.0, 0.0])
+    w, bias, decay = rng.normal(size=4), -1.5, 0.01
+    doc, feat, sent, plain = [], [], [], np.zeros(4)
+    for d, sentences in enumerate(docs):
+        for features in sentences:
+            if features:
+                feat += features
+                sent += [len(doc)] * len(features)
+                doc.append(d)
+            else:
+                plain[d] += 1
+
+    def goal(w, bias):
+        total = 0.0
+        for label, sentences in zip(y, docs):
+            clean = np.prod([1 - 1 / (1 + np.exp(-(bias + sum(w[f] for f in s)))) for s in sentences])
+            total -= np.log(1 - clean) if label else np.log(clean)
+        return total / len(y) + decay / 2 * (w**2).sum()
+
+    got = toxicity.likelihood_gradient(w, bias, y, plain, np.array(doc), np.array(feat), np.array(sent), decay)
+    step = 1e-6
+    want = [(goal(w + e, bias) - goal(w - e, bias)) / (2 * step) for e in np.eye(4) * step] + [(goal(w, bias + step) - goal(w, bias - step)) / (2 * step)]
+    assert np.allclose(got, want, atol=1e-6)
+
+
 def test_toxicity_held_out(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = toxicity.op5_toxicity(spark, SF).where("held_out").join(labels, "doc_id").toPandas()

@@ -24,6 +24,16 @@ def test_intervals_and_as_of(spark):
     assert blocked_captures(spark.createDataFrame(captures, "capture_id long, url string, fetched_at timestamp"), log.limit(0)).where("blocked").count() == 0
 
 
+def test_repeated_captures_long_urls_and_no_captures(spark):
+    log = spark.createDataFrame(LOG, "key string, category string, at timestamp, listed boolean")
+    deep = "http://ok.org/x/" + "/".join(f"d{i}" for i in range(300)) + "/" + "y" * 20_000
+    rows = [(1, "http://fine.net", D(2024, 1, 2)), (1, "http://bad.com", D(2024, 1, 2)), (2, deep, D(2024, 1, 2)), (3, deep, D(2023, 1, 2)), (3, deep, D(2023, 1, 2))]
+    captures = spark.createDataFrame(rows, "capture_id long, url string, fetched_at timestamp")
+    got = sorted((r.capture_id, r.blocked, r.n_entries) for r in blocked_captures(captures, log).collect())
+    assert got == [(1, True, 1), (1, True, 1), (2, True, 1), (3, False, 0), (3, False, 0)]
+    assert blocked_captures(captures.limit(0), log).count() == 0
+
+
 def test_equals_sql(spark, sf, duck):
     got = sorted(tuple(r) for r in op6_url_filter(spark, sf).select("page_id", "blocked", "n_entries", "categories").collect())
     assert got == sorted(duck.execute(f"SELECT page_id, blocked, n_entries, categories FROM ({registry.oracle_sql()['op6_url_filter']})").fetchall())

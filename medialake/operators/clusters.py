@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signal import peak, residual
 from ..components import connected_components
+from ..functions.near_keys import keys_column
+from ..functions.signal import peak, residual
+from ..tables import staged
+from .linkage import with_similarity
 
 
 def residual_edges(df: DataFrame, group: str, key: str, vector: str, threshold: float = 0.05) -> DataFrame:
@@ -37,33 +39,49 @@ def keep_one(df: DataFrame, edges: DataFrame, key: str, vector: str) -> DataFram
     return placed.join(best, "component", "left").withColumn("kept", ~usable | (F.col("best") == F.col(key))).drop("best")
 
 
+def _near_names(names: DataFrame, threshold: float) -> DataFrame:
+    """(late, early, other): distinct names of a title head where the earlier one, if it leads, may take the later one; other says
+    that their titles differ. Both fields share a key that their similarity implies, so a common artist or title alone joins nothing."""
+    named = names.withColumn("head", F.substring("title", 1, 3))
+
+    def side(later: bool) -> DataFrame:
+        keyed = named.withColumns({"ka": keys_column("artist", threshold, later), "kt": keys_column("title", threshold, later)})
+        return keyed.withColumn("ka", F.explode("ka")).withColumn("kt", F.explode("kt"))
+
+    early = side(False).select(F.col("id").alias("early"), F.col("artist").alias("ab"), F.col("title").alias("tb"), "head", "ka", "kt")
+    late = side(True).select(F.col("id").alias("late"), F.col("artist").alias("aa"), F.col("title").alias("ta"), "head", "ka", "kt")
+    same_title = F.col("ta") == F.col("tb")
+    pairs = late.join(early, ["head", "ka", "kt"]).where((F.col("early") < F.col("late")) & (same_title | ((F.col("aa") != "") & (F.col("ta") != ""))))
+    pairs = pairs.select("late", "early", "aa", "ab", "ta", "tb").distinct()
+    scored = with_similarity(with_similarity(pairs, "aa", "ab", "sa"), "ta", "tb", "st").where(F.least("sa", "st") >= threshold)
+    return scored.select("late", "early", (~same_title).alias("other"))
+
+
 def leader_groups(tracks: DataFrame, threshold: float) -> DataFrame:
     """(id, leader): in order, a track joins the first leader whose artist and title are similar enough, else it leads itself.
 
-    A track with a leader of its own title prefers those; one without artist or title has only those. Leaders are compared within blocks of the first three letters of the title; equal
-    titles share a block, so blocks are independent of each other. A block is the tracks of one title head.
+    A track with a leader of its own title prefers those; one without artist or title has only those. Leaders have the same first
+    three letters of the title. A name leads when no earlier leader is near it: in rounds, names with no undecided earlier name
+    near them lead, and names near a leader follow. Each round decides the first undecided name at least; a chain of names that
+    are each near the next alone takes rounds in proportion to its length. Nulls count as empty, repeated rows come out repeated.
     """
-
-    def score(a: tuple[str, str], b: tuple[str, str]) -> float:
-        one = lambda x, y: 1.0 if x == y else 0.0 if not x or not y else SequenceMatcher(None, x, y).ratio()
-        return min(one(a[0], b[0]), one(a[1], b[1]))
-
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, str, str]] = []
-        out = []
-        for i, artist, title in rows.sort_values("id")[["id", "artist", "title"]].itertuples(index=False):
-            same = [x for x in leaders if x[2] == title]
-            others = leaders if artist and title else []  # empty names join leaders of their own title only
-            found = next((x[0] for x in [*same, *others] if score((artist, title), (x[1], x[2])) >= threshold), None)
-            if found is None:
-                leaders.append((i, artist, title))
-            out.append((i, i if found is None else found))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    # Equal names need one comparison: only the first track of each name goes to the block.
-    firsts = tracks.groupBy("artist", "title").agg(F.min("id").alias("id"))
-    led = firsts.withColumn("head", F.substring("title", 1, 3)).groupBy("head").applyInPandas(lambda rows: block(rows), "id long, leader long")
-    named = firsts.join(led, "id").select("artist", "title", "leader")
+    tracks = tracks.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("artist", "title")])
+    # Equal names need one comparison: the first track of each name stands for it.
+    firsts = staged(tracks.groupBy("artist", "title").agg(F.min("id").alias("id")), "leaders-names")
+    near = staged(_near_names(firsts, threshold), "leaders-near")
+    open_, followers = near.select("late", "early"), []
+    leaders = firsts.select("id").join(near.select(F.col("late").alias("id")), "id", "left_anti")
+    while open_.limit(1).count():
+        follow = staged(open_.join(leaders.select(F.col("id").alias("early")), "early", "left_semi").select("late").distinct(), "leaders-follow")
+        followers.append(follow)
+        rest = open_.join(follow, "late", "left_anti")
+        left = staged(rest.join(follow.select(F.col("late").alias("early")), "early", "left_anti"), "leaders-open")
+        leaders = staged(rest.select("late").distinct().join(left.select("late"), "late", "left_anti").select(F.col("late").alias("id")), "leaders-new")
+        open_ = left
+    following = reduce(DataFrame.unionByName, followers) if followers else near.select("late").limit(0)
+    ruled = near.join(following.select(F.col("late").alias("early")), "early", "left_anti")  # earlier names that lead
+    best = ruled.groupBy(F.col("late").alias("id")).agg(F.min(F.struct("other", "early"))["early"].alias("leader"))
+    named = firsts.join(best, "id", "left").select("artist", "title", F.coalesce("leader", "id").alias("leader"))
     return tracks.join(named, ["artist", "title"]).select("id", "leader")
 
 

@@ -159,6 +159,46 @@ def test_leaders_without_names_join_their_own_title_only(spark):
     assert got[2] == 2 and got[3] == 2 and got[1] == 1
 
 
+def test_near_texts_share_a_key():
+    from medialake.functions.near_keys import earlier_keys, later_keys
+
+    rng = random.Random(5)
+    texts = ["", "a", "ab", "blue song", "x" * 40, "the long road home again tonight"]
+    for t in (0.5, 0.8, 0.9, 0.95, 1.0):
+        for base in texts:
+            for _ in range(150):
+                other = list(base)
+                for _ in range(rng.randrange(6)):
+                    at = rng.randrange(len(other) + 1)
+                    other[at : at + rng.randrange(2)] = rng.choice(["", "a", "z", "qq"])
+                other = "".join(other)
+                for a, b in ((base, other), (other, base)):
+                    if a == b or a and b and SequenceMatcher(None, a, b).ratio() >= t:
+                        assert set(earlier_keys(b, t)) & set(later_keys(a, t)), (t, a, b)
+
+
+def test_leaders_equal_the_sequential_ones(spark):
+    def one(x, y):
+        return 1.0 if x == y else 0.0 if not x or not y else SequenceMatcher(None, x, y).ratio()
+
+    rng = random.Random(11)
+    titles = ["blue song", "blue songs", "blue sony", "blu song", "blueberry", "", "bl", "red songs in the night", "red songs in the light"]
+    rows = [(i, rng.choice(["ann", "anne", "", "bob and the band", "bob and the bend"]), rng.choice(titles) + rng.choice(["", "", "x"])) for i in range(150)]
+    rows += [(900 + i, "chain", "m" * (20 + i)) for i in range(12)] + [rows[3]]
+    df = spark.createDataFrame(rows, "id long, artist string, title string")
+    for t in (0.6, 0.85, 0.95):
+        leaders, want = [], set()
+        for i, a, title in sorted(rows):
+            near = [x for x in leaders if x[2] == title] + ([x for x in leaders if x[2][:3] == title[:3]] if a and title else [])
+            found = next((x[0] for x in near if min(one(a, x[1]), one(title, x[2])) >= t), None)
+            if found is None:
+                leaders.append((i, a, title))
+            want.add((i, i if found is None else found))
+        got = [tuple(r) for r in clusters.leader_groups(df, t).collect()]
+        assert set(got) == want and len(got) == len(rows)
+    assert clusters.leader_groups(df.limit(0), 0.9).count() == 0
+
+
 def test_listing_and_sinks(spark, tmp_path):
     for p in ("a.wav", "sub/b.MP3", "sub/c.txt", "_backup_before_align/d.wav"):
         (tmp_path / p).parent.mkdir(exist_ok=True)

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.near_keys import keys_column
 from ..tables import staged
 
 NEAR_EXACT = 0.995
@@ -56,10 +57,13 @@ def with_similarity(pairs: DataFrame, a: str, b: str, out: str, empty: float = 1
     return pairs.join(scored, [a, b], "left").withColumn(out, F.coalesce(settled, F.col("_s"))).drop("_s")
 
 
-def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(ref, partner, score): the smaller of the artists' and the titles' similarity."""
+def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(ref, partner, score): the smaller of the artists' and the titles' similarity. Pairs that the lengths rule out at the
+    threshold go before the matcher: twice the shorter text is the most that two texts have in common."""
+    near = lambda a, b: 2 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b)) - 1e-9
     named = pairs.join(left.select(F.col("id").alias("ref"), F.col("artist").alias("aa"), F.col("title").alias("ta")), "ref")
     named = named.join(right.select(F.col("id").alias("partner"), F.col("artist").alias("ab"), F.col("title").alias("tb")), "partner")
+    named = named.where(near("aa", "ab") & near("ta", "tb"))
     both = with_similarity(with_similarity(named, "aa", "ab", "sa"), "ta", "tb", "st")
     return both.select("ref", "partner", F.least("sa", "st").alias("score"))
 
@@ -110,7 +114,7 @@ def find_pairs(left: DataFrame, right: DataFrame, threshold: float) -> tuple[Dat
     if threshold >= NEAR_EXACT:
         matched = assign_exact(left, right)
     else:
-        matched = assign_greedily(score_pairs(candidates(left, right, threshold), left, right).where(F.col("score") >= threshold))
+        matched = assign_greedily(score_pairs(candidates(left, right, threshold), left, right, threshold).where(F.col("score") >= threshold))
     return matched, left.join(matched.select(F.col("ref").alias("id")), "id", "left_anti"), right.join(matched.select(F.col("partner").alias("id")), "id", "left_anti")
 
 
@@ -126,10 +130,14 @@ def folder_similarity(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
 def best_match(files: DataFrame, folders: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(name, folder, score): the most similar folder of each distinct file name, the first by order among equals.
 
-    The folders are a stated list set against all names; similarity is not an equi-join, so each distinct name meets each folder.
+    Names meet the folders with which they share a key that the threshold implies. At low thresholds that is the length alone, so
+    the folders are meant to be a stated list; a boosted pair has 0.709 of both lengths in common, so no lower key is needed.
+    Null and empty names match nothing.
     """
-    names = files.select("name").distinct()
-    scored = folder_similarity(names.join(folders.select("folder", "ord"), F.lit(True)), "name", "folder", "score")
+    implied = min(threshold, 2 * 0.55 / 1.55 - 1e-6)
+    names = files.select("name").where("name <> ''").distinct().withColumn("key", F.explode(keys_column("name", implied, True)))
+    listed = folders.select("folder", "ord").where("folder <> ''").withColumn("key", F.explode(keys_column("folder", implied, False)))
+    scored = folder_similarity(names.join(listed, "key").drop("key").distinct(), "name", "folder", "score")
     best = scored.where(F.col("score") >= threshold).groupBy("name").agg(F.min_by(F.struct("folder", "score"), F.struct((-F.col("score")).alias("s"), "ord")).alias("b"))
     return best.select("name", "b.folder", "b.score")
 

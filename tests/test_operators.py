@@ -62,6 +62,27 @@ def test_similarity(spark):
     assert folder["", ""] == 0 and folder["long name here", "long name here x"] >= 0.92
 
 
+def test_best_folder_equals_all_pairs(spark):
+    rng = random.Random(2)
+    words = ["blue", "song", "long", "night", "tonight", "of", "the", "drums", "x"]
+    make = lambda k: " ".join(rng.choice(words) for _ in range(rng.randrange(k)))
+    names, listed = {make(6) for _ in range(60)}, [(make(5), i) for i in range(40)]
+
+    def score(a, b):
+        if not a or not b:
+            return 0.0
+        s = 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+        small, large = sorted((a, b), key=len)
+        return max(s, 0.92) if len(small) >= 8 and small in large and len(small) >= 0.55 * len(large) else s
+
+    files = spark.createDataFrame([(n,) for n in names] + [(None,), ("blue song",)], "name string")
+    folders = spark.createDataFrame(listed + [(None, 99)], "folder string, ord int")
+    for t in (0.6, 0.85, 0.92):
+        best = {n: min(((-score(n, f), i, f) for f, i in listed), default=None) for n in names | {"blue song"}}
+        want = {(n, f, -s) for n, (s, i, f) in best.items() if -s >= t}
+        assert {tuple(r) for r in linkage.best_match(files, folders, t).collect()} == want
+
+
 def test_fuzzy_linkage_is_one_to_one(spark):
     left = spark.createDataFrame([(1, "abc", "blue song"), (2, "abc", "blue songs"), (3, "xyz", "other")], "id long, artist string, title string")
     right = spark.createDataFrame([(10, "abc", "blue song"), (11, "abd", "blue song"), (12, "q", "nothing")], "id long, artist string, title string")

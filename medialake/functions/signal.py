@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -160,21 +162,31 @@ def delay(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def overlap_added(parts: pd.Series, starts: pd.Series, n: pd.Series) -> pd.Series:
-    """Parts laid over each other at their starts with linear fades, divided by the summed weight."""
+def fade_window(at: Column, size: int, overlap: int) -> Column:
+    """Weight at a place of a segment: 1 with linear fades from 0 over the first and the last overlap places."""
+    step = max(overlap - 1, 1)
+    ramp = F.when(at >= size - overlap, (size - 1 - at) / step).when(at < overlap, at / step).otherwise(1.0)
+    return ramp if overlap > 0 else F.lit(1.0)
+
+
+def resampled(values: Column, up: int, down: int) -> Column:
+    """The signal at up / down times its rate: a Kaiser-windowed low-pass of 20 periods of the slower rate, zeros beyond the ends."""
+    common = gcd(up, down)
+    up, down = up // common, down // common
+    if up == down:
+        return values
+    half = 10 * max(up, down)
+    at = np.arange(-half, half + 1)
+    taps = np.sinc(at / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    taps = F.array(*[F.lit(float(x)) for x in taps / taps.sum() * up])
+    n = F.size(values)
 
-    def one(rows, at, size) -> np.ndarray:
-        out, weight = np.zeros(int(size)), np.zeros(int(size))
-        for row, s in zip(rows, at):
-            x = np.asarray(row, float)
-            w = np.minimum(np.arange(1, len(x) + 1), np.arange(len(x), 0, -1)).astype(float)
-            stop = min(int(size), int(s) + len(x))
-            out[int(s) : stop] += (x * w)[: stop - int(s)]
-            weight[int(s) : stop] += w[: stop - int(s)]
-        return out / np.maximum(weight, 1e-12)
+    def sample(i: Column) -> Column:
+        first = F.greatest(F.lit(0), F.ceil((i * down - half) / up).cast("int"))
+        last = F.least(n - 1, F.floor((i * down + half) / up).cast("int"))
+        return F.aggregate(F.sequence(first, last), F.lit(0.0), lambda total, k: total + F.get(values, k) * F.get(taps, (i * down - k * up + half).cast("int")))
 
-    return pd.Series([one(*x) for x in zip(parts, starts, n)])
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil(n * up / down).cast("int") - 1), sample)).otherwise(F.array().cast("array<double>"))
 
 
 def collapsed_shares(shares: Column, groups: dict[str, str], kept: tuple[str, ...], rest: str) -> Column:

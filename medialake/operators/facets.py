@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.signal import fade_window
+
 INSTRUMENT_SIDE = ("genre", "style")
 VOCAL_SIDE = ("gender", "reverb", "vocal_type")
 SHARED = ("compression", "music_key")
@@ -115,6 +117,14 @@ def mix_down(df: DataFrame, group: str, vector: str) -> DataFrame:
     return parts.groupBy(group, "idx").agg(F.sum("x").alias("total"))
 
 
+def overlap_add(parts: DataFrame, key: str, start: str, vector: str, size: int, overlap: int) -> DataFrame:
+    """(key, idx, y): segments laid over each other at their starts, weighted by a fading window and divided by the summed weight.
+    A segment shorter than size has the window's beginning; where only zero weights lie, y is 0."""
+    each = parts.select(key, start, F.posexplode(vector).alias("at", "x")).withColumn("w", fade_window(F.col("at"), size, overlap))
+    sums = each.groupBy(key, (F.col(start) + F.col("at")).cast("int").alias("idx")).agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum("w").alias("w"))
+    return sums.select(key, "idx", (F.col("x") / F.greatest("w", F.lit(1e-8))).alias("y"))
+
+
 def phase_seconds(log: DataFrame, phase: str, seconds: str) -> DataFrame:
     """(phase, seconds, steps): the time of each phase of a run's log."""
     return log.groupBy(F.col(phase).alias("phase")).agg(F.sum(seconds).alias("seconds"), F.count(F.lit(1)).alias("steps"))

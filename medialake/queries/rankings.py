@@ -71,6 +71,13 @@ def top09_argmax(spark, sf):
     return _vectors(spark, sf).select("vec_id", F.when(wet >= dry, "wet").otherwise("dry").alias("reverb"))
 
 
+def top09_gender(spark, sf):
+    """The mean of a track's patches, then the larger class; the first among equals."""
+    patches = _vectors(spark, sf).select((F.floor(F.col("vec_id") / 5)).alias("track"), F.col("p")[0].alias("f"), F.col("p")[1].alias("m"))
+    means = patches.groupBy("track").agg(F.avg("f").alias("f"), F.avg("m").alias("m"), F.count(F.lit(1)).alias("n_patches"))
+    return means.select("track", F.when(F.round("f", 9) >= F.round("m", 9), "female").otherwise("male").alias("gender"), F.round(F.greatest("f", "m"), 5).alias("confidence"), "n_patches")
+
+
 def top10_all_pass(spark, sf):
     limits = spark.createDataFrame([("click", 2.0), ("view", 1.0), ("error", 0.5)], "event_type string, limit double")
     return R.all_pass(load(spark, sf, "events"), "user_id", "event_type", "value", limits)
@@ -119,6 +126,9 @@ SQL = {
       p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM e)
       SELECT vec_id, {list(S.WHEEL)}[i] AS key, round(p, 6) AS probability FROM p WHERE k = 1""",
     "top09_argmax": f"WITH x AS ({_vec()}) SELECT vec_id, CASE WHEN max(v) FILTER (i = 1) >= max(v) FILTER (i = 2) THEN 'wet' ELSE 'dry' END AS reverb FROM x GROUP BY 1",
+    "top09_gender": f"""WITH x AS ({_vec()}), m AS (SELECT vec_id // 5 AS track, avg(p) FILTER (i = 1) AS f,
+      avg(p) FILTER (i = 2) AS m, count(DISTINCT vec_id) AS n_patches FROM x GROUP BY 1)
+      SELECT track, CASE WHEN round(f, 9) >= round(m, 9) THEN 'female' ELSE 'male' END AS gender, round(greatest(f, m), 5) AS confidence, n_patches FROM m""",
     "top10_all_pass": """WITH e AS (SELECT user_id, value >= CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 WHEN 'error' THEN 0.5 ELSE -1e9 END AS ok FROM events)
       SELECT user_id, bool_and(ok) AS passed, count(*) FILTER (NOT ok) AS failed FROM e GROUP BY 1""",
     "top11_display_order": """WITH n AS (SELECT p_brand AS folder, concat(CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END, '_', p_partkey) AS name FROM part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import signal as G
-from ..operators.facets import mix_down
+from ..operators.facets import mix_down, overlap_add
 from .fixtures import load
 
 
@@ -58,9 +58,10 @@ def sig07_whole_chunks(spark, sf):
 
 
 def sig08_overlap_add(spark, sf):
-    parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("v", i * 16 + 1, F.lit(32)))
-    out = _signals(spark, sf).select("vec_id", G.overlap_added(parts, F.array(F.lit(0), F.lit(16), F.lit(32)), F.lit(64)).alias("y"))
-    return out.select("vec_id", F.posexplode("y").alias("idx", "y")).select("vec_id", "idx", F.round("y", 4).alias("y"))
+    """Segments of 24 at steps of 16, each with its own gain in place of a model's output."""
+    starts = _signals(spark, sf).select("vec_id", "v", F.explode(F.array(*[F.lit(16 * k) for k in range(4)])).alias("start"))
+    parts = starts.select("vec_id", "start", F.transform(F.slice("v", F.col("start") + 1, F.lit(24)), lambda x: x * (1 + F.col("start") / 16)).alias("v"))
+    return overlap_add(parts, "vec_id", "start", "v", 24, 8).withColumn("y", F.round("y", 4))
 
 
 def sig09_delay(spark, sf):
@@ -89,6 +90,11 @@ def sig13_gain(spark, sf):
     return _signals(spark, sf).select("vec_id", F.round(G.peak(G.normalised_peak(loud)), 6).alias("peak"), F.array_max(G.quantised(loud, 16)).alias("top"), F.array_min(G.quantised(loud, 16)).alias("low"))
 
 
+def sig14_resample(spark, sf):
+    out = _signals(spark, sf).select("vec_id", F.posexplode(G.resampled(F.col("v"), 32_000, 48_000)).alias("idx", "y"))
+    return out.withColumn("y", F.round("y", 5))
+
+
 def sig15_collapsed_shares(spark, sf):
     e = load(spark, sf, "events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 2).alias("e"))
     maps = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "e"))).alias("m"))  # an entry a source
@@ -137,7 +143,9 @@ SQL = {
     "sig05_patch_starts": f"SELECT doc_id, CAST(i AS INT) AS k, CAST(i * 62 AS INT) AS start FROM (SELECT doc_id, unnest(range(0, greatest(CAST(floor((n - 128) / 62.0) AS BIGINT), 1))) AS i FROM ({_L}))",
     "sig06_linspace_starts": f"SELECT doc_id, CAST(i AS INT) AS k, CAST(floor(i * greatest(n - 300, 0) / 3.0) AS INT) AS start FROM ({_L}), (SELECT unnest(range(0, 4)) AS i)",
     "sig07_whole_chunks": f"SELECT doc_id, CAST(i AS INT) AS k, CAST(i * 350 AS INT) AS start FROM (SELECT doc_id, unnest(range(0, n // 350)) AS i FROM ({_L}))",
-    "sig08_overlap_add": f"""WITH x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM ({_S})) SELECT vec_id, CAST(i AS INT) AS idx, round(x, 4) AS y FROM x""",
+    "sig08_overlap_add": f"""WITH p AS (SELECT vec_id, s, (1 + s / 16.0) AS g, v[s + 1:s + 24] AS v FROM ({_S}), (SELECT unnest([0, 16, 32, 48]) AS s)),
+      x AS (SELECT vec_id, s, g * unnest(v) AS x, unnest(range(0, len(v))) AS i FROM p), w AS (SELECT *, CASE WHEN i >= 16 THEN (23 - i) / 7.0 WHEN i < 8 THEN i / 7.0 ELSE 1.0 END AS w FROM x)
+      SELECT vec_id, CAST(s + i AS INT) AS idx, round(sum(x * w) / greatest(sum(w), 1e-8), 4) AS y FROM w GROUP BY 1, 2""",
     "sig09_delay": f"""WITH p AS (SELECT vec_id, v, w FROM ({_P})), l AS (SELECT vec_id, lag, list_sum(list_transform(range(greatest(1, 1 - lag), least(64, 64 - lag) + 1), lambda i: v[i] * w[i + lag])) AS c
       FROM p, (SELECT unnest(range(-63, 64)) AS lag)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC) AS k FROM l) SELECT vec_id, CAST(lag AS INT) AS lag FROM r WHERE k = 1""",
     "sig10_onset": f"""WITH x AS (SELECT vec_id, i // 8 AS f, CASE WHEN i < vec_id % 40 THEN 0.0 ELSE x END AS x FROM (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS i FROM ({_S}))),
@@ -147,6 +155,10 @@ SQL = {
       SELECT vec_id, CAST(i AS INT) AS idx, CASE WHEN i - d < 0 OR i - d >= 64 THEN 0.0 ELSE v[i - d + 1] END AS x FROM s, (SELECT unnest(range(0, 60)) AS i)""",
     "sig13_gain": f"""WITH x AS (SELECT vec_id, unnest(v) * 4 AS x FROM ({_S})) SELECT vec_id, round(least(max(abs(x)), power(10, -0.05)), 6) AS peak, CAST(max(least(greatest(round_even(x * 32768, 0), -32768), 32767)) AS INT) AS top,
       CAST(min(least(greatest(round_even(x * 32768, 0), -32768), 32767)) AS INT) AS low FROM x GROUP BY 1""",
+    "sig14_resample": f"""WITH m AS (SELECT unnest(range(-30, 31)) AS m), j AS (SELECT unnest(range(0, 26)) AS j),
+      h AS (SELECT m, CASE WHEN m = 0 THEN 1.0 ELSE sin(pi() * m / 3) / (pi() * m / 3) END * sum(power(6.25 * (1 - m * m / 900.0), j) / power(CAST(factorial(CAST(j AS INT)) AS DOUBLE), 2)) AS h FROM m, j GROUP BY m),
+      t AS (SELECT m, 2 * h / (SELECT sum(h) FROM h) AS h FROM h), x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) AS k FROM ({_S})), o AS (SELECT unnest(range(0, 43)) AS n)
+      SELECT vec_id, CAST(n AS INT) AS idx, round(sum(x * h), 5) AS y FROM o JOIN t ON true JOIN x ON n * 3 - k * 2 = m GROUP BY 1, 2""",
     "sig15_collapsed_shares": """WITH e AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'vocals' WHEN 'view' THEN 'bass' ELSE 'other' END AS s, round(sum(value), 2) AS e FROM events GROUP BY user_id, event_type)
       SELECT user_id, source, round(coalesce(sum(e) FILTER (s = source), 0) / (sum(e) + 1e-12), 6) AS share FROM e, (VALUES ('vocals'), ('bass'), ('other')) t(source) GROUP BY 1, 2""",
     "sig16_instrumental": f"SELECT vec_id, CAST(i AS INT) AS idx, round(x, 4) AS x FROM (SELECT vec_id, unnest(v) - unnest(w) AS x, unnest(range(0, 64)) AS i FROM ({_P}))",

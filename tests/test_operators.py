@@ -140,6 +140,31 @@ def test_signals(spark):
     assert [(w.start, w.end) for w in ends] == [(0, 300), (300, 600), (600, 900), (900, 1000)]
 
 
+def test_resampling_equals_filtering_the_stuffed_signal(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    given = [rng.normal(size=n).tolist() for n in (1, 7, 50)] + [[]]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, v array<double>")
+    for up, down in ((2, 3), (3, 2), (1, 4), (5, 1), (4, 4)):
+        half = 10 * max(up, down)
+        m = np.arange(-half, half + 1)
+        taps = np.sinc(m / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+        for r in df.withColumn("y", signal.resampled(F.col("v"), up * 100, down * 100)).collect():
+            stuffed = np.zeros(len(r.v) * up)
+            stuffed[::up] = r.v
+            want = np.convolve(stuffed, taps / taps.sum() * up)[half : half + len(stuffed) : down] if r.v and up != down else np.array(r.v)
+            assert len(r.y) == -(-len(r.v) * up // down) and np.allclose(r.y, want, atol=1e-9), (up, down, len(r.v))
+
+
+def test_overlap_add_edges(spark):
+    parts = spark.createDataFrame([(1, 0, [1.0] * 4), (1, 2, [1.0] * 3), (2, 0, []), (3, 0, [5.0])], "key int, start int, v array<double>")
+    got = {(r.key, r.idx): round(r.y, 6) for r in facets.overlap_add(parts, "key", "start", "v", 4, 2).collect()}
+    assert got == {(1, 0): 0.0, (1, 1): 1.0, (1, 2): 1.0, (1, 3): 1.0, (1, 4): 1.0, (3, 0): 0.0}
+    plain = {(r.key, r.idx): r.y for r in facets.overlap_add(parts, "key", "start", "v", 4, 0).collect()}
+    assert set(plain.values()) == {1.0, 5.0}
+
+
 def test_mp3_walk():
     frame = bytes.fromhex("fffb9000") + bytes(413)
     assert integrity.mp3_frames(frame * 3) == (3, "", None) and integrity.mp3_frames(frame * 2 + frame[:100]) == (2, "TRUNCATED", None)

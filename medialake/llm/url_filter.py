@@ -6,7 +6,8 @@ host, every parent domain and every directory of its path among the entries' key
 intervals that were open when it was fetched. A capture is blocked when any remains.
 
 DataFrame functions only. The intervals are a written table, so that both sides of the key join are plain shuffles and Spark can
-split a host that holds a large share of all captures; a URL contributes as many keys as it has labels and directories.
+split a host that holds a large share of all captures. A URL contributes a key for each of its domains and directories, but only
+of the numbers of labels and directories that some entry has: others, as a bare top-level domain or a deep path, match nothing.
 
 Defined cases: a null or unparsable URL has no key and is not blocked; a null fetch time matches no interval; repeated
 statements of the same kind extend one interval; an addition and a removal at the same time leave the entry removed. Rows that
@@ -33,16 +34,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def url_keys(url: Column) -> Column:
-    """Array of the keys under which an entry can name the URL: its domains, and its host with each directory of its path."""
+def key_depths(keys: DataFrame) -> tuple[int, int, int]:
+    """(least and most labels of the listed domains, most directories of the listed paths); zeros where there are none."""
+    domain, path = ~F.col("key").contains("/"), F.col("key").contains("/")
+    labels = F.when(domain, F.size(F.split("key", r"\.")))
+    row = keys.agg(F.min(labels), F.max(labels), F.max(F.when(path, F.size(F.split("key", "/")) - 1))).first()
+    return tuple(x or 0 for x in row)
+
+
+def url_keys(url: Column, depths: tuple[int, int, int]) -> Column:
+    """Array of the keys under which an entry can name the URL: its domains, and its host with each directory of its path, as far
+    as the depths of the entries go."""
+    least, most, deepest = depths
     labels = F.split(host_of(url), r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n = F.size(labels)
+    first, last = F.greatest(n - most + 1, F.lit(1)), n - least + 1
+    domains = F.when(F.lit(most > 0) & (first <= last), F.transform(F.sequence(first, F.greatest(first, last)), lambda i: F.array_join(F.slice(labels, i, n), ".")))
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
     folders = F.when(
-        F.size(parts) > 0,
-        F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))),
+        F.lit(deepest > 0) & (F.size(parts) > 0),
+        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(parts), F.lit(deepest)))), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))),
     )
-    return F.when(host_of(url) != "", F.array_distinct(F.concat(domains, F.coalesce(folders, F.array().cast("array<string>")))))
+    none = F.array().cast("array<string>")
+    return F.when(host_of(url) != "", F.array_distinct(F.concat(F.coalesce(domains, none), F.coalesce(folders, none))))
 
 
 def validity_intervals(log: DataFrame) -> DataFrame:
@@ -58,7 +72,7 @@ def validity_intervals(log: DataFrame) -> DataFrame:
 def blocked_captures(captures: DataFrame, log: DataFrame) -> DataFrame:
     """(capture_id, blocked, n_entries, categories) of captures (capture_id, url, fetched_at)."""
     intervals = staged(validity_intervals(log), "url-intervals")
-    keys = captures.select("capture_id", "fetched_at", F.explode(url_keys(F.col("url"))).alias("key"))
+    keys = captures.select("capture_id", "fetched_at", F.explode(url_keys(F.col("url"), key_depths(intervals))).alias("key"))
     open_then = (F.col("valid_from") <= F.col("fetched_at")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     hits = keys.join(intervals, "key").where(open_then)
     hits = hits.groupBy("capture_id").agg(F.countDistinct("key", "category").alias("n"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("found"))

@@ -2,7 +2,7 @@ from datetime import datetime as D
 
 from pyspark.sql import functions as F
 
-from medialake.llm.url_filter import blocked_captures, op6_url_filter, validity_intervals
+from medialake.llm.url_filter import blocked_captures, key_depths, op6_url_filter, url_keys, validity_intervals
 from medialake.llm import registry
 
 LOG = [
@@ -34,6 +34,21 @@ def test_repeated_captures_long_urls_and_no_captures(spark):
     assert blocked_captures(captures.limit(0), log).count() == 0
 
 
+def test_keys_of_the_depths_that_the_list_has(spark):
+    url = "http://a.b.bad.com/x/y/" + "/".join(f"d{i}" for i in range(2_000)) + "/end"
+    df = spark.createDataFrame([(url,)], "url string")
+    keys = lambda depths: set(df.select(url_keys(F.col("url"), depths).alias("k")).first().k)
+    assert keys((2, 2, 1)) == {"bad.com", "a.b.bad.com/x"} and keys((2, 3, 0)) == {"bad.com", "b.bad.com"}
+    assert keys((1, 9, 0)) == {"com", "bad.com", "b.bad.com", "a.b.bad.com"} and keys((5, 6, 2)) == {"a.b.bad.com/x", "a.b.bad.com/x/y"} and keys((0, 0, 0)) == set()
+    entries = spark.createDataFrame([("com",), ("a.b.c",), ("h.org/x",), ("h.org/x/y",)], "key string")
+    assert key_depths(entries) == (1, 3, 2) and key_depths(entries.limit(0)) == (0, 0, 0)
+    # An entry of every depth, against captures of every depth.
+    log = spark.createDataFrame([(k, "spam", D(2024, 1, 1), True) for k in ("com", "b.c.net", "h.org/x/y")], "key string, category string, at timestamp, listed boolean")
+    urls = ["http://com", "http://q.com/z", "http://net", "http://c.net", "http://b.c.net", "http://a.b.c.net/p", "http://h.org/x", "http://h.org/x/y", "http://h.org/x/y/z", "http://org", "http://w.h.org/x/y"]
+    captures = spark.createDataFrame([(i, u, D(2024, 2, 1)) for i, u in enumerate(urls)], "capture_id long, url string, fetched_at timestamp")
+    assert {urls[r.capture_id] for r in blocked_captures(captures, log).collect() if r.blocked} == {"http://com", "http://q.com/z", "http://b.c.net", "http://a.b.c.net/p", "http://h.org/x/y", "http://h.org/x/y/z"}
+
+
 def test_equals_sql(spark, sf, duck):
     got = sorted(tuple(r) for r in op6_url_filter(spark, sf).select("page_id", "blocked", "n_entries", "categories").collect())
     assert got == sorted(duck.execute(f"SELECT page_id, blocked, n_entries, categories FROM ({registry.oracle_sql()['op6_url_filter']})").fetchall())

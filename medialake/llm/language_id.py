@@ -57,6 +57,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             if found:
                 langs, grams = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(grams), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
+            del batch, found
+            K.hand_back()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

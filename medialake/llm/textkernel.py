@@ -5,6 +5,8 @@ A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; letters A-Z are low
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -105,8 +107,20 @@ def distinct_per_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is another
+
+
+def hand_back() -> None:
+    """Return freed memory to the system. Python workers outlive a task, and both allocators keep what its batches have freed, so
+    that later stages would find an executor's memory taken."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def blocks(batches, text: str, limit: int = 4 << 20):
-    """Cut record batches so that each piece has about limit bytes of text (one longer row is a piece of its own)."""
+    """Cut record batches so that each piece has about limit bytes of text (one longer row is a piece of its own); memory that a
+    batch has freed is handed back before the next is read."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         if not len(column):
@@ -117,3 +131,5 @@ def blocks(batches, text: str, limit: int = 4 << 20):
             stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, column, offsets
+        hand_back()

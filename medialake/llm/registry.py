@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, pii, quality, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, periodic_runs, pii, quality, toxicity, url_filter
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op9_decontamination": decontaminate.op9_decontamination,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, periodic_runs, pii, quality, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, jaccard_join, language_id, lexical_search, line_dedup, nearest, periodic_runs, pii, quality, toxicity, url_filter
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_ngram_jaccard_join": jaccard_join.op10_ngram_jaccard_join,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_nearest": nearest.op12_nearest,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 

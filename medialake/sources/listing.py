@@ -92,6 +92,10 @@ MP4_ENDINGS = ("m4a", "mp4", "aac")
 ID3_FRAMES = {"GENRE": "TCON", "COMMENT": "COMM"}
 MP4_ATOMS = {"GENRE": "\xa9gen", "COMMENT": "\xa9cmt"}
 ID3_OWN, MP4_OWN = "TXXX:", "----:com.apple.iTunes:"
+# Where containers keep the key, the title and the artist, standard names first.
+KEY_NAMES = ("TKEY", "INITIALKEY", "KEY", *(MP4_OWN + k for k in ("initialkey", "INITIALKEY", "KEY", "key")), *(ID3_OWN + k for k in ("KEY", "key", "INITIALKEY", "initialkey")))
+TITLE_NAMES = ("TIT2", "TITLE", "\xa9nam", "INAM")
+ARTIST_NAMES = ("TPE1", "ARTIST", "\xa9ART", "IART")
 
 
 def tag_value(tags: Column, ext: Column, field: str) -> Column:

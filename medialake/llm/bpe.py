@@ -54,12 +54,12 @@ def _printable_bytes() -> dict[str, int]:
 
 
 def merge_ranks(parts: list[int], pair) -> list[int]:
-    """The parts (token ids) after all merges; pair(a << 16 | b) gives (rank, merged id) or None.
+    """The parts (token ids) after all merges; pair(a << 32 | b) gives (rank, merged id) or None.
 
     Entry i of the arrays is the part that starts at boundary i and the merge of the parts on both sides of boundary i + 1:
     deleting entry i + 1 deletes that boundary.
     """
-    merges = [pair(a << 16 | b, _NONE) for a, b in zip(parts, parts[1:])]
+    merges = [pair(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
     while merges:
         least = min(merges)
         if least is _NONE:
@@ -68,9 +68,9 @@ def merge_ranks(parts: list[int], pair) -> list[int]:
         parts[i] = least[1]
         del parts[i + 1], merges[i]
         if i < len(merges):
-            merges[i] = pair(parts[i] << 16 | parts[i + 1], _NONE)
+            merges[i] = pair(parts[i] << 32 | parts[i + 1], _NONE)
         if i:
-            merges[i - 1] = pair(parts[i - 1] << 16 | parts[i], _NONE)
+            merges[i - 1] = pair(parts[i - 1] << 32 | parts[i], _NONE)
     return parts
 
 
@@ -80,7 +80,7 @@ def merge_long(parts: list[int], pair) -> list[int]:
     after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
     def push(i: int) -> None:
-        if i >= 0 and after[i] < n and (found := pair(parts[i] << 16 | parts[after[i]], _NONE)) is not _NONE:
+        if i >= 0 and after[i] < n and (found := pair(parts[i] << 32 | parts[after[i]], _NONE)) is not _NONE:
             heapq.heappush(heap, (found[0], i, parts[i], parts[after[i]], found[1]))
 
     for i in range(n):
@@ -108,7 +108,7 @@ class Codec:
         self.ids = {bytes(of[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         token = model["vocab"]
-        self.pair = {token[a] << 16 | token[b]: (r, token[a + b]) for r, (a, b) in enumerate(pairs)}.get
+        self.pair = {token[a] << 32 | token[b]: (r, token[a + b]) for r, (a, b) in enumerate(pairs)}.get
         self.bytes = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.digits = {i: str(i) for i in self.bytes}
         self.singles = [self.ids[bytes([b])] for b in range(256)]

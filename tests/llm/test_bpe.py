@@ -58,3 +58,12 @@ def test_long_words_merge_alike():
         raw = "".join(rng.choice("abcethn") for _ in range(rng.randint(2, 200))).encode()
         parts = [codec.singles[b] for b in raw]
         assert bpe.merge_ranks(list(parts), codec.pair) == bpe.merge_long(list(parts), codec.pair)
+
+
+def test_ids_of_more_than_sixteen_bits():
+    """A pair's key holds whatever ids a vocabulary has: (1, 65536 + 2) and (2, 2) are different pairs."""
+    from medialake.llm.bpe import merge_long, merge_ranks
+
+    pairs = {1 << 32 | 65_538: (0, 7), 2 << 32 | 2: (1, 9)}
+    for merge in (merge_ranks, merge_long):
+        assert merge([1, 65_538], pairs.get) in ([7], (7,)) and merge([2, 2], pairs.get) in ([9], (9,)) and merge([1, 2], pairs.get) == [1, 2]

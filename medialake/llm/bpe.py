@@ -25,12 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import textkernel as K
-from .common import table
+from .common import in_batches, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD = 256
 #: Entries of a worker's cache of encoded chunks: a bound on memory, not on what is encoded.
-CACHED = 450_000
+CACHED = 150_000
 #: Letters and numbers that regex knows from a newer Unicode version than the tokenizers library does, which
 #: takes them for neither.
 NEWER = """
@@ -208,7 +208,7 @@ def _mapped(docs: DataFrame, keep: list[str], schema: str, vocabulary: str | Non
             yield pa.RecordBatch.from_arrays([piece.column(piece.schema.get_field_index(c)) for c in keep] + new, keep + names)
 
     old = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{old}, {schema}" if old else schema)
+    return in_batches(docs).select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{old}, {schema}" if old else schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

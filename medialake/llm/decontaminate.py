@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import table
+from .common import in_batches, table
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, threshold:
 
         return run
 
-    texts = docs.select("doc_id", "text")
+    texts = in_batches(docs).select("doc_id", "text")
     passes = [texts.mapInArrow(searcher(spark.sparkContext.broadcast(block)), schema) for block in item_blocks(items, size)]
     return reduce(DataFrame.unionByName, passes) if passes else spark.createDataFrame([], schema)
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import connected_components, discard, staged, table
+from .common import connected_components, discard, in_batches, staged, table
 
 _GROWTH = 2
 _COST_PER_CANDIDATE = 4.0
@@ -167,7 +167,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
             columns = [_column(piece, "doc_id"), pa.array(np.diff(bounds)), pa.array(_set_hash(values, bounds).view(np.int64)), _sketches(values, bounds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_hash", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sketch array<long>")
 
 
 def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme], num: int, den: int) -> DataFrame:
@@ -226,7 +226,7 @@ def index_rows(docs: DataFrame, size: int, starts: np.ndarray, plan: list[Scheme
             for keys, vertex in entries(values[keep], np.concatenate([[0], np.cumsum(sizes)]), vertices):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(vertex.view(np.int64))], ["key", "vertex"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, vertex long")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(run, "key long, vertex long")
 
 
 def _with_set_hash(docs: DataFrame, size: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _with_set_hash(docs: DataFrame, size: int) -> DataFrame:
         for piece, values, bounds in _sets(batches, size):
             yield pa.RecordBatch.from_arrays([pa.array(_set_hash(values, bounds).view(np.int64)), _column(piece, "text")], ["vertex", "text"])
 
-    return docs.select("text").mapInArrow(run, "vertex long, text string")
+    return in_batches(docs).select("text").mapInArrow(run, "vertex long, text string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int)
             some = pa.array(np.flatnonzero(linked))
             yield pa.RecordBatch.from_arrays([_column(piece, "a").take(some), _column(piece, "b").take(some)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
+    return in_batches(pairs).join(left, "a").join(right, "b").select("a", "b", "text_a", "text").mapInArrow(run, "a long, b long")
 
 
 def _only(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:

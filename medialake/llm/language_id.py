@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import split_of, table
+from .common import in_batches, split_of, table
 
 FIT_ROWS = 3_000
 MIN_SHARE = 0.01
 SLOTS = 1 << 20
 HASHES = 3
-CACHED = 300_000
+CACHED = 150_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,7 +60,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             del batch, found
             K.hand_back()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(docs).select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class GramFilter:
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, filt: GramFilter, keep: tuple[str, ...] = ("doc_id
             kept = [piece.column(piece.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
-    return docs.select(*columns).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return in_batches(docs).select(*columns).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir):

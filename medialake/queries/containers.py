@@ -74,9 +74,9 @@ def src14_header_probe(spark, sf):
 QUERIES = {k: v for k, v in globals().items() if k.startswith("src")}
 
 _FORM = "CASE id % 16 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_FORMS)) + " END"
-_ID3 = "form IN ('id3v2.3 latin', 'id3v2.3 utf-16', 'id3v2.4', 'id3v2.4 unsynchronised', 'id3v2.2', 'wav id3', 'aiff')"
-_VORBIS = "form IN ('flac', 'ogg', 'opus')"
-_FORMED = f"SELECT *, {_FORM} AS form, {_KEY} AS k FROM ({FILES})"
+ID3_FORMS = "form IN ('id3v2.3 latin', 'id3v2.3 utf-16', 'id3v2.4', 'id3v2.4 unsynchronised', 'id3v2.2', 'wav id3', 'aiff')"
+VORBIS_FORMS = "form IN ('flac', 'ogg', 'opus')"
+TAGGED = f"SELECT *, {_FORM} AS form, {_KEY} AS k FROM ({FILES})"
 _STREAM_FORM = "CASE id % 11 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_STREAMS)) + " END"
 _PROBE = f"""WITH f AS (SELECT id, CAST(size AS BIGINT) AS n, id % 2 + 1 AS c, {_STREAM_FORM} AS form, strlen(stem) AS named FROM ({FILES})), s AS (
   SELECT *, CASE form WHEN 'wav 16' THEN 44100 WHEN 'wav 24 extensible' THEN 96000 WHEN 'wav float' THEN 48000 WHEN 'wav 8 cut' THEN 22050 WHEN 'aiff' THEN 44100 WHEN 'aifc' THEN 192000
@@ -85,14 +85,14 @@ _PROBE = f"""WITH f AS (SELECT id, CAST(size AS BIGINT) AS n, id % 2 + 1 AS c, {
     CASE WHEN form LIKE 'wav%' THEN n WHEN form LIKE 'ai%' THEN n * 1000 WHEN form = 'flac' THEN n * 1000000 WHEN form IN ('xing', 'vbri') THEN n * 1152
       WHEN form = 'constant' THEN CAST(floor((n * 100 + 4) * 8 * 24000 / 64000) AS BIGINT) END AS frames FROM f)"""
 SQL = {
-    "src09_container_tags": f"""SELECT id, form, CASE WHEN {_ID3} OR {_VORBIS} OR form IN ('mp4') THEN category ELSE '' END AS genre,
-      CASE WHEN {_ID3} THEN 'a note' ELSE '' END AS comment, CASE WHEN {_ID3} OR {_VORBIS} OR form = 'mp4' THEN concat('mood ', size) ELSE '' END AS mood,
-      CAST(CASE WHEN {_ID3} THEN CASE WHEN k IS NULL THEN 5 ELSE 6 END WHEN form = 'wav info' THEN 3 WHEN {_VORBIS} THEN CASE WHEN k IS NULL THEN 4 ELSE 5 END
-        WHEN form = 'mp4' THEN CASE WHEN k IS NULL THEN 5 ELSE 6 END WHEN form = 'id3v1' THEN 3 ELSE 0 END AS BIGINT) AS n_names FROM ({_FORMED})""",
-    "src10_container_keys": f"SELECT id, CASE WHEN {_ID3} OR {_VORBIS} OR form = 'mp4' THEN k END AS music_key FROM ({_FORMED})",
+    "src09_container_tags": f"""SELECT id, form, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form IN ('mp4') THEN category ELSE '' END AS genre,
+      CASE WHEN {ID3_FORMS} THEN 'a note' ELSE '' END AS comment, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form = 'mp4' THEN concat('mood ', size) ELSE '' END AS mood,
+      CAST(CASE WHEN {ID3_FORMS} THEN CASE WHEN k IS NULL THEN 5 ELSE 6 END WHEN form = 'wav info' THEN 3 WHEN {VORBIS_FORMS} THEN CASE WHEN k IS NULL THEN 4 ELSE 5 END
+        WHEN form = 'mp4' THEN CASE WHEN k IS NULL THEN 5 ELSE 6 END WHEN form = 'id3v1' THEN 3 ELSE 0 END AS BIGINT) AS n_names FROM ({TAGGED})""",
+    "src10_container_keys": f"SELECT id, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form = 'mp4' THEN k END AS music_key FROM ({TAGGED})",
     "src12_container_names": f"""SELECT id, CASE WHEN form = 'id3v1' THEN 'a title' WHEN form NOT IN ('cut', 'looping', 'empty') THEN stem END AS title,
-      CASE WHEN form IN ('id3v2.3 latin', 'wav id3') THEN folder || ' é / second' WHEN {_ID3} OR {_VORBIS} THEN folder || ' Жé😀ÿ / second'
-        WHEN form IN ('wav info', 'mp4') THEN folder || ' Жé😀ÿ' WHEN form = 'id3v1' THEN 'an artist' END AS artists FROM ({_FORMED})""",
+      CASE WHEN form IN ('id3v2.3 latin', 'wav id3') THEN folder || ' é / second' WHEN {ID3_FORMS} OR {VORBIS_FORMS} THEN folder || ' Жé😀ÿ / second'
+        WHEN form IN ('wav info', 'mp4') THEN folder || ' Жé😀ÿ' WHEN form = 'id3v1' THEN 'an artist' END AS artists FROM ({TAGGED})""",
     "src13_header_seconds": _PROBE + """ SELECT id, CAST(CASE form WHEN 'wav 16' THEN 44 + n * c * 2 WHEN 'wav 24 extensible' THEN 10 + 31 + named + 12 + 36 + 26 + 48 + 8 + n * c * 3 + n * c * 3 % 2
         WHEN 'wav float' THEN 12 + 24 + 12 + 8 + n * c * 4 WHEN 'wav 8 cut' THEN 12 + 24 + 8 + n * c WHEN 'aiff' THEN 12 + 26 + 16 WHEN 'aifc' THEN 12 + 32 WHEN 'flac' THEN 4 + 38 + 44 + 2
         WHEN 'xing' THEN 10 + 31 + named + 36 + 12 + 373 WHEN 'vbri' THEN 36 + 18 + 363 WHEN 'constant' THEN 4 + n * 100 ELSE 40 END AS BIGINT) AS bytes,

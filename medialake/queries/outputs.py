@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import balance as B
 from ..operators.integrity import merge_status
 from ..sources import sinks as K
+from ..sources.containers import with_tags
 from ..tables import shared_folder
+from .containers import ID3_FORMS, TAGGED, VORBIS_FORMS, tagged_files
 from .fixtures import FILES, UNITS, files, load, units
 
 
@@ -79,8 +81,16 @@ def snk11_tag_updates(spark, sf):
 
 
 def snk12_vorbis_tags(spark, sf):
-    tags = F.expr("map('tpe1', p_brand, 'x~y', p_type, 'TIT2', CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END)")
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(K.vorbis_tags(tags)).alias("name", "value"))
+    """Tags of several containers under one name keep all values; names take the allowed characters."""
+    tags = F.expr("""map('tpe1', array(p_brand), 'x~y', array(p_type, ' '), 'TIT2', array(CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END), 'TDRC', array('1999'), 'TYER', array(concat('', p_size)),
+      'ключ', array('x'), 'TXXX:mood=é', array('calm'), '----:com.apple.iTunes:initialkey', array('Am'), 'UFID:me', array('id'))""")
+    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(K.vorbis_tags(tags)).alias("name", "values")).select("id", "name", F.posexplode("values").alias("nth", "value"))
+
+
+def snk12_copied_tags(spark, sf):
+    """What a copy to FLAC gets of the tags that each part's file holds in its own container."""
+    copied = with_tags(tagged_files(spark, sf)).select("id", F.explode(K.vorbis_tags(F.col("tags"))).alias("name", "values"))
+    return copied.select("id", "name", F.array_join("values", " / ").alias("value"))
 
 
 def snk14_quarantine(spark, sf):
@@ -103,7 +113,15 @@ SQL = {
     "snk09_two_phase": "SELECT p_partkey AS id, 1 AS step, p_name AS src, '.renaming-' || p_partkey AS dst FROM part UNION ALL SELECT p_partkey, 2, '.renaming-' || p_partkey, upper(p_name) FROM part",
     "snk10_prefix_moves": f"SELECT id, folder FROM ({FILES})",
     "snk11_tag_updates": f"SELECT id, 'COMPRESSION' AS field, compression AS value FROM ({UNITS}) WHERE id % 3 <> 0 AND compression IS NOT NULL",
-    "snk12_vorbis_tags": """SELECT p_partkey AS id, 'ARTIST' AS name, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'XY', p_type FROM part
-      UNION ALL SELECT p_partkey, 'TITLE', p_name FROM part WHERE p_size % 2 = 0""",
+    "snk12_vorbis_tags": """SELECT p_partkey AS id, name, nth, value FROM part, LATERAL (VALUES ('ARTIST', 0, p_brand), ('X_Y', 0, p_type), ('TITLE', 0, CASE WHEN p_size % 2 = 0 THEN p_name END),
+      ('DATE', 0, '1999'), ('DATE', 1, CAST(p_size AS VARCHAR)), ('MOOD', 0, 'calm'), ('INITIALKEY', 0, 'Am'), ('UFID:me', 0, 'id')) t(name, nth, value) WHERE value IS NOT NULL""",
+    "snk12_copied_tags": f"""WITH f AS ({TAGGED}) SELECT id, name, value FROM f, LATERAL (VALUES
+      ('TITLE', CASE WHEN form = 'id3v1' THEN 'a title' WHEN form NOT IN ('cut', 'looping', 'empty') THEN stem END),
+      ('ARTIST', CASE WHEN form IN ('id3v2.3 latin', 'wav id3') THEN folder || ' é / second' WHEN {ID3_FORMS} OR {VORBIS_FORMS} THEN folder || ' Жé😀ÿ / second'
+        WHEN form IN ('wav info', 'mp4') THEN folder || ' Жé😀ÿ' WHEN form = 'id3v1' THEN 'an artist' END),
+      ('GENRE', CASE WHEN form NOT IN ('cut', 'looping', 'empty', 'id3v1') THEN category END), ('COMMENT', CASE WHEN {ID3_FORMS} THEN 'a note' END),
+      ('MOOD', CASE WHEN form NOT IN ('cut', 'looping', 'empty', 'id3v1', 'wav info') THEN concat('mood ', size) END),
+      (CASE k WHEN 'Am' THEN 'INITIALKEY' ELSE 'KEY' END, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form = 'mp4' THEN k END),
+      ('DATE', CASE WHEN form = 'id3v1' THEN '1999' END), ('TRACKNUMBER', CASE WHEN form = 'mp4' THEN '3/9' END)) t(name, value) WHERE value IS NOT NULL""",
     "snk14_quarantine": f"""SELECT id, 'quarantine' AS op, 'quarantine/' || id AS dst FROM ({UNITS}) WHERE CASE WHEN gender = 'male' THEN id % 4 IN (2, 3) ELSE id % 4 IN (2, 3) END""",
 }

@@ -71,3 +71,12 @@ def test_the_probe_needs_no_python(spark):
     plan = C.with_stream(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert C.with_stream(df.select("id", "content", F.lit(1).alias("records"), F.lit(2).alias("head"))).count() == 1
+
+
+def test_tags_of_one_vorbis_name_keep_their_values(spark):
+    from medialake.sources.sinks import vorbis_tags
+
+    df = spark.sql("SELECT map('TDRC', array('1999', ' '), 'TYER', array('2001'), 'x~y', array('v'), 'ключ', array('k'), '_=_', array('e'), 'empty', array('', NULL), 'UFID:me', array('i')) AS tags, map('a', array('b')) AS none")
+    got = df.select(vorbis_tags(F.col("tags")).alias("t"), vorbis_tags(F.expr("map_filter(none, (k, v) -> false)")).alias("n")).first()
+    assert got.t == {"DATE": ["1999", "2001"], "X_Y": ["v"], "UFID:me": ["i"]}
+    assert got.n == {}

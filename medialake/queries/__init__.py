@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("projections", "scans", "containers", "waves", "aggregates", "balancing", "matching", "renaming", "rankings", "signals", "clustering", "integrity", "outputs")
+_MODULES: tuple[str, ...] = ("projections", "scans", "containers", "waves", "aggregates", "balancing", "matching", "renaming", "rankings", "signals", "long_signals", "clustering", "integrity", "outputs")
 
 
 def all_queries() -> dict:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.signal import fade_window
+from .selection import medians
 
 INSTRUMENT_SIDE = ("genre", "style")
 VOCAL_SIDE = ("gender", "reverb", "vocal_type")
@@ -61,7 +62,13 @@ def top_with_other(counts: DataFrame, total: DataFrame, k: int) -> DataFrame:
 
 
 def continuous(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    """(by, n, total, mean, median) of each group; the median by selection, so that no task holds a group's values."""
+    sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"))
+    middle = medians(df.select(*by, value), value, by)
+    same = F.lit(True)
+    for c in by:
+        same = same & sums[c].eqNullSafe(middle[c])
+    return sums.join(middle, same, "left").select(*[sums[c] for c in by], "n", "total", "mean", "median")
 
 
 def with_share(counts: DataFrame, within: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import facets as A
+from ..operators.selection import medians, order_statistics
 from .fixtures import FILES, UNITS, files, load, units
 
 
@@ -38,6 +39,13 @@ def agg07_continuous(spark, sf):
     return A.continuous(units(spark, sf), "duration", ["role"])
 
 
+def agg07_order_statistics(spark, sf):
+    """Median, least, greatest and the value at nine tenths of the ranks of prices, in groups of a third of all rows."""
+    li = load(spark, sf, "lineitem")
+    ends = order_statistics(li, "l_extendedprice", ["l_returnflag"], {"least": F.lit(0), "p90": F.floor(F.col("n") * 9 / 10), "most": F.col("n") - 1})
+    return medians(li, "l_extendedprice", ["l_returnflag"]).join(ends, "l_returnflag")
+
+
 def agg08_share_of_facet(spark, sf):
     return A.with_share(A.facets(units(spark, sf)).select("facet", "value", "n"), ["facet"]).drop("relative")
 
@@ -138,6 +146,8 @@ SQL = {
     "agg06_top_styles": f"""WITH u AS ({UNITS}), c AS (SELECT style AS name, count(*) AS n FROM u WHERE role IN ('instrumental', 'pair') AND style <> '' GROUP BY 1)
       (SELECT name, n FROM c ORDER BY n DESC, name LIMIT 20) UNION ALL
       SELECT 'other', greatest((SELECT count(*) + count(*) FILTER (role = 'pair') FROM u) - (SELECT CAST(sum(n) AS BIGINT) FROM c), 0)""",
+    "agg07_order_statistics": """WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+      SELECT l_returnflag, median(v) AS median, min(v) AS least, max(CASE WHEN k = n * 9 // 10 THEN v END) AS p90, max(v) AS most FROM r GROUP BY 1""",
     "agg07_continuous": f"SELECT role, count(duration) AS n, sum(duration) AS total, avg(duration) AS mean, median(duration) AS median FROM ({UNITS}) GROUP BY 1",
     "agg08_share_of_facet": _FACETS + " SELECT facet, value, n, round(100.0 * n / sum(n) OVER (PARTITION BY facet), 4) AS share FROM f",
     "agg09_relative_to_peak": f"SELECT style AS name, count(*) AS n, round(count(*) * 1.0 / max(count(*)) OVER (), 6) AS relative FROM ({UNITS}) GROUP BY 1",

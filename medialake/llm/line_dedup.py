@@ -9,12 +9,13 @@ has fewer than three of these). The words are dealt by hash into 8 shares, pairs
 * 10 to 28 features: each of the 4 blocks is a key; one replaced word leaves two untouched;
 * 22 features and more: each of the 8 blocks is a key; three replaced words leave two untouched.
 
-A key needs two words or more. Where more than CROWD rows share a key, lines must agree on two of their crowded keys. Lines of
-a key whose SimHashes over all features differ in at most DISTANCE bits (unrelated ones in about 32; not asked of lines of up to
-SHORT characters) are verified by edit similarity, 1 - distance / longer length >= SIMILARITY, on their whole normal forms.
-Each key's smallest line is its hub: lines are first verified against their hubs, components are formed, and then pairs of the
-same key in different components are verified. So a dense group costs about one verification a line and no link between the
-components of a key is left untested. Of each group the first line by (doc_id, line_no) stays.
+A key needs two words or more. Lines of a key whose SimHashes over all features differ in at most DISTANCE bits (unrelated ones in
+about 32; not asked of lines of up to SHORT characters) are verified by edit similarity, 1 - distance / longer length >= SIMILARITY, on
+their whole normal forms. Each key's smallest line is its hub: lines are first verified against their hubs and components are formed.
+Then, in STAR_ROUNDS rounds, a line of each key's largest component is verified against the key's lines in other components. What is left
+are pairs of the same key in different components; these meet by length too, in bands that the similarity implies, and are verified.
+So a dense group costs about one verification a line and no link between the components of a key is left untested, however many lines
+share it and however the rows are partitioned. Of each group the first line by (doc_id, line_no) stays.
 
 Defined cases: null text has no lines; lines without a letter or digit are never duplicates and are not listed; equal lines
 within a document are duplicates too; lines of one word are duplicates only when equal; rows that repeat a doc_id share their
@@ -23,11 +24,12 @@ line numbers, and the first stays; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
@@ -37,7 +39,7 @@ DISTANCE = 22
 SIMILARITY = 0.8
 LONG = 4
 SHORT = 30
-CROWD = 64
+STAR_ROUNDS = 2
 BROADCAST_IDS = 500_000
 #: Lines that a task remembers, to give the keys of equal lines once; beyond, they only cost rows.
 _SEEN = 200_000
@@ -212,23 +214,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _shared_rows(keyed: DataFrame, above: int = 1) -> DataFrame:
-    """(key, line, n) of the rows whose key stands in more than `above` rows; keyed is a written table of distinct rows."""
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > above)
-    return keyed.join(counts, "key").select("key", "line", "n")
+def _shared_rows(keyed: DataFrame) -> DataFrame:
+    """(key, line) of the rows whose key stands in several rows."""
+    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def length_bands(size: str, similarity: float, around: bool) -> Column:
+    """The band of a length, or with its neighbours: lengths of similar lines differ by less than a band's ratio."""
+    band = F.floor(F.log(F.col(size).cast("double")) / F.lit(-math.log(similarity) * (1 + 1e-9))).cast("int")
+    return F.array(band - 1, band, band + 1) if around else band
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(line, keep_doc_id, keep_line_no, group_size) of every line class with more than one occurrence in its group."""
     first = F.min(F.struct("doc_id", "line_no")).alias("first")
     classes = staged(lines.groupBy("line", "sim", "size").agg(first, F.count(F.lit(1)).alias("n")), "lines-classes")
     keyed = lines.select("line", F.explode("keys").alias("key"))
     # Dealt by both columns: equal lines of several tasks become one row, and the rows of a common key do not meet in one task.
-    shared = staged(_shared_rows(keyed).repartition("key", "line").distinct(), "lines-shared")
-    crowded = shared.where(F.col("n") > crowd).groupBy("line").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # 18 keys a line at most
-    both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    finer = crowded.select("line", F.explode(both).alias("key"))
-    bucketed = staged(shared.where(F.col("n") <= crowd).select("key", "line").union(finer), "lines-bucketed")
+    bucketed = staged(_shared_rows(keyed).repartition("key", "line").distinct(), "lines-bucketed")
     hubs = bucketed.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("far")).where("hub <> far").select("key", "hub")
     hubs = staged(hubs, "lines-hubs")
 
@@ -236,28 +239,53 @@ def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, sim
     longer = F.greatest("size_a", "size_b")
     near = (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= distance) | (longer <= SHORT)
     alike = near & (longer - F.least("size_a", "size_b") <= F.floor(longer * F.lit(1 - similarity) + F.lit(1e-9)))
-    pairs = bucketed.join(hubs, "key").where("line <> hub").select(F.col("hub").alias("a"), F.col("line").alias("b")).distinct()
-    pairs = staged(pairs.join(described("a"), "a").join(described("b"), "b").where(alike).select("a", "b"), "lines-pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
         return staged(normal_forms(docs, staged(classes.join(ends, "line").select("first.*", "line"), "lines-wanted")), "lines-texts")
 
-    links = staged(_verified(pairs, texts_of(pairs), similarity), "lines-links")
+    def tested(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of lines."""
+        pairs = staged(pairs.distinct().join(described("a"), "a").join(described("b"), "b").where(alike).select("a", "b"), "lines-pairs")
+        if not pairs.limit(1).count():
+            return pairs
+        found = staged(_verified(pairs, texts_of(pairs), similarity), "lines-found")
+        discard(pairs)
+        return found
+
+    links = tested(bucketed.join(hubs, "key").where("line <> hub").select(F.col("hub").alias("a"), F.col("line").alias("b")))
     parts = connected_components(links)
 
-    placed = bucketed.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = placed.join(several, "key", "left_semi").join(hubs, "key").where("line <> hub").select("key", "line", "component")
-    left = staged(left.join(classes.select("line", "sim", "size"), "line"), "lines-open")
-    side = lambda c: left.select("key", F.col("line").alias(c), F.col("component").alias(f"c{c}"), F.col("sim").alias(f"sim_{c}"), F.col("size").alias(f"size_{c}"))
-    rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
-    rest = staged(rest.select("a", "b").distinct(), "lines-rest")
-    if rest.limit(1).count():
-        more = staged(_verified(rest, texts_of(rest), similarity), "lines-more")
-        if more.limit(1).count():
-            parts = connected_components(links.union(more))
-    discard(shared, bucketed, hubs, pairs, left, rest)
+    def open_rows(parts: DataFrame) -> DataFrame:
+        """(key, line, component) of the keys that hold several components beside their hub, which is tested."""
+        placed = bucketed.join(hubs, "key").where("line <> hub").select("key", "line").join(parts.withColumnRenamed("node", "line"), "line", "left")
+        placed = staged(placed.withColumn("component", F.coalesce("component", "line")), "lines-placed")
+        # Written before the join, so that Spark can split the rows of a common key there.
+        several = staged(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "lines-several")
+        out = staged(placed.join(several, "key", "left_semi").select("key", "line", "component"), "lines-open")
+        discard(placed, several)
+        return out
+
+    for turn in range(STAR_ROUNDS):
+        left = open_rows(parts)
+        per = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("line", F.xxhash64("key", "line", F.lit(turn))).alias("a"))
+        stars = staged(per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star")), "lines-stars")
+        found = tested(left.join(stars, "key").where("component <> star.component").select("star.a", F.col("line").alias("b")))
+        discard(left, stars)
+        if not found.limit(1).count():
+            continue
+        links = staged(links.union(found).distinct(), "lines-links")
+        parts = connected_components(links)
+
+    left = open_rows(parts)
+    left = staged(left.join(classes.select("line", "sim", "size"), "line").withColumn("band", length_bands("size", similarity, False)), "lines-rest")
+    side = lambda df, c: df.select("key", "band", F.col("line").alias(c), F.col("component").alias(f"c{c}"), F.col("sim").alias(f"sim_{c}"), F.col("size").alias(f"size_{c}"))
+    around = left.withColumn("band", F.explode(length_bands("size", similarity, True)))
+    rest = side(left, "a").join(side(around, "b"), ["key", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
+    more = tested(rest.select("a", "b"))
+    if more.limit(1).count():
+        parts = connected_components(links.union(more))
+    discard(bucketed, hubs, left)
 
     placed = classes.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     placed = staged(placed.select("line", "component", "first", "n"), "lines-placed")
@@ -267,10 +295,10 @@ def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, sim
     return out.select("line", F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), "group_size")
 
 
-def fuzzy_line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def fuzzy_line_dedup(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, line_no, keep_doc_id, keep_line_no, group_size, kept) of every line that has a word."""
     lines = staged(text_lines(docs), "lines-all")
-    groups = line_groups(docs, lines, distance, similarity, crowd)
+    groups = line_groups(docs, lines, distance, similarity)
     out = lines.join(groups, "line", "left")
     return out.select(
         "doc_id", "line_no", F.coalesce("keep_doc_id", "doc_id").alias("keep_doc_id"), F.coalesce("keep_line_no", "line_no").alias("keep_line_no"),

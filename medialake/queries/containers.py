@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.mpeg_check import mp3_check
 from ..sources import containers as C
 from ..sources import listing as L
 from ..tables import staged
@@ -27,6 +28,11 @@ def _stream(form: pd.Series, title: pd.Series, n: pd.Series, channels: pd.Series
     return pd.Series([E.stream(*row) for row in zip(form, title, n.astype(int), channels.astype(int))], dtype=object)
 
 
+@F.pandas_udf(T.BinaryType())
+def _mpeg(form: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([E.mpeg(f, int(k)) for f, k in zip(form, n)], dtype=object)
+
+
 def _nth(values) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.col("id") % len(values) + 1).cast("int"))
 
@@ -71,7 +77,13 @@ def src14_header_probe(spark, sf):
     return C.with_stream(probed_files(spark, sf)).select("id", "container", "rate", "channels", "frames", "subtype")
 
 
-QUERIES = {k: v for k, v in globals().items() if k.startswith("src")}
+def int03_mp3_pieces(spark, sf):
+    """Each part's MPEG stream of as many frames as its size, walked in pieces of 4 KB: frames, faults with their time, stated frames."""
+    made = staged(files(spark, sf).select("id", _mpeg(_nth(E.MPEGS), "size").alias("content")), "mpeg-files")
+    return mp3_check(made, "id", piece=4096).withColumn("seconds", F.round("seconds", 6))
+
+
+QUERIES = {k: v for k, v in globals().items() if k.startswith(("src", "int"))}
 
 _FORM = "CASE id % 16 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_FORMS)) + " END"
 ID3_FORMS = "form IN ('id3v2.3 latin', 'id3v2.3 utf-16', 'id3v2.4', 'id3v2.4 unsynchronised', 'id3v2.2', 'wav id3', 'aiff')"
@@ -84,7 +96,13 @@ _PROBE = f"""WITH f AS (SELECT id, CAST(size AS BIGINT) AS n, id % 2 + 1 AS c, {
     CASE WHEN form IN ('xing', 'vbri') THEN 2 WHEN form = 'constant' THEN 2 WHEN form <> 'nothing' THEN c END AS channels,
     CASE WHEN form LIKE 'wav%' THEN n WHEN form LIKE 'ai%' THEN n * 1000 WHEN form = 'flac' THEN n * 1000000 WHEN form IN ('xing', 'vbri') THEN n * 1152
       WHEN form = 'constant' THEN CAST(floor((n * 100 + 4) * 8 * 24000 / 64000) AS BIGINT) END AS frames FROM f)"""
+_MPEG_FORM = "CASE id % 8 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(E.MPEGS)) + " END"
 SQL = {
+    "int03_mp3_pieces": f"""WITH f AS (SELECT id, CAST(size AS BIGINT) AS n, {_MPEG_FORM} AS form FROM ({FILES})), g AS (SELECT *, CASE form WHEN 'checksum' THEN n // 2 WHEN 'gap' THEN n // 2 + 1 WHEN 'short tag' THEN 0 WHEN 'none' THEN 0 ELSE n END AS frames,
+        CASE form WHEN 'checksum' THEN (n // 2 + 1) * 1152 // 44100 WHEN 'gap' THEN (n // 2 + 2) * 1152 // 44100 END AS s FROM f)
+      SELECT id, form IN ('whole', 'tails') AS ok, CASE form WHEN 'checksum' THEN 'CRC ERROR @ 0m 0' || s || 's' WHEN 'gap' THEN 'LOST SYNC @ 0m 0' || s || 's' WHEN 'tail' THEN 'LOST SYNC @ END OF FILE'
+          WHEN 'short tag' THEN 'BAD ID3v2 TAG' WHEN 'cut' THEN 'TRUNCATED' WHEN 'none' THEN 'UNRECOGNISED FORMAT' ELSE '' END AS problem,
+        frames, round(frames * 1152 / 44100.0, 6) AS seconds, CASE WHEN form = 'whole' THEN n - 1 END AS stated FROM g""",
     "src09_container_tags": f"""SELECT id, form, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form IN ('mp4') THEN category ELSE '' END AS genre,
       CASE WHEN {ID3_FORMS} THEN 'a note' ELSE '' END AS comment, CASE WHEN {ID3_FORMS} OR {VORBIS_FORMS} OR form = 'mp4' THEN concat('mood ', size) ELSE '' END AS mood,
       CAST(CASE WHEN {ID3_FORMS} THEN CASE WHEN k IS NULL THEN 5 ELSE 6 END WHEN form = 'wav info' THEN 3 WHEN {VORBIS_FORMS} THEN CASE WHEN k IS NULL THEN 4 ELSE 5 END

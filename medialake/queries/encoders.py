@@ -159,3 +159,33 @@ def stream(form: str, title: str, n: int, channels: int) -> bytes:
         "flac": lambda: flac(88_200, channels, 20, n * 1_000_000, (1, bytes(40))), "xing": lambda: named + first + b"Xing" + struct.pack(">II", 1, n) + bytes(373),
         "vbri": lambda: first + b"VBRI" + bytes(10) + struct.pack(">I", n) + bytes(363), "constant": lambda: b"\xff\xf3\x84\x40" + bytes(n * 100), "nothing": lambda: bytes(40),
     }[form]()
+
+
+def mpeg_frame(body: bytes = b"", protected: bool = False, wrong: bool = False) -> bytes:
+    """A frame of 417 bytes (MPEG 1, layer III, 128 kbit/s, 44.1 kHz, stereo), with a checksum of its side information if protected."""
+    head, side = (b"\xff\xfa\x90\0" if protected else b"\xff\xfb\x90\0"), bytes(range(32))
+    if not protected:
+        return (head + (body or bytes(32))).ljust(417, b"\0")
+    crc = 0xFFFF
+    for bit in "".join(f"{b:08b}" for b in head[2:] + side):
+        crc = (crc << 1) ^ (0x8005 if (crc >> 15) ^ int(bit) else 0)
+        crc &= 0xFFFF
+    return (head + (crc ^ wrong).to_bytes(2, "big") + side).ljust(417, b"\0")
+
+
+#: The forms in which an MPEG stream is made.
+MPEGS = ("whole", "checksum", "gap", "tail", "short tag", "cut", "tails", "none")
+
+
+def mpeg(form: str, n: int) -> bytes:
+    """A stream of n frames, whole or with a fault around its middle."""
+    frames, half = [mpeg_frame()] * n, n // 2
+    ape = b"APETAGEX" + struct.pack("<IIII", 2000, 40, 0, 0) + bytes(8)
+    lyrics = b"LYRICSBEGIN" + b"la" * 20
+    return {
+        "whole": lambda: id3(4, [frame(4, "TIT2", text(3, "t"))]) + mpeg_frame(bytes(32) + b"Info" + struct.pack(">II", 1, n - 1)) + b"".join(frames[1:]) + id3v1("t", "a", "1999"),
+        "checksum": lambda: b"".join(mpeg_frame(protected=True, wrong=i == half) for i in range(n)),
+        "gap": lambda: b"".join(frames[: half + 1]) + bytes(100) + b"".join([mpeg_frame()] * 9), "tail": lambda: b"".join(frames) + bytes(50),
+        "short tag": lambda: id3(3, [])[:-6] + bytes(16) + b"".join(frames) + b"".join(frames), "cut": lambda: b"".join(frames)[:-20],
+        "tails": lambda: b"".join(frames) + bytes(8) + ape + lyrics + f"{len(lyrics):06d}".encode() + b"LYRICS200" + id3v1("t", "a", "1999"), "none": lambda: bytes(100),
+    }[form]()

@@ -19,7 +19,8 @@ from ..operators.numbering import numbered
 # What the rule language calls things and its defaults.
 TOKENS = ("original", "name", "bpm", "key", "group", "instrument", "category")
 ACRONYMS = ("BPM", "DJ", "FX", "EQ", "MIDI", "TR", "VEC", "EDM")
-NOT_PLURAL = ("bass", "brass", "fx", "hats")
+# Words that end in s, or are names of machines, and stand for one thing.
+NOT_PLURAL = ("bass", "brass", "glass", "class", "pass", "mass", "grass", "cross", "boss", "loss", "moss", "plus", "bus", "gas", "yes", "dos", "gis", "fx", "808", "909", "303")
 
 
 def template(text: str, name: Column, variables: dict[str, str] | None = None) -> Column:

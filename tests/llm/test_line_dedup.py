@@ -100,6 +100,14 @@ def test_edit_within_equals_the_matrix():
         assert L.edit_within(a, b, most) == (distance(a, b) <= most)
 
 
+def test_counts_of_characters_lose_no_pair():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcé😀 p0") for _ in range(rng.randint(0, 14))) for _ in range(4_000)]
+    a, b = texts[::2], [t if rng.random() < 0.5 else u[: rng.randint(0, 14)] + t[2:] for t, u in zip(texts[1::2], texts[::2])]
+    may = L.may_be_within(pa.array(a), pa.array(b), 0.8)
+    assert all(m or not similar(x, y) for x, y, m in zip(a, b, may)) and 0 < may.sum() < len(a)
+
+
 def test_recall_against_edit_similarity_alone(spark):
     """Edits of distinct lines of the tables: a character, a word, and several words of longer lines; nothing dissimilar is linked."""
     rng = random.Random(6)

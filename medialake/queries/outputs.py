@@ -60,7 +60,7 @@ def snk07_manifest(spark, sf):
     rows = files(spark, sf).select("id", "stem", "bytes")
     K.write_manifest(rows.where("id % 2 = 0"), path := _folder(spark, "manifest"))
     K.write_manifest(rows, path)
-    return spark.read.parquet(path)
+    return K.read_manifest(spark, path)
 
 
 def snk08_copy_plan(spark, sf):

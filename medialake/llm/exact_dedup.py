@@ -3,8 +3,9 @@
 Built from DataFrame functions alone. Texts are equal when identical after each run of the white space 0x20, 0x09-0x0D
 becomes one space. Null text counts as empty. First lengths are counted; only rows of a length that occurs twice have their
 prefix hashed, and only rows of a length and prefix that occur twice are hashed in full. The groups of a step go to the scan of
-the next by broadcast up to BROADCAST_GROUPS of them, and the hash is taken behind that join; beyond, hashes are
-taken in the scan and joined by a shuffle. Only ids and hashes, never texts, are shuffled. Groups are counted with map-side
+the next by broadcast up to BROADCAST_GROUPS of them, and the hash is taken behind that join. Beyond, a bitmap of the groups'
+hashes goes there, FILTER_BITS at most; rows whose bit is set are hashed behind it and then meet the groups themselves in a shuffle, so
+that a false bit costs one hash and changes nothing. Only ids and hashes, never texts, are shuffled. Groups are counted with map-side
 combination, and the join that hands each member its group reads both sides from tables, so Spark can split a group that
 holds a large share of all rows.
 
@@ -22,6 +23,9 @@ from .common import discard, staged, table
 
 PREFIX_CHARS = 200
 BROADCAST_GROUPS = 500_000
+#: Bits of the bitmap of groups, 8 a group and at most this many (64 MB); in pieces of 2**15, as bitmap_construct_agg makes them.
+FILTER_BITS = 1 << 29
+_PIECE = 1 << 15
 _ADDED = ("keep_id", "group_size", "kept", "same_rows")
 #: Every run of white space but a single space; what it leaves alone is already in normal form.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -31,11 +35,23 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " ")
 
 
+def maybe_of_groups(normal: DataFrame, groups: DataFrame, on: list[str], count: int) -> DataFrame:
+    """The rows of normal whose columns on are in groups, with few others: those that meet a set bit of the bitmap of groups."""
+    bits = min(FILTER_BITS, max(_PIECE, 1 << (8 * count).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(bits))
+    pieces = groups.select(place.alias("_at")).groupBy(F.expr(f"_at div {_PIECE}").alias("_piece")).agg(F.expr(f"bitmap_construct_agg(_at % {_PIECE})").alias("_bits"))
+    placed = normal.withColumn("_at", place).withColumn("_piece", F.expr(f"_at div {_PIECE}"))
+    byte = f"cast(conv(hex(substring(_bits, cast(_at % {_PIECE} div 8 as int) + 1, 1)), 16, 10) as int)"
+    return placed.join(F.broadcast(pieces), "_piece").where(F.expr(f"shiftright({byte}, cast(_at % 8 as int)) & 1 = 1")).select(*normal.columns)
+
+
 def _of_groups(normal: DataFrame, groups: DataFrame, on: list[str], name: str, value: Column) -> DataFrame:
-    """(doc_id, t or not, on, name) of the rows of normal whose columns on are in groups (a written table), with value as name."""
-    if groups.count() <= BROADCAST_GROUPS:  # 16 bytes each
+    """(doc_id, on, name) of the rows of normal whose columns on are in groups (a written table of distinct rows), with value as name."""
+    count = groups.count()
+    if count <= BROADCAST_GROUPS:  # 16 bytes each
         return normal.join(F.broadcast(groups), on, "left_semi").select("doc_id", *on, value.alias(name))
-    return normal.select("doc_id", *on, value.alias(name)).join(groups, on, "left_semi")
+    # An inner join: a semi join would be pushed below the hash, and the texts be shuffled with it.
+    return maybe_of_groups(normal, groups, on, count).select("doc_id", *on, value.alias(name)).join(groups, on)
 
 
 def duplicate_members(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> DataFrame:

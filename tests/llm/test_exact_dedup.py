@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from medialake.llm.exact_dedup import exact_dedup, op7_exact_dedup
+from pyspark.sql import functions as F
+
+from medialake.llm.exact_dedup import _of_groups, exact_dedup, maybe_of_groups, op7_exact_dedup
 
 
 def test_edge_rows(edge_docs):
@@ -48,3 +50,33 @@ def test_shuffled_groups_give_the_same_decisions(spark, sf, monkeypatch):
     few = {tuple(r) for r in exact_dedup(docs).drop("text").collect()}
     monkeypatch.setattr("medialake.llm.exact_dedup.BROADCAST_GROUPS", 0)
     assert few == {tuple(r) for r in exact_dedup(docs).drop("text").collect()}
+
+
+def test_beyond_the_broadcast_only_survivors_are_hashed(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sized = docs.selectExpr("doc_id", "text as t", "length(text) as len")
+    lengths = sized.groupBy("len").count().where("count > 1").select("len")
+    want = sized.join(lengths, "len", "left_semi").count()
+    assert want < sized.count()
+    for count in (lengths.count(), 1_000_000):
+        through = maybe_of_groups(sized, lengths, ["len"], count)
+        assert through.join(lengths, "len", "left_semi").count() == want
+        assert through.count() <= want + 0.05 * (sized.count() - want) + (3 if count < 1_000_000 else 0)
+    # A bitmap too small for its groups lets more rows through and loses none.
+    monkeypatch.setattr("medialake.llm.exact_dedup.FILTER_BITS", 1 << 15)
+    assert maybe_of_groups(sized, lengths, ["len"], 10**9).join(lengths, "len", "left_semi").count() == want
+
+
+def test_texts_are_not_shuffled_beyond_the_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr("medialake.llm.exact_dedup.BROADCAST_GROUPS", 0)
+    sized = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text as t", "length(text) as len")
+    groups = sized.groupBy("len").count().where("count > 1").select("len")
+    plan = _of_groups(sized, groups, ["len"], "full", F.sha2("t", 256))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    hashed = min(i for i, x in enumerate(plan) if "sha2" in x)
+    joins = [i for i, x in enumerate(plan) if "Join Inner" in x]
+    assert len(joins) == 2 and joins[0] < hashed < joins[1]  # above the bitmap's join, below the shuffled one
+
+
+def test_no_python_in_the_plan(spark, sf):
+    plan = op7_exact_dedup(spark, sf)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

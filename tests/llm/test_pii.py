@@ -89,3 +89,8 @@ def test_bootstrapping_reaches_what_no_seed_stands_beside(spark):
     added = {r.doc_id: [rows[r.doc_id][s.at : s.to] for s in r.added] for r in personal_data(docs).collect() if r.added}
     keys = {i: [rows[i].split()[2].split("=")[-1]] for i in [*range(30, 36), *range(40, 46)]}
     assert added == keys | {36 + i: [f"AKIA7{i}QQ8"] for i in range(4)} | {46: ["ff00aa11"]}
+
+
+def test_no_python_in_the_plan(spark, sf):
+    plan = op4_pii(spark, sf)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

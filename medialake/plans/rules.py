@@ -153,12 +153,26 @@ def keyword_variants(keyword: str) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def name_chunks(name: Column) -> Column:
+    """Words of a name by its delimiters."""
+    return F.filter(F.split(name, r"[^A-Za-z0-9]+"), lambda c: c != "")
+
+
+def name_parts(name: Column) -> Column:
+    """Words of a name by changes between letters and digits and by capitals."""
+    return F.concat(F.regexp_extract_all(name, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), F.regexp_extract_all(name, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), F.lit(0)))
+
+
 def name_tokens(name: Column) -> Column:
     """Words of a name by delimiters, by changes between letters and digits and by capitals, and runs of two and three words."""
-    chunks = F.filter(F.split(name, r"[^A-Za-z0-9]+"), lambda c: c != "")
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(chunks) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chunks, i, n), " "))
-    found = [chunks, F.regexp_extract_all(name, F.lit("[A-Za-z]+|[0-9]+"), F.lit(0)), F.regexp_extract_all(name, F.lit("[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), F.lit(0))]
-    return F.array_distinct(F.transform(F.concat(*found, F.when(F.size(chunks) > 0, F.concat(runs(2), runs(3))).otherwise(F.array().cast("array<string>"))), lambda t: F.lower(t)))
+
+    def runs(words: Column, n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    # The chunks are bound once as a lambda's variable; written into the runs they would be split again for each of them.
+    none = F.array().cast("array<string>")
+    joined = F.transform(F.array(name_chunks(name)), lambda words: F.concat(words, F.when(F.size(words) > 0, F.concat(runs(words, 2), runs(words, 3))).otherwise(none)))
+    return F.array_distinct(F.transform(F.concat(F.flatten(joined), name_parts(name)), lambda t: F.lower(t)))
 
 
 def strip_affix(name: Column, categories: list[dict]) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.keywords import with_category
 from ..plans import rules as R
+from ..plans.dictionary import CATEGORIES, PACK_RULES
 from .fixtures import FILES, files, load
 
 _NAME = "concat(CASE WHEN p_size % 3 = 0 THEN concat(CAST(p_size AS STRING), ' - ') WHEN p_size % 3 = 1 THEN ' -- ' ELSE '' END, p_name, CASE WHEN p_size % 4 = 0 THEN '  dj mix ' ELSE ' ' END, CAST(p_size % 12 AS STRING))"
@@ -119,6 +121,27 @@ def rnm16_sequence(spark, sf):
     return R.sequence_names(load(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", taken)
 
 
+_SOUNDS = ("kick", "Congas", "sub", "Strum", "violins", "backing vocals", "ad lib", "Choir2", "risers", "", "trumpet_oboe", "hats", "padded")
+
+
+def _sound(key):
+    return F.element_at(F.array(*map(F.lit, _SOUNDS)), (F.col(key) % len(_SOUNDS) + 1).cast("int"))
+
+
+def rnm17_dictionary(spark, sf):
+    """Names that hold words of the dictionary, in several spellings, and words of the table, looked up in one pass."""
+    named = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", _sound("p_partkey"), "p_size").alias("name"))
+    return with_category(named, "name", CATEGORIES).select("id", "category", "keyword")
+
+
+def rnm17_pack_rules(spark, sf):
+    """The rule set of sample packs on the same names."""
+    named = _names(spark, sf).join(load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name"), "id")
+    named = named.withColumn("name", F.concat(F.lit("01 - "), "p_name", F.lit("  "), _sound("id"), F.lit(" 7")))
+    rows = named.withColumns({"original": F.col("name"), "current": F.col("name"), "matched_keyword": F.lit("")})
+    return R.apply_rules(rows, PACK_RULES).select("id", "current", "matched_keyword")
+
+
 def rnm18_label_category(spark, sf):
     return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), R.label_category(F.concat_ws(" ", "p_name", F.expr("CASE WHEN p_size % 2 = 0 THEN 'machine' END")), _CATEGORIES).alias("category"))
 
@@ -146,7 +169,13 @@ _N = f"SELECT p_partkey AS id, {_NAME} AS name, p_brand, p_type, p_size, p_name
 _STEP3 = r"regexp_replace(regexp_replace(regexp_replace(name, '^\s*(-\s*)+', ''), '^\d+\s*[-_.:)]\s*', ''), '\s+', ' ', 'g')"
 _BEST = """CASE WHEN contains(p_name, 'small ring') THEN 2 WHEN contains(p_name, 'widget') OR contains(p_name, 'gizmo') THEN 1
   WHEN regexp_matches(p_name, '\\b(bolt|ring)s?\\b') THEN 0 WHEN contains(p_name, 'gear') THEN 1 WHEN regexp_matches(p_name, '\\brod\\b') THEN 0 WHEN contains(p_name, 'anv') THEN 3 END"""
+_FOUND = """(SELECT p_partkey AS id, p_name, [%s][p_partkey %% 13 + 1] AS word,
+  ['kick', 'conga', 'sub', 'strum', 'violin', 'backing vocal', 'ad lib', 'choir', 'riser', NULL, 'trumpet', 'hat', NULL][p_partkey %% 13 + 1] AS keyword,
+  ['Drums', 'Percussion', 'Bass', 'Guitar', 'Strings', 'Vocals', 'Vocals', 'Vocals', 'Effects', NULL, 'Brass', 'Drums', NULL][p_partkey %% 13 + 1] AS category FROM part)""" % ", ".join(f"'{w}'" for w in _SOUNDS)
 SQL = {
+    "rnm17_dictionary": f"SELECT id, category, keyword FROM {_FOUND}",
+    "rnm17_pack_rules": f"""SELECT id, CASE WHEN category IS NULL THEN '' ELSE upper(category) || ' - ' END || array_to_string(list_transform(regexp_extract_all(p_name || ' ' || CASE WHEN word = '' THEN '' ELSE word || ' ' END || '07', '\\s+|\\S+'),
+      lambda w: upper(w[1]) || lower(w[2:])), '') AS current, coalesce(keyword, '') AS matched_keyword FROM {_FOUND}""",
     "rnm01_strip": rf"""SELECT id, regexp_replace(name, '^\d+\s*[-_.:)]\s*', '') AS number, regexp_replace(name, '^\s*(-\s*)+', '') AS dashes,
       regexp_replace(name, '[\s_-]+\d+\s*$', '') AS trailing FROM ({_N})""",
     "rnm02_whitespace": rf"SELECT id, regexp_replace(name, '\s+', ' ', 'g') AS collapsed, trim(name) AS trimmed FROM ({_N})",

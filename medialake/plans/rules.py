@@ -11,10 +11,9 @@ import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.numbering import numbered
+from ..operators.numbering import allotted, numbered
 
 # What the rule language calls things and its defaults.
 TOKENS = ("original", "name", "bpm", "key", "group", "instrument", "category")
@@ -263,17 +262,28 @@ def preview(tracks: DataFrame, rules: list[dict], folder: str = "group", variabl
 def resolve_collisions(plan: DataFrame, folder: str = "folder") -> DataFrame:
     """plan (id, folder, source, target, ext) without no-ops, with final: targets taken twice in a folder, in any case, get _1, _2, ...
     in id order; a suffix that meets another wanted name moves on to the next free one."""
-    wanted = plan.where("target is not null and trim(target) <> '' and target <> source")
-    nth = W.partitionBy(folder, F.lower("target"), "ext").orderBy("id")
-    first = wanted.withColumn("n", F.row_number().over(nth) - 1)
+    wanted = plan.where("target is not null and trim(target) <> '' and target <> source").withColumn("_base", F.lower("target"))
     # Suffixed names that are themselves wanted: those numbers are skipped.
-    base = F.regexp_extract(F.lower("target"), r"^(.*)_(\d+)$", 1)
-    taken = wanted.where(base != "").groupBy(folder, base.alias("base"), "ext").agg(F.collect_set(F.regexp_extract("target", r"_(\d+)$", 1).try_cast("int")).alias("taken"))
-    joined = first.withColumn("base", F.lower("target")).join(taken, [folder, "base", "ext"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
-    # The n-th number that is not taken: every taken number up to it, in order, moves it on by one.
-    free = F.aggregate(F.array_sort("taken"), F.col("n"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
-    final = F.when(F.col("n") == 0, F.col("target")).otherwise(F.concat("target", F.lit("_"), free.cast("string")))
-    return joined.select("id", folder, "source", "target", final.alias("final"))
+    used = _numbers_of(wanted.select(folder, "_base", "ext"), "_base", r"^(?s)(.*)_([1-9][0-9]*)$")
+    out = allotted(wanted, "id", [folder, "_base", "ext"], used, used.limit(0), 1)
+    return out.select("id", folder, "source", "target", F.concat_ws("_", "target", "number").alias("final"))
+
+
+def _numbers_of(names: DataFrame, name: str, pattern: str) -> DataFrame:
+    """names that end with a number, with name cut before it and the number."""
+    found = names.withColumn("number", F.regexp_extract(name, pattern, 2).try_cast("long")).where("number is not null")
+    return found.withColumn(name, F.regexp_extract(name, pattern, 1))
+
+
+def unique_folders(wanted: DataFrame, parent: str, name: str, existing: DataFrame) -> DataFrame:
+    """wanted (id, parent, name, ...) with folder: the name, or name (2), name (3), ... where an earlier row of the parent, by id,
+    or a folder of existing (parent, name) has it. Numbers whose names exist or are wanted by other rows are skipped, so no two rows
+    of a parent get one folder. Names are told apart by case. Null names get none."""
+    rows, by = wanted.where(F.col(name).isNotNull()), [parent, name]
+    used = _numbers_of(existing.select(*by).unionByName(rows.select(*by)), name, r"^(?s)(.*) \(([1-9][0-9]*)\)$")
+    out = allotted(rows, "id", by, used, existing, 2)
+    out = out.withColumn("folder", F.when(F.col("number").isNull(), F.col(name)).otherwise(F.concat(name, F.lit(" ("), F.col("number").cast("string"), F.lit(")"))))
+    return out.drop("number").unionByName(wanted.where(F.col(name).isNull()).withColumn("folder", F.lit(None).cast("string")))
 
 
 def sequence_names(df: DataFrame, key: str, taken: DataFrame, prefix: str = "song_") -> DataFrame:

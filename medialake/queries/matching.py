@@ -41,7 +41,10 @@ def jon04_greedy(spark, sf):
     e = load(spark, sf, "events").where("event_type in ('click', 'view')").select("user_id", "event_type", "event_id", "value")
     a = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("ref"), F.col("value").alias("va"))
     b = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("partner"), F.col("value").alias("vb"))
-    scored = a.join(b, "user_id").select("ref", "partner", (1 / (1 + F.abs(F.col("va") - F.col("vb")))).alias("score")).where("score >= 0.5")
+    # The score bounds the distance by 1, so equal or neighbouring bands meet; they are a little wider, for rounding.
+    band = lambda v: F.floor(F.col(v) / 1.000001)
+    a, b = a.withColumn("band", F.explode(F.array(band("va") - 1, band("va"), band("va") + 1))), b.withColumn("band", band("vb"))
+    scored = a.join(b, ["user_id", "band"]).select("ref", "partner", (1 / (1 + F.abs(F.col("va") - F.col("vb")))).alias("score")).where("score >= 0.5")
     return J.assign_greedily(scored)
 
 

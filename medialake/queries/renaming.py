@@ -110,10 +110,10 @@ def rnm14_full_preview(spark, sf):
 
 
 def rnm15_unique_folders(spark, sf):
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy("p_brand", "p_name").orderBy("p_partkey"))
-    return load(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(nth == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit(" ("), nth.cast("string"), F.lit(")"))).alias("folder"))
+    """Names within a brand; some are taken by folders that exist, some of them with a number."""
+    part = load(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_name", "p_size")
+    existing = part.where("p_size % 6 = 0").select("p_brand", F.expr("CASE WHEN p_size % 4 = 0 THEN p_name ELSE concat(p_name, ' (', p_size % 5 + 1, ')') END").alias("p_name"))
+    return R.unique_folders(part.drop("p_size"), "p_brand", "p_name", existing).select("id", "folder")
 
 
 def rnm16_sequence(spark, sf):
@@ -196,8 +196,12 @@ SQL = {
       SELECT id, CASE WHEN n = 0 THEN target ELSE target || '_' || n END AS final FROM n""",
     "rnm13_rule_tree": f"""WITH s AS (SELECT id, {_STEP3} AS c FROM ({_N})) SELECT id, c || CASE WHEN contains(lower(c), 'ring') THEN ' (r)' WHEN prefix(lower(c), 'small') THEN ' (s)' ELSE ' (-)' END AS current FROM s""",
     "rnm14_preview": f"""SELECT id, CAST(row_number() OVER (ORDER BY p_brand, name, id) AS INT) AS index, name AS original_name, {_STEP3} AS new_name, {_STEP3} <> name AS changed FROM ({_N})""",
-    "rnm15_unique_folders": """WITH n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)
-      SELECT p_partkey AS id, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS folder FROM n""",
+    "rnm15_unique_folders": """WITH e AS (SELECT DISTINCT p_brand, CASE WHEN p_size % 4 = 0 THEN p_name ELSE p_name || ' (' || (p_size % 5 + 1) || ')' END AS f FROM part WHERE p_size % 6 = 0),
+      n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part),
+      s AS (SELECT p_brand, p_name, count(*) + 10 AS top FROM part GROUP BY 1, 2),
+      c AS (SELECT p_brand, p_name, k, CASE WHEN k = 1 THEN p_name ELSE p_name || ' (' || k || ')' END AS f FROM (SELECT *, unnest(range(1, top)) AS k FROM s)),
+      o AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY k) AS n FROM c ANTI JOIN e USING (p_brand, f))
+      SELECT p_partkey AS id, f AS folder FROM n JOIN o USING (p_brand, p_name, n)""",
     "rnm16_sequence": """WITH n AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) + (SELECT max(c_custkey) FROM customer WHERE c_custkey % 10 = 7) AS n FROM part)
       SELECT id, 'song_' || CASE WHEN n >= 10000 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 4, '0') END AS name FROM n""",
     "rnm18_label_category": f"""SELECT p_partkey AS id, CASE WHEN contains(p_name, 'small ring') THEN 'Size' WHEN p_size % 2 = 0 THEN 'Machine' ELSE

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import classify_role, key_in_name, tempo
+from ..operators.numbering import numbered
 
 BACKUP_FOLDER = "_backup_before_align"
 
@@ -114,8 +114,8 @@ def probed_duration(frames: Column, rate: Column) -> Column:
 
 
 def label_index(labels: DataFrame, name: str) -> DataFrame:
-    """labels with a dense 0-based idx by name: the order of a closed set of classes (one small partition)."""
-    return labels.withColumn("idx", F.row_number().over(W.orderBy(name)) - 1)
+    """labels with a dense 0-based idx by name, of any number of distinct labels."""
+    return numbered(labels, [name], "idx").withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
 def cache_entries(raw: DataFrame, schema: str, column: str = "json") -> DataFrame:

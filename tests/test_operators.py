@@ -304,3 +304,14 @@ def test_alignment_takes_the_delay_of_whole_signals(spark, sf):
     got = {r.vec_id: r.lag for r in signals.sig12_alignment(spark, sf).collect()}
     assert set(got) == set(pairs) and any(abs(lag) > 11 for lag in got.values())
     assert all(pairs[i][63 + lag] >= pairs[i].max() - 1e-9 for i, lag in got.items())
+
+
+def test_banded_pairs_equal_all_pairs_of_a_user(spark, sf):
+    from medialake.queries.matching import jon04_greedy
+
+    e = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_type", "event_id", "value")
+    a = e.where("event_type = 'click'").selectExpr("user_id", "event_id as ref", "value as va")
+    b = e.where("event_type = 'view'").selectExpr("user_id", "event_id as partner", "value as vb")
+    scored = a.join(b, "user_id").selectExpr("ref", "partner", "1 / (1 + abs(va - vb)) as score").where("score >= 0.5")
+    want = {tuple(r) for r in linkage.assign_greedily(scored).select("ref", "partner", "score").collect()}
+    assert want and {tuple(r) for r in jon04_greedy(spark, sf).select("ref", "partner", "score").collect()} == want

@@ -117,7 +117,7 @@ def rnm15_unique_folders(spark, sf):
 
 
 def rnm16_sequence(spark, sf):
-    taken = load(spark, sf, "customer").where("c_custkey % 10 = 7").select(F.expr("concat('song_', lpad(c_custkey, 4, '0'))").alias("name"))
+    taken = load(spark, sf, "customer").where("c_custkey % 10 = 7").select(F.expr("concat('song_', lpad(c_custkey, greatest(4, length(c_custkey)), '0'))").alias("name"))
     return R.sequence_names(load(spark, sf, "part").select(F.col("p_partkey").alias("id")), "id", taken)
 
 

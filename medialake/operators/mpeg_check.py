@@ -12,12 +12,15 @@ What comes before and behind the audio (ID3v2; ID3v1, Lyrics3 and APE tags) is m
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.signal import let
 from ..sources.containers import big, cut, has
 from .integrity import frame_size
 
@@ -53,6 +56,13 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+@lru_cache(maxsize=4096)
+def measured(head: int) -> tuple[int, int, bool]:
+    """(bytes, samples, whether a checksum follows) of a frame with this header; bytes are 0 if it is none. Streams repeat a few headers."""
+    size = frame_size(head)
+    return size, samples_of(head) if size else 0, not head >> 16 & 1 and head >> 17 & 3 == 1
+
+
 def crc_holds(frame: bytes) -> bool:
     """Whether a protected layer III frame's checksum is that of its header's last two bytes and its side information."""
     head = int.from_bytes(frame[:4], "big")
@@ -72,7 +82,7 @@ def plausible(window: bytes) -> list[tuple[int, int]]:
     raw = np.frombuffer(window, np.uint8)
     at = np.flatnonzero((raw[:-3] == 0xFF) & (raw[1:-2] >= 0xE0)) if len(raw) > 3 else []
     heads = [(int(p), int.from_bytes(window[p : p + 4], "big")) for p in at]
-    return [(p, h) for p, h in heads if frame_size(h)]
+    return [(p, h) for p, h in heads if measured(h)[0]]
 
 
 @F.pandas_udf(T.BooleanType())
@@ -149,7 +159,7 @@ def walk_piece(data: bytes, lo: int, hi: int, end: int, first: int, start: int)
         chain, at = [], entry
         while at not in visited:
             head = int.from_bytes(data[at - lo : at - lo + 4], "big") if at + 4 <= end else 0
-            size = frame_size(head) if head else 0
+            size, samples, protected = measured(head)
             if at >= end:
                 visited[at] = (0, 0, at, "" if at == end else "TRUNCATED", 0)
             elif at + 4 > end:
@@ -162,10 +172,10 @@ def walk_piece(data: bytes, lo: int, hi: int, end: int, first: int, start: int)
                 visited[at] = (0, 0, at, "LOST SYNC @ END OF FILE" if match is None else "LOST SYNC", heard)
             elif at >= hi:  # a frame of the next piece
                 visited[at] = (0, 0, at, None, 0)
-            elif not crc_holds(data[at - lo : min(at + size, end) - lo]):
-                visited[at] = (0, 0, at, "CRC ERROR", samples_of(head))
+            elif protected and not crc_holds(data[at - lo : min(at + size, end) - lo]):
+                visited[at] = (0, 0, at, "CRC ERROR", samples)
             else:
-                chain.append((at, samples_of(head)))
+                chain.append((at, samples))
                 at += size
         for place, samples in reversed(chain):
             frames, heard, *rest = visited[at]
@@ -194,36 +204,43 @@ def mp3_check(files: DataFrame, key: str, content: str = "content", piece: int =
     empty = odd.select(key, F.lit(False).alias("ok"), early.alias("problem"), F.lit(0).cast("long").alias("frames"), F.lit(0.0).alias("seconds"), F.lit(None).cast("long").alias("stated"))
 
     walkable = known.where("first is not null")
-    size = F.lit(piece).cast("long")
+    size, zero, none = F.lit(piece).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string")
     nth = walkable.select(key, content, "begin", "end", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1 - F.col("begin")) / size))).alias("nth"))
     lo = F.col("begin") + F.col("nth") * size
     pieces = nth.select(key, "nth", "end", "first", F.col("begin").alias("start"), lo.alias("lo"), F.least(lo + size, F.col("end")).alias("hi"), cut(data, lo, size + RESYNC + LONGEST + 8).alias("bytes"))
     tables = pieces.select(key, "nth", _walked("bytes", "lo", "hi", "end", "first", "start").alias("table"))
     first = walkable.select(key, "begin", "first", _stated(data, F.col("begin"), F.col("first")).alias("stated"))
-    kinds = {f.name: f.dataType.simpleString() for f in files.select(key).schema}
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        at, frames, samples, problem, extra = int(rows["begin"].iloc[0]), 0, 0, None, 0
-        head = int(rows["first"].iloc[0])
-        for table in rows.sort_values("nth")["table"]:
-            step = next((r for r in table if r["entry"] == at), None)
-            if step is None:  # no frame of the stream starts where the piece before has left it
-                problem = "LOST SYNC @ END OF FILE"
-                break
-            frames, samples, at, problem, extra = frames + step["frames"], samples + step["samples"], step["exit"], step["problem"], step["extra"]
-            if problem is not None:
-                break
-        if problem in ("LOST SYNC", "CRC ERROR"):
-            second = (samples + extra) // rate_of(head)
-            problem = f"{problem} @ {second // 60}m {second % 60:02d}s"
-        stated = rows["stated"].iloc[0]
-        return pd.DataFrame({key: [rows[key].iloc[0]], "ok": [not problem], "problem": [problem or ""], "frames": [frames], "seconds": [samples / rate_of(head)], "stated": pd.array([stated], "Int64")})
-
-    # A row a piece with a few entries: the bytes stay where they were walked.
-    walked = tables.join(first, key).groupBy(key).applyInPandas(follow, f"`{key}` {kinds[key]}, ok boolean, problem string, frames long, seconds double, stated long")
+    # A row a piece with a few entries is what a file's pieces come together with: the bytes stay where they were walked.
+    walked = tables.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("nth", "table"))).alias("tables")).join(first, key)
+    end = F.aggregate("tables", F.struct(F.col("begin").alias("at"), zero.alias("frames"), zero.alias("samples"), none.alias("problem"), zero.alias("extra")), _follow)
+    rate, timed = _rate(F.col("first")), F.col("_end.problem").isin("LOST SYNC", "CRC ERROR")
+    second = F.floor((F.col("_end.samples") + F.col("_end.extra")) / rate)
+    at = F.format_string("%s @ %dm %02ds", F.col("_end.problem"), F.floor(second / 60), second % 60)
+    problem = F.when(timed, at).otherwise(F.coalesce("_end.problem", F.lit("")))
+    walked = walked.withColumn("_end", end).select(key, (problem == "").alias("ok"), problem.alias("problem"), F.col("_end.frames").alias("frames"), (F.col("_end.samples") / rate).alias("seconds"), "stated")
     return walked.unionByName(empty)
 
 
+def _follow(acc: Column, piece: Column) -> Column:
+    """The chain that left the piece before, through this one; a chain with a problem stays where it is."""
+    step = F.try_element_at(F.filter(piece["table"], lambda r: r["entry"] == acc["at"]), F.lit(1))
+
+    def further(r: Column) -> Column:
+        lost = F.struct(acc["at"].alias("at"), acc["frames"].alias("frames"), acc["samples"].alias("samples"), F.lit("LOST SYNC @ END OF FILE").alias("problem"), F.lit(0).cast("long").alias("extra"))
+        on = F.struct(r["exit"].alias("at"), (acc["frames"] + r["frames"]).alias("frames"), (acc["samples"] + r["samples"]).alias("samples"), r["problem"].alias("problem"), r["extra"].alias("extra"))
+        # No frame of the stream starts where the piece before has left it: lost.
+        return F.when(r.isNull(), lost).otherwise(on)
+
+    return F.when(acc["problem"].isNotNull(), acc).otherwise(let(step, further))
+
+
+def _rate(head: Column) -> Column:
+    """The sample rate of a header, as `rate_of` reads it."""
+    version, slot = F.shiftright(head, 19).bitwiseAND(3), F.shiftright(head, 10).bitwiseAND(3)
+    rates = F.create_map(*[F.lit(x) for v, hertz in _HERTZ.items() for k, h in enumerate(hertz) for x in (v * 4 + k, h)])
+    return F.element_at(rates, (version * 4 + slot).cast("int"))
+
+
 def _stated(data: Column, at: Column, head: Column) -> Column:
     """The frame count of an information frame at a place."""
     mono, first = F.shiftright(head, 6).bitwiseAND(3) == 3, F.shiftright(head, 19).bitwiseAND(3) == 3

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..operators.mpeg_check import mp3_check
 from ..sources import containers as C
 from ..sources import listing as L
-from ..tables import staged
+from ..tables import spread, staged
 from . import encoders as E
 from .fixtures import FILES, files
 
@@ -79,7 +79,7 @@ def src14_header_probe(spark, sf):
 
 def int03_mp3_pieces(spark, sf):
     """Each part's MPEG stream of as many frames as its size, walked in pieces of 4 KB: frames, faults with their time, stated frames."""
-    made = staged(files(spark, sf).select("id", _mpeg(_nth(E.MPEGS), "size").alias("content")), "mpeg-files")
+    made = staged(spread(files(spark, sf), "id").select("id", _mpeg(_nth(E.MPEGS), "size").alias("content")), "mpeg-files")
     return mp3_check(made, "id", piece=4096).withColumn("seconds", F.round("seconds", 6))
 
 

@@ -2,7 +2,8 @@
 
 import duckdb
 
-from medialake.queries import renaming
+from medialake.operators.mpeg_check import mp3_check
+from medialake.queries import encoders, renaming
 
 
 def test_sequence_goes_on_after_numbers_of_five_digits(spark, tmp_path):
@@ -14,3 +15,14 @@ def test_sequence_goes_on_after_numbers_of_five_digits(spark, tmp_path):
     want = con.execute(renaming.SQL["rnm16_sequence"]).fetchall()
     assert sorted(map(tuple, renaming.rnm16_sequence(spark, str(tmp_path)).collect())) == sorted(want)
     assert "song_12348" in {name for _, name in want}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mpeg_pieces_come_together_without_a_python_call_a_file(spark):
+    df = spark.createDataFrame([(i, bytearray(encoders.mpeg("gap", 40))) for i in range(3)], "id long, content binary")
+    got = mp3_check(df, "id", piece=4096)
+    assert "FlatMapGroups" not in _plan(got)
+    assert {(r.problem, r.frames, r.ok) for r in got.collect()} == {("LOST SYNC @ 0m 00s", 21, False)}

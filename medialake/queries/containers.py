@@ -39,13 +39,13 @@ def _nth(values) -> Column:
 
 def tagged_files(spark, sf) -> DataFrame:
     """(id, form, ext, content): one of the forms for each part, with title, artist, genre, a tag of one's own and a key."""
-    f = files(spark, sf).withColumn("form", _nth(_FORMS))
+    f = spread(files(spark, sf), "id").withColumn("form", _nth(_FORMS))
     return staged(f.select("id", "form", _nth(tuple(E.TAGGED.values())).alias("ext"), _tagged("form", "stem", "folder", "category", "size", F.expr(_KEY)).alias("content")), "tagged-files")
 
 
 def probed_files(spark, sf) -> DataFrame:
     """(id, content): one of the forms of stream for each part."""
-    return staged(files(spark, sf).select("id", _stream(_nth(_STREAMS), "stem", "size", F.col("id") % 2 + 1).alias("content")), "probed-files")
+    return staged(spread(files(spark, sf), "id").select("id", _stream(_nth(_STREAMS), "stem", "size", F.col("id") % 2 + 1).alias("content")), "probed-files")
 
 
 def _tags(spark, sf):

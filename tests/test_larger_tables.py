@@ -1,9 +1,10 @@
 """What shows only beyond the small tables: long numbers, hot keys, large groups."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from medialake.operators.mpeg_check import mp3_check
-from medialake.queries import encoders, renaming
+from medialake.queries import containers, encoders, renaming
 
 
 def test_sequence_goes_on_after_numbers_of_five_digits(spark, tmp_path):
@@ -26,3 +27,10 @@ def test_mpeg_pieces_come_together_without_a_python_call_a_file(spark):
     got = mp3_check(df, "id", piece=4096)
     assert "FlatMapGroups" not in _plan(got)
     assert {(r.problem, r.frames, r.ok) for r in got.collect()} == {("LOST SYNC @ 0m 00s", 21, False)}
+
+
+def test_small_tables_of_much_work_a_row_are_spread_over_the_cores(spark, sf):
+    """The files made of parts are the input of src09 to src14, snk12 and int03: one small table, and each row runs through Python."""
+    for made in (containers.tagged_files(spark, sf), containers.probed_files(spark, sf)):
+        used = made.select(F.input_file_name().alias("f")).distinct().count()
+        assert used >= 2 * spark.sparkContext.defaultParallelism

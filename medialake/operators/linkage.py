@@ -35,12 +35,41 @@ def block_keys(fuzzy: bool) -> Column:
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+#: Rows of a key on either side of one block of pairs, and pairs that a task is meant to make.
+BLOCK_ROWS = 1_000
+TASK_PAIRS = 4_000_000
+MOST_TASKS = 20_000
+
+
 def candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(ref, partner) pairs that share a blocking key. Near-exact thresholds need only the exact key."""
+    """(ref, partner) pairs that share a blocking key. Near-exact thresholds need only the exact key.
+
+    The pairs of a key are as many as the product of its rows on both sides. They are made in blocks of BLOCK_ROWS a side, which go to
+    as many tasks as the pairs need, so a hot key is no task's alone. A pair is made at the least key that both have: pairs are shuffled
+    nowhere.
+    """
     keys = F.array(F.concat("artist", F.lit("\t"), "title")) if threshold >= NEAR_EXACT else block_keys(True)
-    a = left.select(F.col("id").alias("ref"), F.explode(keys).alias("key"))
-    b = right.select(F.col("id").alias("partner"), F.explode(keys).alias("key"))
-    return a.join(b, "key").select("ref", "partner").distinct()
+
+    def keyed(df: DataFrame, end: str) -> DataFrame:
+        sets = df.select(F.col("id").alias(end), F.explode(keys).alias("key")).groupBy(end).agg(F.collect_set("key").alias(f"keys_{end}"))
+        return stored(sets.withColumn("key", F.explode(f"keys_{end}")))
+
+    a, b = keyed(left, "ref"), keyed(right, "partner")
+    sizes = a.groupBy("key").agg(F.count(F.lit(1)).alias("na")).join(b.groupBy("key").agg(F.count(F.lit(1)).alias("nb")), "key")
+    pairs = sizes.agg(F.sum(F.col("na").cast("double") * F.col("nb"))).first()[0] or 0.0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, int(pairs / TASK_PAIRS) + 1))
+    over = lambda n: F.ceil(F.col(n) / BLOCK_ROWS)
+    hot = F.broadcast(sizes.where(F.greatest("na", "nb") > BLOCK_ROWS).select("key", over("na").alias("ca"), over("nb").alias("cb")))  # no more than one for each BLOCK_ROWS rows
+
+    def blocks(df: DataFrame, end: str, own: str, others: str) -> DataFrame:
+        mine, theirs = ("i", "j") if own == "ca" else ("j", "i")
+        placed = df.join(hot, "key", "left").withColumn(mine, F.pmod(F.xxhash64(end), F.coalesce(own, F.lit(1).cast("long"))))
+        placed = placed.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(others, F.lit(1).cast("long")) - 1)))
+        return placed.drop("ca", "cb").repartition(tasks, "key", "i", "j")
+
+    met = blocks(a, "ref", "ca", "cb").join(blocks(b, "partner", "cb", "ca"), ["key", "i", "j"])
+    first = (F.size("keys_ref") == 1) | (F.size("keys_partner") == 1) | (F.col("key") == F.array_min(F.array_intersect("keys_ref", "keys_partner")))
+    return met.where(first).select("ref", "partner")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from medialake.operators import linkage
 from medialake.operators.mpeg_check import mp3_check
 from medialake.queries import containers, encoders, renaming
 
@@ -34,3 +35,19 @@ def test_small_tables_of_much_work_a_row_are_spread_over_the_cores(spark, sf):
     for made in (containers.tagged_files(spark, sf), containers.probed_files(spark, sf)):
         used = made.select(F.input_file_name().alias("f")).distinct().count()
         assert used >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_of_a_hot_key_go_to_many_tasks(spark, monkeypatch):
+    """One name that all rows have, next to others: pairs as a join gives them, none twice, no task with most of them."""
+    monkeypatch.setattr(linkage, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(linkage, "TASK_PAIRS", 2_000)
+    side = lambda low: spark.range(low, 400, 2).selectExpr("id", "'x' AS artist", "CASE WHEN id % 20 < 18 THEN 'hot' ELSE concat('t', id DIV 20) END AS title")
+    left, right = side(0), side(1)
+    want = {(r.ref, r.partner) for r in left.selectExpr("id AS ref", "artist", "title").join(right.selectExpr("id AS partner", "artist", "title"), ["artist", "title"]).collect()}
+    got = linkage.candidates(left, right, 1.0)
+    per_task = [len(rows) for rows in got.rdd.glom().collect()]
+    pairs = [(r.ref, r.partner) for r in got.collect()]
+    assert len(pairs) == len(want) > 30_000 and set(pairs) == want
+    assert max(per_task) < len(pairs) / 3
+    fuzzy = [(r.ref, r.partner) for r in linkage.candidates(left, right, 0.8).collect()]
+    assert len(fuzzy) == len(set(fuzzy)) == 200 * 200  # all share the artist

@@ -35,13 +35,14 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
     between = (F.col("lo").isNull() | (F.col("_v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("_v") < F.col("hi")))
     keys = ["_g", "name"]
     while (many := open_.where(F.col("inside") > FEW)).limit(1).count():
-        rows = data.join(many, "_g").where(between)
+        # Groups with more than FEW rows left, so few that each task can have all: rows are neither shuffled nor sorted for them.
+        rows = data.join(F.broadcast(many), "_g").where(between)
         # Values at 1001 even ranks; those around the rank sought, with one to spare on either side for what the sketch is off by.
         grid = rows.groupBy(*keys, "k", "below", "inside").agg(F.percentile_approx("_v", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("grid"))
         share = (F.col("k") - F.col("below")) / F.col("inside") * GRID
         around = lambda i: F.get("grid", F.greatest(F.lit(0), F.least(F.lit(GRID), i)).cast("int"))
         marks = grid.select(*keys, around(F.floor(share) - 1).alias("a"), around(F.ceil(share) + 1).alias("b"))
-        counted = rows.join(marks, keys).groupBy(*keys, "k", "inside", "below", "lo", "hi", "a", "b").agg(
+        counted = rows.join(F.broadcast(marks), keys).groupBy(*keys, "k", "inside", "below", "lo", "hi", "a", "b").agg(
             F.count_if(F.col("_v") < F.col("a")).alias("n_below"), F.count_if(F.col("_v") == F.col("a")).alias("n_a"),
             F.count_if((F.col("_v") > F.col("a")) & (F.col("_v") < F.col("b"))).alias("n_between"), F.count_if((F.col("_v") == F.col("b")) & (F.col("b") > F.col("a"))).alias("n_b"),
         )
@@ -59,7 +60,10 @@ def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str,
         )
         open_ = staged(open_.where(F.col("inside") <= FEW).unionByName(further.select(*open_.columns)), "rank-open")
         used.append(open_)
-    values = data.join(open_, "_g").where(between).groupBy(*keys, "k", "below", "_v").agg(F.count(F.lit(1)).alias("n"))
+    # What rounds have narrowed is as few; groups that were small from the start may be any number.
+    narrowed = F.col("lo").isNotNull() | F.col("hi").isNotNull()
+    last = data.join(F.broadcast(open_.where(narrowed)), "_g").where(between).unionByName(data.join(open_.where(~narrowed), "_g"))
+    values = last.groupBy(*keys, "k", "below", "_v").agg(F.count(F.lit(1)).alias("n"))
     ranked = values.withColumn("upto", F.col("below") + F.sum("n").over(W.partitionBy(*keys).orderBy("_v")))
     every = ranked.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select(*keys, F.col("_v").alias("value"))
     for more in found:

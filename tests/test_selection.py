@@ -37,3 +37,14 @@ def test_continuous_keeps_groups_without_values(spark):
     assert got["a"] == (2, 5.0, 2.5) and got["b"] == (0, None, None) and got[None][0] == 2 and str(got[None][2]) == "nan"
     assert continuous(df.limit(0), "v", ["g"]).count() == 0
     assert S.medians(df.where("v < 5"), "v", []).first()["median"] == 3.0
+
+
+def test_rows_of_large_groups_are_not_shuffled_by_group(spark, monkeypatch):
+    """Both joins with the bounds of a round bring these to the rows, also where Spark would not broadcast by itself."""
+    monkeypatch.setattr(S, "FEW", 40)
+    plans, write = [], S.staged
+    monkeypatch.setattr(S, "staged", lambda df, label: (plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())), write(df, label))[1])
+    df = spark.range(3_000).selectExpr("id % 2 AS g", "cast(id * 7919 % 3001 AS double) AS v")
+    S.medians(df, "v", ["g"]).collect()
+    counted = [p for label, p in plans if label == "rank-counted"]
+    assert counted and all(line.count("strategy=broadcast") == 1 for p in counted for line in p.splitlines() if "Join " in line)

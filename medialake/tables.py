@@ -34,9 +34,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over a few tasks for each core, by a key of different values: a small file of rows that are each much work would be one task's."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """df over a few tasks for each core, by a key of many values: a small file of rows that are each much work would be one task's."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *key)
 
 
 def discard(*frames: DataFrame) -> None:

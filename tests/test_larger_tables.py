@@ -1,9 +1,12 @@
 """What shows only beyond the small tables: long numbers, hot keys, large groups."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from medialake.operators import linkage
+from medialake.functions.signal import residual
+from medialake.operators import clusters, linkage
 from medialake.operators.mpeg_check import mp3_check
 from medialake.queries import containers, encoders, renaming
 
@@ -51,3 +54,24 @@ def test_pairs_of_a_hot_key_go_to_many_tasks(spark, monkeypatch):
     assert max(per_task) < len(pairs) / 3
     fuzzy = [(r.ref, r.partner) for r in linkage.candidates(left, right, 0.8).collect()]
     assert len(fuzzy) == len(set(fuzzy)) == 200 * 200  # all share the artist
+
+
+def test_blocks_of_a_group_give_the_residual_of_all_pairs(spark, monkeypatch):
+    """Several lengths, numbers that are none, copies at the very threshold and wild magnitudes, in blocks of a few rows."""
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = [("g", i, [rng.gauss(0, 1) for _ in range(rng.choice((12, 12, 9)))]) for i in range(60)] + [("h", 100 + i, [10.0 ** (i * 12 - 170)] * 8) for i in range(30)]
+    rows += [("g", 200, [1.0, None] + [0.0] * 10), ("g", 201, [float("nan")] * 12), ("g", 202, [float("inf")] * 12), ("g", 203, None), ("g", 204, [0.0] * 12), ("g", 205, [0.0] * 9), (None, 206, [0.0] * 9)]
+    rows += [("t", 300, [1.0] * 4), ("t", 301, [-0.3] * 4), ("t", 302, [1.0 - 1.3] * 4), ("t", 303, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "g string, k long, v array<double>")
+    a, b = df.select("g", F.col("k").alias("a"), F.col("v").alias("va")), df.select("g", F.col("k").alias("b"), F.col("v").alias("vb"))
+    for threshold in (1.3, 0.9):
+        want = {(r.a, r.b) for r in a.join(b, "g").where((F.col("a") < F.col("b")) & (residual(F.col("va"), F.col("vb")) < threshold)).select("a", "b").collect()}
+        got = [(r.a, r.b) for r in clusters.residual_edges(df, "g", "k", "v", threshold).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+        if threshold < 1:
+            continue
+        parts = lambda edges: {(r.node, r.component) for r in clusters.components(edges).collect()}
+        links = clusters.residual_links(df, "g", "k", "v", threshold)
+        assert parts(links) == parts(spark.createDataFrame(sorted(want), "a long, b long"))
+        assert links.count() < len(want)

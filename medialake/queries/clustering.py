@@ -29,7 +29,7 @@ def clu02_components(spark, sf):
 
 def clu03_keep_one(spark, sf):
     stems = _stems(spark, sf)
-    return C.keep_one(stems, C.residual_edges(stems, "song", "vec_id", "v", _LIMIT), "vec_id", "v").select("vec_id", "component", "kept")
+    return C.keep_one(stems, C.residual_links(stems, "song", "vec_id", "v", _LIMIT), "vec_id", "v").select("vec_id", "component", "kept")
 
 
 def _songs(spark, sf):

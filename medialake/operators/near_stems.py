@@ -4,12 +4,14 @@ Two stems are near when RMS(a - b) < threshold * max(RMS a, RMS b, 1e-12) over t
 beginning (at least the floor's), this implies, for d = a - b and every unit vector u,
 
 * | |a| - |b| | <= |d| < threshold * max: the norms lie in the same or in neighbouring bands of ratio 1 - threshold;
-* |<a, u> - <b, u>| <= |d|: the projections differ by less than W = threshold * the greatest norm of the two bands.
+* the sum of (<a, u> - <b, u>)^2 over orthogonal unit vectors u is at most |d|^2: the points that these products are lie in a ball of
+  radius W = threshold * the greatest norm of the longer stem's band.
 
-Each stem has PROJECTIONS such numbers, on unit vectors with signs from a hash, in cells of width 2 W. One side of the join has its own
-band and cell; the other has every band and cell that a near stem can lie in, two a projection, so an equi-join meets every near pair.
-What meets is narrow: ids, norms and numbers. Pairs whose projections and norms of SEGMENTS pieces are too far apart go (the pieces'
-norms differ by no more than the pieces do); only then samples are fetched and compared.
+Each stem has PROJECTIONS such numbers, on unit vectors with signs from a hash, each on its own share of the places and so orthogonal,
+in cells of width 2 W. One side of the join is the longer stem of a pair, in its own band and cell; the other is asked for in its own
+band and the one above, in every cell that the ball around it touches, so an equi-join meets every near pair once. What meets is
+narrow: a key, the id, and numbers in single precision. Pairs whose projections and norms of SEGMENTS pieces are too far apart go (the
+pieces' norms differ by no more than the pieces do); only then samples are fetched and compared.
 
 Equal stems are joined to the first of them beforehand, so a song of copies makes a link a stem. Stems of other lengths meet at the
 shorter length: each is cut to every length of its song up to its own. A song's stems have few lengths; of N different ones there would
@@ -23,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signal import dot, residual
+from ..functions.signal import dot, let, residual
 from ..tables import discard, staged
 
 PROJECTIONS = 5
@@ -32,9 +34,10 @@ FLOOR = 1e-12
 
 
 def _projection(v: Column, j: int) -> Column:
-    """The product with a vector of equal components and signs from a hash of their place."""
-    signed = F.transform(v, lambda x, i: F.when(F.pmod(F.xxhash64(i, F.lit(j)), F.lit(2)) == 0, x).otherwise(-x))
-    return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.size(v))
+    """The product with a unit vector of equal components at every PROJECTIONS-th place and signs from a hash of the place."""
+    signed = F.transform(v, lambda x, i: F.when(i % PROJECTIONS != j, 0.0).when(F.pmod(F.xxhash64(i, F.lit(j)), F.lit(2)) == 0, x).otherwise(-x))
+    places = F.floor((F.size(v) - 1 - j) / PROJECTIONS) + 1  # none of a short vector
+    return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / F.sqrt(F.greatest(F.lit(1), places))
 
 
 def described(stems: DataFrame) -> DataFrame:
@@ -48,8 +51,43 @@ def described(stems: DataFrame) -> DataFrame:
     return cut.select("song", "length", "id", norm.alias("norm"), F.array(*[_projection(F.col("v"), j) for j in range(PROJECTIONS)]).alias("p"), F.array(*pieces).alias("s"))
 
 
-#: Rounding of the numbers above must not lose a pair at the very edge.
+#: Rounding of the numbers above, and that of single precision, must not lose a pair at the very edge.
 SLACK = 1e-9
+SINGLE = 1e-6
+
+
+def _cell(x: Column) -> Column:
+    return F.floor(x / (2 * F.col("w")))
+
+
+def _band(norm: Column, step: float) -> Column:
+    return F.floor(F.log(norm) / step).cast("int")
+
+
+def _in_band(df: DataFrame, band: Column, threshold: float, step: float) -> DataFrame:
+    """df with band and w: norms of band k are below exp((k + 1) * step); the logarithm may be off by a rounding."""
+    return df.withColumn("band", band).withColumn("w", threshold * F.exp((F.col("band") + 1) * step) * (1 + SLACK))
+
+
+def asked_cells(known: DataFrame, threshold: float) -> DataFrame:
+    """known with band and cells c of every longer stem that can be near: a row for each."""
+    step, w = -math.log(1 - threshold), F.col("w")
+    # The longer stem is in this one's band or the next; rounding may put it a band off at the edge.
+    bands = F.sequence(_band(F.col("norm") * (1 - SLACK), step), _band(F.col("norm") * (1 + SLACK), step) + 1)
+    asked = _in_band(known, F.explode(bands), threshold, step)
+
+    def ends(x: Column) -> Column:
+        """A cell is 2 W wide, so W around a number reaches its own cell and one neighbour at most; gap is the way to it."""
+        end = lambda c, gap: F.struct(c.alias("c"), gap.alias("gap"))
+        around = lambda c: let(x - 2 * w * c, lambda off: F.array(end(c, F.lit(0.0)), end(c - 1, off), end(c + 1, 2 * w - off)))
+        return F.filter(let(_cell(x), around), lambda e: e["gap"] <= w * (1 + SLACK))
+
+    asked = asked.withColumn("ends", F.transform("p", ends))
+    grown = lambda e: lambda start: F.transform(e, lambda one: F.struct(F.concat(start["c"], F.array(one["c"])).alias("c"), (start["q"] + one["gap"] * one["gap"]).alias("q")))
+    every = F.array(F.struct(F.array().cast("array<bigint>").alias("c"), F.lit(0.0).alias("q")))
+    for j in range(PROJECTIONS):
+        every = F.filter(F.flatten(F.transform(every, grown(F.col("ends")[j]))), lambda e: e["q"] <= w * w * (1 + 3 * SLACK))
+    return asked.withColumn("c", F.explode(F.transform(every, lambda e: e["c"]))).drop("ends")
 
 
 def candidates(stems: DataFrame, threshold: float) -> DataFrame:
@@ -58,25 +96,19 @@ def candidates(stems: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("blocking needs a threshold between 0 and 1")
     step = -math.log(1 - threshold)
     known = staged(described(stems), "stems-described")
-    band = F.floor(F.log("norm") / step).cast("int")
-    # Norms of band k are below exp((k + 1) * step); a pair's greatest norm is below that of the band after the first side's.
-    width = threshold * F.exp((F.col("band") + 2) * step) * (1 + SLACK)
-    cells = lambda numbers: F.transform("p", numbers)
-    held = known.withColumn("band", band).withColumn("w", width)
-    held = held.withColumn("cell", F.xxhash64(cells(lambda x: F.floor(x / (2 * F.col("w"))))))
-    asked = known.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("w", width)
-    # A number within W of a cell's edge may have its partner in the next cell: two cells, or one, hold all that are within W.
-    asked = asked.withColumn("ends", cells(lambda x: F.array_distinct(F.array(F.floor((x - F.col("w")) / (2 * F.col("w"))), F.floor((x + F.col("w")) / (2 * F.col("w")))))))
-    grown = lambda ends: lambda start: F.transform(ends, lambda c: F.concat(start, F.array(c)))
-    every = F.array(F.array().cast("array<bigint>"))
-    for j in range(PROJECTIONS):
-        every = F.flatten(F.transform(every, grown(F.col("ends")[j])))
-    asked = asked.withColumn("cell", F.explode(F.transform(every, lambda c: F.xxhash64(c))))
-    side = lambda df, x: df.select("song", "length", "band", "cell", F.col("id").alias(x), F.col("norm").alias(f"norm_{x}"), F.col("p").alias(f"p_{x}"), F.col("s").alias(f"s_{x}"))
-    far = threshold * F.greatest("norm_a", "norm_b") * (1 + SLACK) + SLACK * FLOOR
-    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda m, n: (m - n) * (m - n)), F.lit(0.0), lambda t, z: t + z))
-    met = side(held, "a").join(side(asked, "b"), ["song", "length", "band", "cell"]).where(F.col("a") != F.col("b"))
-    met = met.where((F.abs(F.col("norm_a") - F.col("norm_b")) <= far) & (F.array_max(F.zip_with("p_a", "p_b", lambda m, n: F.abs(m - n))) <= far) & (apart("s_a", "s_b") <= far))
+    held = _in_band(known, _band(F.col("norm"), step), threshold, step).withColumn("c", F.transform("p", _cell))
+    asked = asked_cells(known, threshold)
+    # A key stands for song, length, band and cells; a chance meeting is ruled out with the samples.
+    single = F.concat("p", "s").cast("array<float>")
+    side = lambda df, x: df.select(F.xxhash64("song", "length", "band", "c").alias("key"), F.col("id").alias(x), F.col("norm").alias(f"norm_{x}"), single.alias(f"n_{x}"))
+    longest = F.greatest("norm_a", "norm_b")
+    far = threshold * longest * (1 + SLACK) + SLACK * FLOOR
+    met = side(held, "a").join(side(asked, "b"), "key").where((F.col("a") != F.col("b")) & (F.abs(F.col("norm_a") - F.col("norm_b")) <= far))
+    # Beyond single precision nothing is ruled out.
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda m, n: (m.cast("double") - n) * (m.cast("double") - n)), F.lit(0.0), lambda t, z: t + z)
+    part = lambda x, lo, n: F.slice(x, lo, n)
+    close = lambda lo, n: apart(part("n_a", lo, n), part("n_b", lo, n)) <= (far + SINGLE * longest) * (far + SINGLE * longest)
+    met = met.where((longest > 1e37) | (close(1, PROJECTIONS) & close(PROJECTIONS + 1, SEGMENTS)))
     out = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stems-candidates")
     discard(known)
     return out
@@ -84,9 +116,9 @@ def candidates(stems: DataFrame, threshold: float) -> DataFrame:
 
 def near_pairs(stems: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(a, b) of the pairs of a song's stems (song, id, v: samples) that are near; a < b."""
-    samples = lambda x: stems.select(F.col("id").alias(x), F.col("v").alias(f"v{x}"))
+    samples = lambda x: stems.select(F.col("id").alias(x), F.col("song").alias(f"song_{x}"), F.col("v").alias(f"v{x}"))
     met = candidates(stems, threshold)
-    checked = met.join(samples("a"), "a").join(samples("b"), "b").where(residual(F.col("va"), F.col("vb")) < threshold).select("a", "b")
+    checked = met.join(samples("a"), "a").join(samples("b"), "b").where((F.col("song_a") == F.col("song_b")) & (residual(F.col("va"), F.col("vb")) < threshold)).select("a", "b")
     out = staged(checked, "stems-near")
     discard(met)
     return out

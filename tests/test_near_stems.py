@@ -70,3 +70,13 @@ def test_threshold_and_empty(spark):
     with pytest.raises(ValueError):
         N.near_pairs(frame(spark, [("a", 1, [1.0])]), 1.3)
     assert N.near_pairs(frame(spark, []).where(F.lit(True))).count() == 0
+
+
+def test_stems_are_asked_for_in_few_cells(spark):
+    """The cells that a ball touches, in two bands: 42 a stem or so, where all neighbours in three bands were 96; also where norms go
+    beyond single precision."""
+    rng = random.Random(9)
+    stems = [("one", i, [rng.gauss(0, 10.0 ** (i % 7 - 3)) for _ in range(64)]) for i in range(300)]
+    wide = [("one", 1000 + i, [1e100 * (1 + i / 100)] * 20) for i in range(8)]
+    assert N.asked_cells(N.described(frame(spark, stems)), 0.05).count() < 50 * len(stems)
+    assert {(r.a, r.b) for r in N.near_pairs(frame(spark, stems + wide)).collect()} == brute(stems + wide, 0.05) != set()

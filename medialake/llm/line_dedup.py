@@ -1,19 +1,20 @@
 """Line dedup: near-equal lines across all documents, one occurrence of each connected group kept.
 
 A line is normalised: A-Z lower-cased, digits read as 0, every run of other ASCII characters one space. Lines of equal normal
-form are one class; of each class only one line goes on. Its features are its words of LONG bytes or more (all words, if it
-has fewer than three of these). The words are dealt by hash into 8 shares, pairs of shares make 4, and a line's fingerprint has one
+form is one class; of each class only one line goes on. Its features are its distinct words of LONG bytes or more (all distinct words, if
+fewer than three words are that long). They are dealt by hash into 8 shares, pairs of shares make 4, and a line's fingerprint has one
 64-bit SimHash a share, so that a changed word touches one block instead of bits of all blocks. Pigeonhole on the blocks:
 
 * up to 12 features: every choice of 2 of the 4 blocks is a key; one replaced word leaves two of them untouched at least;
 * 10 to 28 features: each of the 4 blocks is a key; one replaced word leaves two untouched;
 * 22 features and more: each of the 8 blocks is a key; three replaced words leave two untouched.
 
-A key needs two words or more. Lines of a key whose SimHashes over all features differ in at most DISTANCE bits (unrelated ones in
+A key needs two words or more. A line with REPEATS times as many words as distinct ones has the keys of its words with repeats too. Lines of a key whose SimHashes over all features differ in at most DISTANCE bits (unrelated ones in
 about 32; not asked of lines of up to SHORT characters) are verified by edit similarity, 1 - distance / longer length >= SIMILARITY, on
 their whole normal forms. Each key's smallest line is its hub: lines are first verified against their hubs and components are formed.
-Then, in STAR_ROUNDS rounds, a line of each key's largest component is verified against the key's lines in other components. What is left
-are pairs of the same key in different components; these meet by length too, in bands that the similarity implies, and are verified.
+Then, in STAR_ROUNDS rounds, a line of each key's largest component is verified against the key's lines in other components, unless the
+pairs across components are few. What is left are pairs of the same key in different components; these meet by length too, in bands that
+the similarity implies, and are verified.
 So a dense group costs about one verification a line and no link between the components of a key is left untested, however many lines
 share it and however the rows are partitioned. Of each group the first line by (doc_id, line_no) stays.
 
@@ -39,7 +40,11 @@ DISTANCE = 22
 SIMILARITY = 0.8
 LONG = 4
 SHORT = 30
+#: Lines with so many words for each distinct one are mostly repeats.
+REPEATS = 1.5
 STAR_ROUNDS = 2
+#: Rounds of stars are left out where all pairs across components are no more than this times the rows of keys: these are tested at once.
+STAR_ABOVE = 8
 BROADCAST_IDS = 500_000
 #: Lines that a task remembers, to give the keys of equal lines once; beyond, they only cost rows.
 _SEEN = 200_000
@@ -58,26 +63,25 @@ def _packed(more: np.ndarray) -> np.ndarray:
     return np.packbits(more, axis=-1, bitorder="little").view(np.uint64)[..., 0]
 
 
-def fingerprints(words: np.ndarray, lengths: np.ndarray, owner: np.ndarray, lines: int):
-    """(SimHash of each line, its keys, which of these hold): words with their lengths and ascending line numbers."""
-    long = lengths >= LONG
-    many = np.bincount(owner[long], minlength=lines) >= 3
-    taken = long | ~many[owner]
-    words, owner = words[taken], owner[taken]
-    share = (words >> np.uint64(61)).astype(np.int64)
-    group = owner * 8 + share
-    order = np.argsort(group, kind="stable")
-    bits = np.unpackbits(K.mix(words[order]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones, count = np.zeros((lines * 8, 64), np.int32), np.bincount(group, minlength=lines * 8)
-    if len(order):
+def _block_keys(words: np.ndarray, owner: np.ndarray, lines: int):
+    """(SimHash of each line, its keys, which of these hold) of the given words, sorted by line and share."""
+    group = owner * 8 + (words >> np.uint64(61)).astype(np.int64)
+    count = np.bincount(group, minlength=lines * 8)
+    n8 = count.reshape(lines, 8)
+    n4, n = n8.reshape(lines, 4, 2).sum(2), n8.sum(1)
+    kind = np.uint16 if n.max(initial=0) < 1 << 16 else np.int32
+    ones = np.zeros((lines * 8, 64), kind)
+    if len(words):
+        bits = np.unpackbits(K.mix(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         filled = np.flatnonzero(count)
-        ones[filled] = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(count[filled])[:-1]]), axis=0, dtype=np.int32)
-    ones8, n8 = ones.reshape(lines, 8, 64), count.reshape(lines, 8)
-    ones4, n4 = ones8.reshape(lines, 4, 2, 64).sum(2), n8.reshape(lines, 4, 2).sum(2)
-    n = n8.sum(1)
-    sim = _packed((2 * ones8.sum(1) > n[:, None]).astype(np.uint8))
-    sims8 = _packed((2 * ones8 > n8[..., None]).astype(np.uint8))
-    sims4 = _packed((2 * ones4 > n4[..., None]).astype(np.uint8))
+        at = np.concatenate([[0], np.cumsum(count[filled])[:-1]])
+        eights = np.add.reduceat(np.ascontiguousarray(bits.view(np.uint64).T), at, axis=1)  # eight sums of a byte each in one number
+        ones[filled] = np.ascontiguousarray(eights.T).view(np.uint8)
+        for i in np.flatnonzero(count[filled] > 255).tolist():
+            ones[filled[i]] = bits[at[i] : at[i] + count[filled[i]]].sum(0)
+    ones8 = ones.reshape(lines, 8, 64)
+    ones4 = ones8[:, 0::2] + ones8[:, 1::2]
+    sim, sims8, sims4 = (_packed(x > (k // 2).astype(kind)[..., None]) for x, k in ((ones8.sum(1, dtype=kind), n), (ones8, n8), (ones4, n4)))
     tag = lambda j: K.mix(np.array([j], np.uint64))
     two = [K.mix(K.mix(sims4[:, i] ^ tag(j)) ^ sims4[:, k]) for j, (i, k) in enumerate(_PAIRS)]
     keys = [*two, *(K.mix(sims4[:, i] ^ tag(10 + i)) for i in range(4)), *(K.mix(sims8[:, i] ^ tag(20 + i)) for i in range(8))]
@@ -87,6 +91,32 @@ def fingerprints(words: np.ndarray, lengths: np.ndarray, owner: np.ndarray, line
     return sim, np.stack(keys, 1), np.stack(holds, 1)
 
 
+def fingerprints(words: np.ndarray, lengths: np.ndarray, owner: np.ndarray, lines: int):
+    """(SimHash of each line, its keys, which of these hold): words with their lengths and ascending line numbers. A word counts once
+    a line: else a common word that a line repeats would outvote the others of its block, and unlike lines would share the key.
+    Lines that are mostly repeats have the keys with repeats too."""
+    long = lengths >= LONG
+    many = np.bincount(owner[long], minlength=lines) >= 3
+    taken = long | ~many[owner]
+    words, owner = words[taken], owner[taken]
+    if lines < 1 << 18:  # one sort of numbers that hold the line and 46 bits of the word
+        order = np.argsort(owner.astype(np.uint64) << np.uint64(46) | words >> np.uint64(18))
+    else:
+        order = np.lexsort((words, owner))
+    words, owner = words[order], owner[order]
+    fresh = np.ones(len(words), bool)
+    fresh[1:] = (words[1:] != words[:-1]) | (owner[1:] != owner[:-1])
+    sim, keys, holds = _block_keys(words[fresh], owner[fresh], lines)
+    again = np.bincount(owner, minlength=lines) >= REPEATS * np.bincount(owner[fresh], minlength=lines)
+    if again.any():
+        mine = again[owner]
+        _, more, these = _block_keys(words[mine], (np.cumsum(again) - 1)[owner[mine]], int(again.sum()))
+        wide = np.zeros((2, *keys.shape), np.uint64), np.zeros((2, *holds.shape), bool)
+        wide[0][0], wide[1][0], wide[0][1, again], wide[1][1, again] = keys, holds, more, these
+        keys, holds = (np.concatenate(list(x), axis=1) for x in wide)
+    return sim, keys, holds
+
+
 def _lines_of(column: pa.Array):
     """(row, number in its row, hash, characters, SimHash, keys, which keys hold) of every line with a word."""
     data, offsets = K.text_bytes(column)
@@ -216,6 +246,31 @@ def may_be_within(a: pa.Array, b: pa.Array, similarity: float) -> np.ndarray:
     return np.maximum(np.maximum(gap, 0).sum(1), np.maximum(-gap, 0).sum(1)) <= most
 
 
+def words_within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most `most` already when words are only exchanged in place and one stretch of words is left out,
+    wherever that is cheapest; False says nothing."""
+    x, y = a.split(" "), b.split(" ")
+    if len(x) > len(y):
+        x, y = y, x
+    lead = [0]
+    for p, q in zip(x, y):
+        lead.append(lead[-1] if p == q else lead[-1] + max(len(p), len(q)))
+    more = len(y) - len(x)
+    gap = sum(map(len, y[len(x) :])) + more  # the words left out and their spaces
+    if lead[-1] + gap <= most:
+        return True
+    trail = 0
+    for i in range(len(x) - 1, -1, -1) if more else ():
+        p, q = x[i], y[i + more]
+        trail += 0 if p == q else max(len(p), len(q))
+        gap += len(y[i]) - len(q)
+        if lead[i] + gap + trail <= most:
+            return True
+        if trail > most:
+            return False
+    return False
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of the pairs (a, b) those whose normal forms are similar enough, by 1 - distance / longer length."""
     left = texts.select(F.col("line").alias("a"), F.col("text").alias("ta"))
@@ -225,15 +280,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         for batch in batches:
             batch = batch.filter(pa.array(may_be_within(batch.column(2), batch.column(3), similarity)))
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [edit_within(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)) for x, y in zip(one, two)]
+            most = [int(max(len(x), len(y)) * (1 - similarity) + 1e-9) for x, y in zip(one, two)]
+            ok = [words_within(*pair) or edit_within(*pair) for pair in zip(one, two, most)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared_rows(keyed: DataFrame) -> DataFrame:
-    """(key, line) of the rows whose key stands in several rows."""
-    return keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
+    """(key, line, hub): the lines of the keys that several lines have, each beside its key's smallest line, which has no row."""
+    dealt = keyed.repartition("key")  # once for both: nearly every key has one row, so counts before the shuffle would save nothing
+    hubs = dealt.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("far")).where("hub <> far").select("key", "hub")
+    return dealt.join(hubs.hint("shuffle_hash"), "key").where("line <> hub").select("key", "line", "hub")
+
+
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components parts, (node, component), when the links (a, b) are added; only the components that these meet are worked on."""
+    named = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    met = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = connected_components(met)
+    alone = more.join(parts.select(F.col("component").alias("node")), "node", "left_anti")
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    out = parts.join(moved, "component", "left").select("node", F.coalesce("into", "component").alias("component")).union(alone.select("node", "component"))
+    return staged(out, "lines-parts")
 
 
 def length_bands(size: str, similarity: float, around: bool) -> Column:
@@ -249,8 +318,6 @@ def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, sim
     keyed = lines.select("line", F.explode("keys").alias("key"))
     # Dealt by both columns: equal lines of several tasks become one row, and the rows of a common key do not meet in one task.
     bucketed = staged(_shared_rows(keyed).repartition("key", "line").distinct(), "lines-bucketed")
-    hubs = bucketed.groupBy("key").agg(F.min("line").alias("hub"), F.max("line").alias("far")).where("hub <> far").select("key", "hub")
-    hubs = staged(hubs, "lines-hubs")
 
     described = lambda c: classes.select(F.col("line").alias(c), F.col("sim").alias(f"sim_{c}"), F.col("size").alias(f"size_{c}"))
     longer = F.greatest("size_a", "size_b")
@@ -270,12 +337,11 @@ def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, sim
         discard(pairs)
         return found
 
-    links = tested(bucketed.join(hubs, "key").where("line <> hub").select(F.col("hub").alias("a"), F.col("line").alias("b")))
-    parts = connected_components(links)
+    parts = connected_components(tested(bucketed.select(F.col("hub").alias("a"), F.col("line").alias("b"))))
 
     def open_rows(parts: DataFrame) -> DataFrame:
         """(key, line, component) of the keys that hold several components beside their hub, which is tested."""
-        placed = bucketed.join(hubs, "key").where("line <> hub").select("key", "line").join(parts.withColumnRenamed("node", "line"), "line", "left")
+        placed = bucketed.select("key", "line").join(parts.withColumnRenamed("node", "line"), "line", "left")
         placed = staged(placed.withColumn("component", F.coalesce("component", "line")), "lines-placed")
         # Written before the join, so that Spark can split the rows of a common key there.
         several = staged(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "lines-several")
@@ -283,26 +349,29 @@ def line_groups(docs: DataFrame, lines: DataFrame, distance: int = DISTANCE, sim
         discard(placed, several)
         return out
 
+    left = open_rows(parts)
     for turn in range(STAR_ROUNDS):
-        left = open_rows(parts)
         per = left.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.min_by("line", F.xxhash64("key", "line", F.lit(turn))).alias("a"))
-        stars = staged(per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star")), "lines-stars")
+        across = (F.pow(F.sum("c"), F.lit(2)) - F.sum(F.pow("c", F.lit(2)))).alias("across")
+        stars = staged(per.groupBy("key").agg(F.max_by(F.struct("a", "component"), F.struct("c", "component")).alias("star"), across), "lines-stars")
+        if (stars.agg(F.sum("across")).first()[0] or 0) <= STAR_ABOVE * bucketed.count():
+            discard(stars)
+            break
         found = tested(left.join(stars, "key").where("component <> star.component").select("star.a", F.col("line").alias("b")))
-        discard(left, stars)
-        if not found.limit(1).count():
-            continue
-        links = staged(links.union(found).distinct(), "lines-links")
-        parts = connected_components(links)
+        discard(stars)
+        if found.limit(1).count():
+            parts = _merged(parts, found)
+            discard(left)
+            left = open_rows(parts)
 
-    left = open_rows(parts)
     left = staged(left.join(classes.select("line", "sim", "size"), "line").withColumn("band", length_bands("size", similarity, False)), "lines-rest")
     side = lambda df, c: df.select("key", "band", F.col("line").alias(c), F.col("component").alias(f"c{c}"), F.col("sim").alias(f"sim_{c}"), F.col("size").alias(f"size_{c}"))
     around = left.withColumn("band", F.explode(length_bands("size", similarity, True)))
     rest = side(left, "a").join(side(around, "b"), ["key", "band"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike)
     more = tested(rest.select("a", "b"))
     if more.limit(1).count():
-        parts = connected_components(links.union(more))
-    discard(bucketed, hubs, left)
+        parts = _merged(parts, more)
+    discard(bucketed, left)
 
     placed = classes.join(parts.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     placed = staged(placed.select("line", "component", "first", "n"), "lines-placed")

@@ -165,3 +165,32 @@ def test_recall_on_natural_pairs(spark):
                 total += 1
                 hits += found[lines[i]] == found[lines[j]]
     assert total > 100 and hits / total >= 0.95, (hits, total)
+
+
+def test_a_repeated_common_word_makes_no_key():
+    """Unlike lines that repeat one word share no key, though that word outnumbers the others of its block; lines of one repeated word do."""
+    rng = random.Random(11)
+    common = "that that that that that"
+    lines = [" ".join(rng.sample([f"w{rng.randrange(10**8)}" for _ in range(28)] + common.split(), 33)) for _ in range(200)]
+    keys = [set(k[h].tolist()) for k, h in zip(*L._lines_of(pa.array(lines))[5:])]
+    assert sum(bool(keys[i] & keys[j]) for i in range(200) for j in range(i)) == 0
+    same = [" ".join(["blestou"] * 30 + [x]) for x in ("wordone", "another")]
+    one, two = (set(k[h].tolist()) for k, h in zip(*L._lines_of(pa.array(same))[5:]))
+    assert one & two
+
+
+def test_words_exchanged_in_place_are_within():
+    rng = random.Random(12)
+    accepted = 0
+    for _ in range(2_000):
+        a = [rng.choice(["the", "of", "ab", "é", "word", "quarterly"]) for _ in range(rng.randint(1, 12))]
+        b = list(a)
+        for _ in range(rng.randint(0, 2)):
+            b[rng.randrange(len(b))] = rng.choice(["the", "xy", "longerword"])
+        at = rng.randrange(len(b) + 1)
+        b[at:at] = [rng.choice(["in", "then"]) for _ in range(rng.randint(0, 2))]
+        a, b = " ".join(a), " ".join(b)
+        most = rng.randint(0, 15)
+        accepted += L.words_within(a, b, most)
+        assert not L.words_within(a, b, most) or L.edit_within(a, b, most)
+    assert accepted > 200

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STEPS = 64
+#: Steps of the first fold; files that it does not finish go on for STEPS in all.
+FIRST_STEPS, STEPS = 8, 64
 _SPANS = "array<struct<name:string,at:bigint,size:bigint>>"
 # Frames of ID3v2.2 and what later versions call them.
 OLD_FRAMES = {
@@ -127,11 +128,13 @@ def layout(files: DataFrame, content: str = "content") -> DataFrame:
     out = out.withColumn("container", kind).withColumn("_start", start.cast("long"))
     step = _walk_step(data, F.col("container"), F.col("bytes"))
     begin = F.struct(F.col("_start").alias("at"), F.array().cast(_SPANS).alias("found"))
-    out = out.withColumn("_walk", F.when(F.col("_start").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, step)))
+    out = out.withColumn("_few", F.when(F.col("_start").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(FIRST_STEPS)), begin, step)))
+    further = F.aggregate(F.sequence(F.lit(FIRST_STEPS + 1), F.lit(STEPS)), F.col("_few"), step)
+    out = out.withColumn("_walk", F.when(F.col("_few.at") < F.col("bytes"), further).otherwise(F.col("_few")))
     more = F.sequence(F.lit(1).cast("long"), F.floor((F.col("bytes") - F.col("_walk.at")) / 4) + 1)
     longer = F.aggregate(F.when(F.col("_walk.at") < F.col("bytes"), more).otherwise(F.array().cast("array<bigint>")), F.col("_walk"), step)
     found = F.when(F.col("_walk.at") < F.col("bytes"), longer["found"]).otherwise(F.col("_walk.found"))
-    return out.withColumn("records", F.coalesce(found, F.array().cast(_SPANS))).drop("_start", "_walk")
+    return out.withColumn("records", F.coalesce(found, F.array().cast(_SPANS))).drop("_start", "_few", "_walk")
 
 
 def _number(b: bytes) -> int:

@@ -80,3 +80,11 @@ def test_tags_of_one_vorbis_name_keep_their_values(spark):
     got = df.select(vorbis_tags(F.col("tags")).alias("t"), vorbis_tags(F.expr("map_filter(none, (k, v) -> false)")).alias("n")).first()
     assert got.t == {"DATE": ["1999", "2001"], "X_Y": ["v"], "UFID:me": ["i"]}
     assert got.n == {}
+
+
+def test_walks_of_any_number_of_records(spark):
+    """The first fold takes few steps; records beyond it, and beyond STEPS, are found too."""
+    counts = [0, 1, C.FIRST_STEPS, C.FIRST_STEPS + 1, C.STEPS, C.STEPS + 1, 150]
+    files = spark.createDataFrame([(n, bytearray(E.wave(*[E.chunk(f"c{i:03d}", bytes(i % 3)) for i in range(n)]))) for n in counts], "id int, content binary")
+    got = {r.id: [x.name for x in r.records] for r in C.layout(files).collect()}
+    assert got == {n: [f"c{i:03d}" for i in range(n)] for n in counts}

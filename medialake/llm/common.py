@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..components import connected_components
-from ..tables import discard, staged
+from ..tables import discard, in_batches, staged
 
 __all__ = ["connected_components", "discard", "in_batches", "split_of", "staged", "streamed", "table"]
 
@@ -19,17 +19,6 @@ def split_of(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-#: Bytes of a batch of rows on its way to a Python worker and back; one longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
-
-
-def in_batches(df: DataFrame) -> DataFrame:
-    """df, with its session sending batches of BATCH_BYTES to Python workers. Both the worker and the executor hold a batch twice, so
-    Spark's own 64 MB for each of an executor's cores would take more than all else that a text operator keeps."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,16 +12,19 @@ What comes before and behind the audio (ID3v2; ID3v1, Lyrics3 and APE tags) is m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.signal import let
 from ..sources.containers import big, cut, has
+from ..tables import in_batches
 from .integrity import frame_size
 
 PIECE = 1 << 20
@@ -85,15 +88,10 @@ def plausible(window: bytes) -> list[tuple[int, int]]:
     return [(p, h) for p, h in heads if measured(h)[0]]
 
 
-@F.pandas_udf(T.BooleanType())
-def syncs(window: pd.Series) -> pd.Series:
+def syncs(window: bytes) -> bool:
     """Whether two headers of one stream are in the window."""
-
-    def one(data) -> bool:
-        found = plausible(bytes(data or b""))
-        return any(p >= found[0][0] + 4 and h & SAME == found[0][1] & SAME for p, h in found[1:])
-
-    return pd.Series([one(x) for x in window])
+    found = plausible(window)
+    return any(p >= found[0][0] + 4 and h & SAME == found[0][1] & SAME for p, h in found[1:])
 
 
 def lyrics(data: bytes, end: int) -> tuple[int, str]:
@@ -181,12 +179,22 @@ def walk_piece(data: bytes, lo: int, hi: int, end: int, first: int, start: int)
             frames, heard, *rest = visited[at]
             visited[place] = (frames + 1, heard + samples, *rest)
             at = place
-    return [dict(zip(("entry", "frames", "samples", "exit", "problem", "extra"), (e, *visited[e]))) for e in entries]
+    return [dict(zip(_ENTRY, (e, *visited[e]))) for e in entries]
+
+
+_ENTRY = ("entry", "frames", "samples", "exit", "problem", "extra")
+_TABLE = T.ArrayType(T.StructType([T.StructField(n, T.StringType() if n == "problem" else T.LongType()) for n in _ENTRY]))
+_ARROW_TABLE = pa.list_(pa.struct([(n, pa.string() if n == "problem" else pa.int64()) for n in _ENTRY]))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, k) for n, k in (("entry", T.LongType()), ("frames", T.LongType()), ("samples", T.LongType()), ("exit", T.LongType()), ("problem", T.StringType()), ("extra", T.LongType()))])))
-def _walked(data: pd.Series, lo: pd.Series, hi: pd.Series, end: pd.Series, first: pd.Series, start: pd.Series) -> pd.Series:
-    return pd.Series([walk_piece(bytes(d), int(a), int(b), int(e), int(f), int(s)) for d, a, b, e, f, s in zip(data, lo, hi, end, first, start)], dtype=object)
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each piece's table instead of its bytes; for a file that does not begin with a frame, whether its window syncs."""
+    for batch in batches:
+        rows = list(zip(*(batch[c].to_pylist() for c in ("bytes", "lo", "hi", "end", "first", "begin"))))
+        tables = [walk_piece(*row) if row[4] is not None else [] for row in rows]
+        synced = [row[4] is None and syncs(row[0]) for row in rows]
+        kept = batch.drop_columns(["lo", "hi", "bytes"])
+        yield kept.append_column("table", pa.array(tables, _ARROW_TABLE)).append_column("synced", pa.array(synced, pa.bool_()))
 
 
 def mp3_check(files: DataFrame, key: str, content: str = "content", piece: int = PIECE) -> DataFrame:
@@ -194,31 +202,30 @@ def mp3_check(files: DataFrame, key: str, content: str = "content", piece: int =
     the start states (Xing, Info or VBRI; null without one)."""
     if piece < LONGEST:
         raise ValueError(f"a piece needs {LONGEST} bytes, so that no frame goes over a whole one")
-    data = F.col(content)
-    known = files.select(key, content, bounds(content).alias("_b")).select(key, content, "_b.*")
-    lost = F.when(F.col("first").isNull() & (F.col("begin") < F.col("end")), cut(data, F.col("begin"), F.least(F.col("end") - F.col("begin"), F.lit(RESYNC))))
-    # The window is worked out before the helper, so that the content itself stays behind.
-    odd = known.where("first is null").select(key, F.col("begin"), F.col("end"), "tag_problem", lost.alias("_window")).withColumn("synced", syncs("_window"))
-    early = F.when(F.col("begin") + 4 > F.col("end"), F.coalesce("tag_problem", F.when(F.col("begin") < F.col("end"), "TRUNCATED").otherwise("UNRECOGNISED FORMAT")))
-    early = early.when(~F.col("synced"), F.coalesce("tag_problem", F.lit("UNRECOGNISED FORMAT"))).when(F.col("begin") > 0, "BAD ID3v2 TAG").otherwise("BAD STARTING SYNC")
-    empty = odd.select(key, F.lit(False).alias("ok"), early.alias("problem"), F.lit(0).cast("long").alias("frames"), F.lit(0.0).alias("seconds"), F.lit(None).cast("long").alias("stated"))
-
-    walkable = known.where("first is not null")
+    data, begin, end, first = F.col(content), F.col("begin"), F.col("end"), F.col("first")
     size, zero, none = F.lit(piece).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("string")
-    nth = walkable.select(key, content, "begin", "end", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1 - F.col("begin")) / size))).alias("nth"))
-    lo = F.col("begin") + F.col("nth") * size
-    pieces = nth.select(key, "nth", "end", "first", F.col("begin").alias("start"), lo.alias("lo"), F.least(lo + size, F.col("end")).alias("hi"), cut(data, lo, size + RESYNC + LONGEST + 8).alias("bytes"))
-    tables = pieces.select(key, "nth", _walked("bytes", "lo", "hi", "end", "first", "start").alias("table"))
-    first = walkable.select(key, "begin", "first", _stated(data, F.col("begin"), F.col("first")).alias("stated"))
-    # A row a piece with a few entries is what a file's pieces come together with: the bytes stay where they were walked.
-    walked = tables.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("nth", "table"))).alias("tables")).join(first, key)
-    end = F.aggregate("tables", F.struct(F.col("begin").alias("at"), zero.alias("frames"), zero.alias("samples"), none.alias("problem"), zero.alias("extra")), _follow)
-    rate, timed = _rate(F.col("first")), F.col("_end.problem").isin("LOST SYNC", "CRC ERROR")
+    # One pass for all files: a filter by the bounds would have them measured once more for it.
+    known = in_batches(files).select(key, content, bounds(content).alias("_b")).select(key, content, "_b.*")
+    known = known.withColumn("stated", F.when(first.isNotNull(), _stated(data, begin, first)))
+    last = F.when(first.isNull(), zero).otherwise(F.floor((end - 1 - begin) / size))
+    nth = known.select(key, content, "begin", "end", "tag_problem", "first", "stated", F.explode(F.sequence(zero, last)).alias("nth"))
+    lo = begin + F.col("nth") * size
+    cuts = F.when(first.isNull(), cut(data, begin, F.least(end - begin, F.lit(RESYNC)))).otherwise(cut(data, lo, size + RESYNC + LONGEST + 8))
+    pieces = nth.select(key, "nth", "begin", "end", "tag_problem", "first", "stated", lo.alias("lo"), F.least(lo + size, end).alias("hi"), F.coalesce(cuts, F.lit(b"")).alias("bytes"))
+    # The bytes are cut before this step and stay behind in it: rows that wait for a function of columns would hold their file's content.
+    walked = pieces.mapInArrow(_walked, pieces.drop("lo", "hi", "bytes").schema.add("table", _TABLE).add("synced", T.BooleanType()))
+    # A row a piece with a few entries is what a file's pieces come together with.
+    of_file = [F.any_value(c).alias(c) for c in ("begin", "end", "tag_problem", "first", "stated", "synced")]
+    walked = walked.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("nth", "table"))).alias("tables"), *of_file)
+    followed = F.aggregate("tables", F.struct(begin.alias("at"), zero.alias("frames"), zero.alias("samples"), none.alias("problem"), zero.alias("extra")), _follow)
+    rate, timed = _rate(first), F.col("_end.problem").isin("LOST SYNC", "CRC ERROR")
     second = F.floor((F.col("_end.samples") + F.col("_end.extra")) / rate)
     at = F.format_string("%s @ %dm %02ds", F.col("_end.problem"), F.floor(second / 60), second % 60)
-    problem = F.when(timed, at).otherwise(F.coalesce("_end.problem", F.lit("")))
-    walked = walked.withColumn("_end", end).select(key, (problem == "").alias("ok"), problem.alias("problem"), F.col("_end.frames").alias("frames"), (F.col("_end.samples") / rate).alias("seconds"), "stated")
-    return walked.unionByName(empty)
+    early = F.when(begin + 4 > end, F.coalesce("tag_problem", F.when(begin < end, "TRUNCATED").otherwise("UNRECOGNISED FORMAT")))
+    early = early.when(~F.col("synced"), F.coalesce("tag_problem", F.lit("UNRECOGNISED FORMAT"))).when(begin > 0, "BAD ID3v2 TAG").otherwise("BAD STARTING SYNC")
+    problem = F.when(first.isNull(), early).when(timed, at).otherwise(F.coalesce("_end.problem", F.lit("")))
+    seconds = F.when(first.isNull(), 0.0).otherwise(F.col("_end.samples") / rate)
+    return walked.withColumn("_end", followed).select(key, (problem == "").alias("ok"), problem.alias("problem"), F.col("_end.frames").alias("frames"), seconds.alias("seconds"), "stated")
 
 
 def _follow(acc: Column, piece: Column) -> Column:

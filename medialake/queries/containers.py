@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 from ..operators.mpeg_check import mp3_check
 from ..sources import containers as C
 from ..sources import listing as L
-from ..tables import spread, staged
+from ..tables import BATCH_BYTES, spread, staged
 from . import encoders as E
 from .fixtures import FILES, files
 
@@ -29,8 +31,21 @@ def _stream(form: pd.Series, title: pd.Series, n: pd.Series, channels: pd.Series
 
 
 @F.pandas_udf(T.BinaryType())
-def _mpeg(form: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([E.mpeg(f, int(k)) for f, k in zip(form, n)], dtype=object)
+def _mpeg(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    return in_parts(E.mpeg(f, int(k)) for form, n in batches for f, k in zip(form, n))
+
+
+def in_parts(contents: Iterable[bytes]) -> Iterator[pd.Series]:
+    """The contents in series of BATCH_BYTES and at most one content more: what a batch of short rows is made into may be long."""
+    part, held = [], 0
+    for content in contents:
+        part.append(content)
+        held += len(content)
+        if held >= BATCH_BYTES:
+            yield pd.Series(part, dtype=object)
+            part, held = [], 0
+    if part:
+        yield pd.Series(part, dtype=object)
 
 
 def _nth(values) -> Column:

@@ -34,6 +34,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: Bytes of a batch of rows on its way to a Python worker and back; one longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, with its session sending batches of BATCH_BYTES to Python workers. Both the worker and the executor hold a batch twice, so
+    Spark's own 64 MB for each of an executor's cores would take more than all else that an operator on texts or files keeps."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
     """df over a few tasks for each core, by a key of many values: a small file of rows that are each much work would be one task's."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *key)

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from medialake.functions.signal import residual
@@ -33,6 +34,34 @@ def test_mpeg_pieces_come_together_without_a_python_call_a_file(spark):
     assert {(r.problem, r.frames, r.ok) for r in got.collect()} == {("LOST SYNC @ 0m 00s", 21, False)}
 
 
+def test_mpeg_files_are_read_and_measured_once(spark, tmp_path):
+    """A filter by a function's result has that function run once more for it; and rows with a whole file's content wait for no function a piece."""
+    forms = ("whole", "gap", "short tag", "none")
+    spark.createDataFrame([(i, bytearray(encoders.mpeg(forms[i % 4], 40))) for i in range(8)], "id long, content binary").write.parquet(f"{tmp_path}/files")
+    got = mp3_check(spark.read.parquet(f"{tmp_path}/files"), "id", piece=4096)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("ArrowEvalPython [bounds"), plan.count("ArrowEvalPython")) == (1, 1, 1)
+    want = {0: ("", 40), 1: ("LOST SYNC @ 0m 00s", 21), 2: ("BAD ID3v2 TAG", 0), 3: ("UNRECOGNISED FORMAT", 0)}
+    assert sorted((r.id, r.problem, r.frames) for r in got.collect()) == [(i, *want[i % 4]) for i in range(8)]
+
+
+def test_mpeg_files_go_to_python_and_back_in_batches_of_few_bytes(spark):
+    most = 8 << 20
+
+    @F.pandas_udf("long")
+    def rows(content: pd.Series) -> pd.Series:
+        return pd.Series([len(content)] * len(content))
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    mp3_check(spark.createDataFrame([(1, bytearray(9))], "id long, content binary"), "id")
+    asked = spark.range(0, 40, 1, 1).select(F.unhex(F.repeat(F.lit("00"), 1 << 20)).alias("content")).select(rows("content").alias("n"))
+    assert 1 <= max(r.n for r in asked.collect()) <= most >> 20
+    form, n = pd.Series(["whole", "checksum", "tail"] * 700), pd.Series([50, 30, 41] * 700)
+    made = list(containers._mpeg.func(iter([(form, n), (form[:3], n[:3])])))
+    assert [x for part in made for x in part] == [encoders.mpeg(f, k) for f, k in [*zip(form, n), *zip(form[:3], n[:3])]]
+    assert len(made) > 1 and max(sum(map(len, part)) for part in made) < most + 30_000
+
+
 def test_small_tables_of_much_work_a_row_are_spread_over_the_cores(spark, sf):
     """The files made of parts are the input of src09 to src14, snk12 and int03: one small table, and each row runs through Python."""
     for made in (containers.tagged_files(spark, sf), containers.probed_files(spark, sf)):
